@@ -37,16 +37,18 @@ def _columns(spec: str) -> list[tuple[str, str]]:
 
 def with_standins(sql: str) -> str:
     """Prefix the definitions of the application tables the text names."""
-    used, pending = {}, [sql]
-    while pending:
-        text = pending.pop()
+    used: dict[str, str] = {}
+
+    def visit(text: str) -> None:
         for name, (_, body) in standin.TABLES.items():
             if name not in used and re.search(rf"\b{name}\b", text):
+                visit(body)
                 used[name] = body
-                pending.append(body)
+
+    visit(sql)
     if not used:
         return sql
-    ctes = ",\n".join(f"{name} AS ({used[name]})" for name in standin.TABLES if name in used)
+    ctes = ",\n".join(f"{name} AS ({body})" for name, body in used.items())
     head = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", sql)
     if head:
         return f"WITH {head.group(1) or ''}{ctes},\n{sql[head.end():]}"

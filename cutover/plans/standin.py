@@ -119,3 +119,106 @@ TABLES["code_master"] = (_code_master, (
     "SELECT 'REGION' AS code_group, cast(r_regionkey as varchar) AS code_value, r_name AS code_name, r_regionkey AS sort_order, 'Y' AS use_yn, cast(null as varchar) AS description FROM region "
     "UNION ALL SELECT 'NATION', cast(n_nationkey as varchar), n_name, n_regionkey, case when n_regionkey = 4 then 'N' else 'Y' end, concat('region ', n_regionkey) FROM nation"
 ))
+
+
+# Inputs of the comparison and triage operators, derived row by row from the given tables.
+
+_table("orders_target", "orders_kept", {
+    "o_orderkey": ("o_orderkey", None),
+    "o_custkey": ("o_custkey", None),
+    "o_orderstatus": ("case when o_orderkey % 101 = 0 then null else o_orderstatus end", None),
+    "o_totalprice": ("case when o_orderkey % 89 = 0 then o_totalprice + 1 else o_totalprice end", None),
+    "o_orderdate": ("o_orderdate", None),
+    "o_orderpriority": ("o_orderpriority", None),
+})
+# The target copy lost some rows on the way and got one row too many per 500.
+TABLES["orders_kept"] = (
+    lambda t: t.orders.filter("o_orderkey % 97 <> 0").unionAll(t.orders.filter("o_orderkey % 499 = 3").withColumn("o_orderkey", -F.col("o_orderkey"))),
+    "SELECT * FROM orders WHERE o_orderkey % 97 <> 0 UNION ALL SELECT * REPLACE (-o_orderkey AS o_orderkey) FROM orders WHERE o_orderkey % 499 = 3",
+)
+
+_table("lineitem_target", "lineitem", {
+    **{x: (x, None) for x in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")},
+    "l_extendedprice": ("case when l_orderkey % 89 = 0 then l_extendedprice + 1 else l_extendedprice end", None),
+    **{x: (x, None) for x in ("l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")},
+})
+
+_K = ("cast(get_json_object(props, '$.k') as bigint)", "cast(json_extract_string(props, '$.k') as bigint)")
+_table("runs", "events", {
+    "tc_id": ("concat('tc_', event_id)", None),
+    "seq": ("event_id", None),
+    "mapper": ("concat('M', user_id % 7)", None),
+    "sql_id": ("concat('q', user_id % 23)", None),
+    "raw_status": ("case when event_type = 'error' and event_id % 5 = 0 then 'error' else 'ok' end", None),
+    "error_message": ("case when event_id % 2 = 0 then 'statement could not be read' end", None),
+    "source_skipped": ("event_type = 'signup' and event_id % 3 = 0", None),
+    "target_skipped": ("event_type = 'signup' and event_id % 6 = 0", None),
+    "skip_reason": ("case when event_type = 'signup' and event_id % 3 = 0 then 'procedure' end", None),
+    "source_success": ("not (event_type = 'error' and event_id % 5 in (1, 2))", None),
+    "target_success": ("not (event_type = 'error' and event_id % 5 in (2, 3))", None),
+    "source_error": ("case when event_type = 'error' then concat('ORA-', event_id % 900) end", None),
+    "target_error": ("case when event_type = 'error' and event_id % 4 > 0 then concat('ERROR: ', user_id, chr(10), 'line 2') end", None),
+    "source_rows": (_K[0], _K[1]),
+    "target_rows": (f"{_K[0]} + case when event_id % 11 = 0 then 1 else 0 end", f"{_K[1]} + case when event_id % 11 = 0 then 1 else 0 end"),
+    "columns_differ": ("event_id % 17 = 0", None),
+    "value_mismatches": ("case when event_id % 19 = 0 then user_id % 5 else 0 end", None),
+    "source_sampled": ("event_id % 23 = 0", None),
+    "target_sampled": ("event_id % 29 = 0", None),
+    "source_ms": ("case when event_id % 13 = 0 then null else cast(floor(value) as bigint) end", None),
+    "target_ms": (f"{_K[0]} * 2", f"{_K[1]} * 2"),
+})
+
+_table("cases", "events", {
+    "tc_id": ("concat('tc_', event_id)", None),
+    "sql_id": ("case when event_id % 10 <> 3 then concat('q', user_id % 23) end", None),
+    "namespace": ("case when event_id % 10 <> 3 then concat('app.M', user_id % 7) end", None),
+    "mapper": ("case when event_id % 10 <> 3 then concat('M', user_id % 7) end", None),
+})
+
+# One failure text per rule, with values that vary from row to row.
+_NOTES = [
+    "concat('Mapped Statements collection does not contain value for app.q', user_id)",
+    "concat('The expression ids', user_id, ' evaluated to a null value.')",
+    "concat('There is no getter for property named p', user_id)",
+    "concat('source: ERROR: relation \"a', user_id, '\" is gone Position: ', event_id, ' | target: ERROR: relation \"b\" is gone Position: 1 Hint: look')",
+    "concat('source: ORA-00942: table ', user_id, ' is missing | target: ERROR: syntax error')",
+    "concat('source: ORA-01722: invalid number ', event_id, ' | ')",
+    "concat('target: ERROR: function nvl', user_id % 3, '(integer) does not exist Hint: none')",
+    "concat('target: ERROR: column c', user_id, ' does not exist')",
+    "'target: ERROR: operator does not exist: text = integer'",
+    "'target: ERROR: invalid reference to FROM-clause entry'",
+    "concat('target: ERROR: integer out of range ', event_id)",
+    "'target: ERROR: value too long for type character varying(10)'",
+    "'target: something else'",
+    "null",
+]
+_NOTE = "case event_id % 14 " + " ".join(f"when {i} then {n}" for i, n in enumerate(_NOTES)) + " end"
+_table("failures", "events", {
+    "tc_id": ("concat('tc_', event_id)", None),
+    "seq": ("event_id", None),
+    "mapper": ("case when event_id % 4 <> 0 then concat('M', user_id % 7) end", None),
+    "sql_id": ("concat('q', user_id % 23)", None),
+    "failure_type": ("case event_type when 'view' then 'value_mismatch' when 'purchase' then 'row_count_mismatch' when 'click' then null else 'execution_error' end", None),
+    "note": (f"case when event_type = 'view' and event_id % 2 = 0 then null else {_NOTE} end", None),
+})
+
+# Several statement kinds may share one id; seq is the order in the file.
+_table("fragment_catalogue", "events", {
+    "mapper": ("concat('M', user_id % 7)", None),
+    "sql_id": ("concat('q', user_id % 23)", None),
+    "statement_type": ("case when user_id % 23 < 3 then 'resultMap' when event_id % 3 = 0 then 'resultMap' when event_id % 3 = 1 then 'sql' when user_id % 2 = 0 then 'select' else 'update' end", None),
+    "seq": ("event_id", None),
+})
+
+_table("progress", "orders", {
+    "fragment_id": ("concat('M', o_custkey % 7, '__select__q', o_orderkey)", None),
+    "sql_id": ("concat('q', o_orderkey)", None),
+    "status": ("case o_orderstatus when 'F' then 'success' when 'O' then 'failed' else case when o_custkey % 2 = 0 then 'partial' else 'skipped' end end", None),
+    "retry_count": ("o_custkey % 5", None),
+})
+
+_table("load_log", "supplier", {
+    "table_name": ("s_name", None),
+    "state": ("case s_nationkey % 8 when 0 then 'loading' when 1 then 'queued' when 2 then 'errored' else 'loaded' end", None),
+    "task_ok": ("s_acctbal > -1e9", None),
+})
