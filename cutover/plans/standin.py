@@ -222,3 +222,18 @@ _table("load_log", "supplier", {
     "state": ("case s_nationkey % 8 when 0 then 'loading' when 1 then 'queued' when 2 then 'errored' else 'loaded' end", None),
     "task_ok": ("s_acctbal > -1e9", None),
 })
+
+_DATA_TYPES = ["bigint", "integer", "numeric", "date", "timestamp without time zone", "char", "bpchar", "text", "varchar", "uuid", "bytea", "boolean"]
+_table("typed_refs", "events", {
+    "ref_id": ("event_id", None),
+    "data_type": ("case event_id % 12 " + " ".join(f"when {i} then '{t}'" for i, t in enumerate(_DATA_TYPES)) + " end", None),
+})
+
+_REFS = ["Customer.C_NAME", "orders.o_totalprice", "ORDERS.O_ORDERDATE", "part.p_size", "orders.o_missing", "nowhere.at_all", "lineitem.l_quantity", "documents.text", "Supplier.s_suppkey", "o_totalprice"]
+_table("binds", "events", {
+    "ref_id": ("event_id", None),
+    "fragment_id": ("concat('F', user_id)", None),
+    "variable": ("concat('v', event_id % 10)", None),
+    "ref": ("case event_id % 10 " + " ".join(f"when {i} then '{r}'" for i, r in enumerate(_REFS)) + " end", None),
+    "hint": ("case when event_id % 10 = 9 then 'table_inference_failed' when event_id % 30 = 5 then 'view_column' when event_id % 30 = 15 then 'dynamic_table' end", None),
+})
