@@ -237,3 +237,49 @@ _table("binds", "events", {
     "ref": ("case event_id % 10 " + " ".join(f"when {i} then '{r}'" for i, r in enumerate(_REFS)) + " end", None),
     "hint": ("case when event_id % 10 = 9 then 'table_inference_failed' when event_id % 30 = 5 then 'view_column' when event_id % 30 = 15 then 'dynamic_table' end", None),
 })
+
+# SQL text in a session replaces dollar-brace names by settings, hence the split literals.
+# Mapper files around the whole text of each document; every tenth lacks a closing tag.
+_ESC = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_CONTENT = (
+    "concat('<mapper namespace=\"app.', source, '\"><!-- head --><resultMap id=\"rm\" type=\"x\"/>', "
+    "'<select id=\"q', doc_id, '\" resultType=\"', lang, 'Map\" parameterType=\"map\">select 1 from t join u where note = ''', " + _ESC + ", ''' and a = #{userId, jdbcType=INTEGER} ', "
+    "case when doc_id % 2 = 0 then '<if test=\"a != null\"> and b = #{range.min} and c = #{ total }</if><if test=\"d\"> and d = #{d}</if>' else '' end, "
+    "case when doc_id % 3 = 0 then '<choose><when test=\"t == 1\">x = #{c}</when><when test=\"t == 2\">x = 2</when><otherwise>y = #{userId}</otherwise></choose>' else '' end, "
+    "case when doc_id % 5 = 0 then '<foreach collection=\"ids\" item=\"i\">#{i}</foreach>' else '' end, "
+    "case when doc_id % 7 = 0 then ' @app.util.Check@isEmpty(x) ' else '' end, 'order by $', '{sort.col} $', '{ DIR } #{sysdate} $', '{a.b,c}</select>', "
+    "case when doc_id % 4 = 0 then '<update parameterType=\"com.app.Order\" resultType=\"LONG\">{call fix(#{userId})}</update>' else '' end, "
+    "case when doc_id % 10 = 3 then '' else '</mapper>' end)"
+)
+_table("corpus", "documents", {
+    "doc_id": ("doc_id", None),
+    "file": ("concat('d', doc_id % 3, '/M', doc_id, '.xml')", None),
+    "content": (_CONTENT, None),
+})
+
+# Statements of each kind, behind comments and blanks.
+_STATEMENTS = [
+    "concat('/* m.', doc_id, ' */ select ', text)", "concat('-- note', chr(10), '  insert into t values (', text, ')')", "concat('/* a */ /* b ** c */', chr(10), 'update t set x = ', text)",
+    "concat('{call p', doc_id, '}')", "concat('begin ', text, ' end;')", "concat('with a as (select 1) insert into t select ', text)", "concat('with a as (select 1) select ', text)",
+    "concat('/* never closed ', text)", "concat('-- only a comment ', doc_id)", "concat('exec p ', text)", "concat('merge into t ', text)", "text",
+]
+_KINDS = ["query", "dml", "dml", "procedure", "procedure", "dml", None, "query", "query", "procedure", "dml", None]
+_table("statements", "documents", {
+    "doc_id": ("doc_id", None),
+    "statement": ("case doc_id % 12 " + " ".join(f"when {i} then {s}" for i, s in enumerate(_STATEMENTS)) + " end", None),
+})
+
+# Assessment trees of three levels, one per event.
+_SJSON = {"k": "cast(get_json_object(props, '$.k') as int)", "type": "case event_type when 'view' then 'PACKAGE' when 'click' then 'TABLE' when 'error' then 'TRIGGER' else 'VIEW' end"}
+TABLES["trees"] = (
+    lambda t: t.events.select("event_id", F.expr(f"""to_json(named_struct('name', 'APP', 'statistic', named_struct('objectType', cast(null as string), 'countErrorNodes', ''), 'children', array(
+      named_struct('name', concat('APP.PKG', user_id), 'statistic', named_struct('objectType', {_SJSON['type']}, 'countErrorNodes', case when {_SJSON['k']} % 7 = 0 then '' else cast({_SJSON['k']} % 3 as string) end,
+          'messageActions', array(named_struct('code', cast({_SJSON['k']} % 50 + 1 as string), 'nodeName', 'n'), named_struct('code', cast({_SJSON['k']} % 13 + 1 as string), 'nodeName', 'n'))),
+        'children', array(named_struct('name', concat('APP.PKG', user_id, '.P', event_id), 'statistic', named_struct('objectType', 'FUNCTION', 'countErrorNodes', cast(event_id % 4 as string)))))),
+      'x', 1))""").alias("tree")),
+    "SELECT event_id, user_id, cast(json_extract_string(props, '$.k') as int) AS k, case event_type when 'view' then 'PACKAGE' when 'click' then 'TABLE' when 'error' then 'TRIGGER' else 'VIEW' end AS ty FROM events",
+)
+TABLES["action_items"] = (
+    lambda t: t.part.select(F.expr("concat('{\"', p_size, '\": {\"severityType\": \"', case when p_size % 4 = 0 then 'CRITICAL' else 'WARNING' end, '\"}, \"z', p_partkey, '\": \"text\"}')").alias("doc")),
+    "SELECT DISTINCT cast(p_size as varchar) AS code, case when p_size % 4 = 0 then 'CRITICAL' else 'WARNING' end AS severity FROM part",
+)
