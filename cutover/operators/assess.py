@@ -15,6 +15,8 @@ NODE = ("struct<name:string,statistic:struct<objectType:string,countErrorNodes:s
 CODE_TYPES = ["PROCEDURE", "FUNCTION", "PACKAGE", "PACKAGE BODY", "TRIGGER", "TYPE", "TYPE BODY", "VIEW", "MATERIALIZED VIEW"]
 CRITICAL = "CRITICAL"
 MAX_DEPTH = 64
+# Critical codes carried as literals; a longer list is joined.
+LITERAL_CODES = 2_000
 
 c = F.col
 
@@ -22,25 +24,26 @@ c = F.col
 def flatten_trees(docs: DataFrame, id_column: str, json_column: str) -> DataFrame:
     """One row per node of every tree, with its path of child positions and its depth.
 
-    One pass per level; levels are written out, so no level is computed twice.
+    One pass per level.  The text of a level's children is written out before
+    it is read, so no level is parsed again for the levels below it.
     """
-    level = docs.select(c(id_column), F.lit("0").alias("path"), F.from_json(json_column, NODE).alias("node"))
+    # unpacked from a one-element array, a node is parsed once and not once per field
+    node = lambda text: F.inline(F.array(F.from_json(text, NODE)))
+    level = docs.select(c(id_column), F.lit("0").alias("path"), node(json_column))
     levels = []
     while True:
-        level = stage(level, "tree-level")
-        if level.isEmpty():
-            break
+        levels.append(level.filter(c("name").isNotNull() | c("statistic").isNotNull()).select(
+            id_column, "path", F.lit(len(levels) + 1).alias("depth"), "name", c("statistic.objectType").alias("object_type"),
+            F.coalesce(F.nullif(c("statistic.countErrorNodes"), F.lit("")).cast("int"), F.lit(0)).alias("error_nodes"),
+            F.array_distinct(F.filter(c("statistic.messageActions.code"), lambda x: x.isNotNull() & (x != ""))).alias("codes"),
+            F.coalesce(F.size("children"), F.lit(0)).alias("children")))
+        children = level.select(id_column, "path", F.posexplode("children").alias("i", "child"))
+        children = stage(children.select(id_column, F.concat_ws("/", "path", c("i").cast("string")).alias("path"), "child"), "tree-level")
+        if children.isEmpty():
+            return union_all(levels)
         if len(levels) >= MAX_DEPTH:
             raise ValueError(f"a tree is deeper than {MAX_DEPTH} levels")
-        levels.append(level.filter(c("node").isNotNull()).select(
-            id_column, "path", F.lit(len(levels) + 1).alias("depth"), c("node.name").alias("name"),
-            c("node.statistic.objectType").alias("object_type"),
-            F.coalesce(F.nullif(c("node.statistic.countErrorNodes"), F.lit("")).cast("int"), F.lit(0)).alias("error_nodes"),
-            F.array_distinct(F.filter(c("node.statistic.messageActions.code"), lambda x: x.isNotNull() & (x != ""))).alias("codes"),
-            F.coalesce(F.size("node.children"), F.lit(0)).alias("children")))
-        level = level.select(id_column, "path", F.posexplode("node.children").alias("i", "child")).select(
-            id_column, F.concat_ws("/", "path", c("i").cast("string")).alias("path"), F.from_json("child", NODE).alias("node"))
-    return union_all(levels) if levels else level
+        level = children.select(id_column, "path", node("child"))
 
 
 def severity_dimension(docs: DataFrame, json_column: str) -> DataFrame:
@@ -56,11 +59,17 @@ def select_targets(nodes: DataFrame, severities: DataFrame, id_column: str, code
     if code_types_only:
         df = df.filter(c("object_type").isin(CODE_TYPES))
     critical = severities.filter(c("severity") == CRITICAL).select("code").distinct()
-    hits = df.select(id_column, "path", F.explode("codes").alias("code")).join(critical, "code").groupBy(id_column, "path").agg(
-        F.array_sort(F.collect_set("code")).alias("critical_codes"))
+    known = [r.code for r in critical.limit(LITERAL_CODES + 1).collect()]
+    if len(known) <= LITERAL_CODES:
+        # a code list this short travels with the plan: no shuffle of the nodes
+        found = F.array_intersect("codes", F.array(*(F.lit(x) for x in known)).cast("array<string>"))
+        df = df.withColumn("critical_codes", F.array_sort(F.coalesce(found, F.array().cast("array<string>"))))
+    else:
+        hits = df.select(id_column, "path", F.explode("codes").alias("code")).join(critical, "code").groupBy(id_column, "path").agg(
+            F.array_sort(F.collect_set("code")).alias("critical_codes"))
+        df = df.join(hits, [id_column, "path"], "left").withColumn("critical_codes", F.coalesce("critical_codes", F.array().cast("array<string>")))
     reasons = F.array_compact(F.array(
         F.when(c("error_nodes") > 0, F.concat(F.lit("countErrorNodes="), c("error_nodes"))),
         F.when(F.size("critical_codes") > 0, F.concat(F.lit("critical_codes="), F.array_join("critical_codes", ",")))))
-    return df.join(hits, [id_column, "path"], "left").withColumn("critical_codes", F.coalesce("critical_codes", F.array().cast("array<string>"))).withColumn(
-        "reasons", reasons).filter(F.size("reasons") > 0).select(
+    return df.withColumn("reasons", reasons).filter(F.size("reasons") > 0).select(
         id_column, "path", "object_type", F.element_at(F.split("name", r"\."), -1).alias("object_name"), "reasons", "error_nodes", "critical_codes")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cutover.functions.once import once
+
 c = F.col
 
 # Type aliases every mapper framework installation knows.
@@ -182,7 +184,7 @@ def fragment_parameters(fragments: DataFrame) -> DataFrame:
     named = F.transform("elements", lambda e: F.struct(
         e["kind"].alias("kind"), e["collection"].alias("collection"), e["when_tests"].alias("when_tests"),
         e["has_otherwise"].alias("has_otherwise"), bind_names(e["text"]).alias("params")))
-    df = fragments.withColumn("params", bind_names(c("content"))).withColumn("_els", named)
+    df = once(fragments, {"params": bind_names(c("content")), "_els": named})
     of = lambda kind: F.filter("_els", lambda e: e["kind"] == kind)
     dynamic = F.array_distinct(F.flatten(F.transform("_els", lambda e: e["params"])))
     return df.withColumns({
@@ -215,8 +217,10 @@ def scenarios(fragments: DataFrame) -> DataFrame:
         case(F.concat(F.lit("foreach "), x, F.lit(f": {label}")), texts(F.concat(F.lit("foreach:"), x, F.lit(f":{n}"))), none, x, n)
         for n, label in FOREACH_SIZES))))
     every = F.concat(ifs, chooses, lists)
-    df = fragments.withColumn("_cases", every).withColumn(
-        "_cases", F.when(F.size("_cases") == 0, F.array(case(F.lit(STATIC_SQL), none, none))).otherwise(c("_cases")))
+    kept = ["mapper", "namespace", "sql_id", "static_params"]
+    df = once(fragments.select(*kept, "if_params", "chooses", "collections"), {"_built": every})
+    plain = F.array(case(F.lit(STATIC_SQL), none, none))
+    df = df.select(*kept, F.when(F.size("_built") == 0, plain).otherwise(c("_built")).alias("_cases"))
     out = df.select("mapper", "namespace", "sql_id", "static_params", F.posexplode("_cases").alias("_i", "_c"))
     no = c("_i") + 1
     padded = F.when(no < 1000, F.lpad(no.cast("string"), 3, "0")).otherwise(no.cast("string"))
@@ -262,8 +266,7 @@ def substitute_tokens(files: DataFrame, literals: Mapping[str, str]) -> DataFram
     ``literals`` is a short list of rules, one replacement pass each.  Token
     starts are marked first, so that text inside another token is left alone.
     """
-    marked = F.regexp_replace("content", r"([#$])\{([^}]*)\}", MARK + r"$1{$2}")
-    df = files.withColumn("_m", marked)
+    df = once(files, {"_m": F.regexp_replace("content", r"([#$])\{([^}]*)\}", MARK + r"$1{$2}")})
     text, count = c("_m"), F.lit(0)
     for name, literal in literals.items():
         quoted = "".join(f"\\{ch}" if not ch.isalnum() else ch for ch in name)

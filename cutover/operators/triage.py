@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cutover.functions.once import once
 from cutover.operators.ordered import ranked, top_per_group
 
 # Failure groups in the order that numbers them, with nature and action.
@@ -49,10 +50,6 @@ def error_signature(error: Column) -> Column:
     return F.substring(strip(s), 1, SIGNATURE_CHARS)
 
 
-def _once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    return df.select("*", F.inline(F.array(F.struct(*(x.alias(n) for n, x in columns.items())))))
-
-
 def _verdict(group: str, category: str | Column) -> Column:
     return F.struct(F.lit(group).alias("group"), (F.lit(category) if isinstance(category, str) else category).alias("category"))
 
@@ -80,9 +77,9 @@ def classified(failures: DataFrame) -> DataFrame:
     """
     note, s, t = c("_note"), c("_src"), c("_tgt")
     other = c("failure_type").isNotNull() & (c("failure_type") != "") & (c("failure_type") != "execution_error")
-    noted = _once(failures, {"_note": F.coalesce("note", F.lit(""))})
-    sided = _once(noted, {"_src": source_side(note), "_tgt": target_side(note)})
-    prepared = _once(sided, {"_same": F.when((s != "") & (t != ""), error_signature(s) == error_signature(t))})
+    noted = once(failures, {"_note": F.coalesce("note", F.lit(""))})
+    sided = once(noted, {"_src": source_side(note), "_tgt": target_side(note)})
+    prepared = once(sided, {"_same": F.when((s != "") & (t != ""), error_signature(s) == error_signature(t))})
     verdict = (
         F.when(other, _verdict(SUSPECT, c("failure_type")))
         .when(note.contains("Mapped Statements collection does not contain"), _verdict(MISGENERATED, "mybatis_stmt_not_found"))
