@@ -61,10 +61,9 @@ def read_json_documents(spark: SparkSession, folder: str, schema: str, one_per_f
 
 
 def count_corrupt(spark: SparkSession, folder: str, schema: str, one_per_file: bool = True) -> int:
-    df = spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", str(one_per_file).lower()).option(
-        "columnNameOfCorruptRecord", "_corrupt_record").json(folder)
-    # reading a field of the schema as well keeps the parser from skipping the document
-    return df.filter(c("_corrupt_record").isNotNull() & F.coalesce(F.hash(*df.columns), F.lit(0)).isNotNull()).count()
+    texts = spark.read.text(folder, wholetext=one_per_file)
+    parsed = F.from_json("value", f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
+    return texts.filter(parsed["_corrupt_record"].isNotNull()).count()
 
 
 def looks_like(text: Column, marks: Sequence[str] = MAPPER_MARKS, head_chars: int = HEAD_CHARS) -> Column:
@@ -77,7 +76,7 @@ def looks_like(text: Column, marks: Sequence[str] = MAPPER_MARKS, head_chars: in
 
 def read_corpus(spark: SparkSession, folder: str, exclude_dirs: Sequence[str] = (), suffix: str = ".xml", marks: Sequence[str] = MAPPER_MARKS) -> DataFrame:
     """Whole files below a folder as (file, content): mappers only, no resource forks, no excluded folders."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").text(folder)
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=f"*{suffix}")
     root = folder.rstrip("/").removeprefix("file:").replace("//", "/")
     path = c("_metadata.file_path")
     relative = F.substr(path, F.locate(root + "/", path) + len(root) + 1)
