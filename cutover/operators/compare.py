@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutover.functions.equality import cell_text, cells_equal
-from cutover.operators.ordered import Order, global_index, sort_columns
+from cutover.operators.ordered import Order, global_index
 
 # Outcome names of the comparison report.
 PASSED, FAILED, SKIPPED = "passed", "failed", "skipped"
@@ -212,10 +212,17 @@ def multiset_diff(source: DataFrame, target: DataFrame) -> DataFrame:
         *names, F.when(c("_d") > 0, "missing_in_target").otherwise("extra_in_target").alias("change"), F.abs("_d").alias("copies"))
 
 
+def _indexed(df: DataFrame, order: Order) -> tuple[DataFrame, int]:
+    """Rows numbered in ``order`` and how many there are; the count reads the written index, not the input."""
+    rows = global_index(df, order, "_i")
+    last = rows.agg(F.max("_i")).first()[0]
+    return rows, 0 if last is None else last + 1
+
+
 def bounded(df: DataFrame, order: Order, kept: int = KEPT_ROWS) -> DataFrame:
     """The first ``kept`` rows with the exact total and a flag telling whether rows were left out."""
-    total = df.count()
-    return df.orderBy(*sort_columns(order)).limit(kept).withColumns({
+    rows, total = _indexed(df, order)
+    return rows.filter(c("_i") < kept).drop("_i").withColumns({
         "total_rows": F.lit(total).cast("bigint"), "sampled": F.lit(total > kept)})
 
 
@@ -224,8 +231,7 @@ def head_middle_tail(df: DataFrame, order: Order, head: int = HEAD, middle: int
 
     A result no longer than the sample is kept whole.
     """
-    n = df.count()
-    rows = global_index(df, order, "_i")
+    rows, n = _indexed(df, order)
     if n <= head + middle + tail:
         return rows.withColumnRenamed("_i", "sample_index").withColumn("total_rows", F.lit(n).cast("bigint"))
     step = max(1, (n - head - tail) // middle)

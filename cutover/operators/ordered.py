@@ -21,6 +21,8 @@ from cutover.session import stage
 
 # Largest group that is still handed to an ordinary window in one task.
 PLAIN_WINDOW_ROWS = 1_000_000
+# Most rows a top-k keeps per task and then merges in one; beyond it rows are indexed instead.
+TAKE_ROWS = 1_000
 
 Order = Sequence[str | tuple[str, str]]
 
@@ -126,7 +128,8 @@ def ranked(
 
     ``columns`` maps an output name to one of ``("row_number",)``, ``("rank",)``,
     ``("dense_rank",)``, ``("percent_rank",)``, ``("cume_dist",)``, ``("ntile", k)``,
-    ``("count",)``, ``("lag", c)``, ``("lead", c)``, ``("running_sum", c)``.
+    ``("count",)``, ``("lag", c)``, ``("lead", c)``, ``("running_sum", c)``,
+    ``("total", c)``.
     ``tie_break`` completes ``order_by`` to a total order.
     """
     if partition_by and largest_group(df, partition_by) <= plain_rows:
@@ -144,6 +147,8 @@ def _plain(df, partition_by, order_by, tie_break, columns) -> DataFrame:
             col = getattr(F, kind)(arg[0]).over(by_row)
         elif kind == "running_sum":
             col = F.sum(arg[0]).over(by_row.rowsBetween(W.unboundedPreceding, W.currentRow))
+        elif kind == "total":
+            col = F.sum(arg[0]).over(whole)
         elif kind == "ntile":
             col = F.ntile(arg[0]).over(by_row)
         elif kind == "row_number":
@@ -162,8 +167,8 @@ def _by_segment(df, partition_by, order_by, tie_break, columns) -> DataFrame:
     group = list(partition_by)
     value_names = _names(order_by)
     kinds = {kind for kind, *_ in columns.values()}
-    carried = sorted({arg[0] for kind, *arg in columns.values() if kind in ("lag", "lead", "running_sum")})
-    summed = {arg[0] for kind, *arg in columns.values() if kind == "running_sum"}
+    carried = sorted({arg[0] for kind, *arg in columns.values() if kind in ("lag", "lead")})
+    summed = sorted({arg[0] for kind, *arg in columns.values() if kind in ("running_sum", "total")})
     seg = _segmented(df, sort_columns([*group, *order_by, *tie_break]))
 
     edges = _edges(seg, group, value_names, carried, summed)
@@ -199,6 +204,8 @@ def _by_segment(df, partition_by, order_by, tie_break, columns) -> DataFrame:
         elif kind == "running_sum":
             carry, here = F.col(f"e.sum_before_{arg[0]}"), F.col(f"l._run_{arg[0]}")
             col = F.when(carry.isNull(), here).when(here.isNull(), carry).otherwise(carry + here)
+        elif kind == "total":
+            col = F.when(F.col("e.total").isNotNull(), F.col(f"e.sum_all_{arg[0]}")).otherwise(F.col(f"l._all_{arg[0]}"))
         else:
             col = _derive(kind, arg[0] if arg else None, rn, rank, dense, upto, total)
         out.append(col.alias(name))
@@ -219,8 +226,11 @@ def _local(seg, group, order_by, kinds, carried, summed) -> DataFrame:
         cols.append(F.count(F.lit(1)).over(by_value.rangeBetween(W.unboundedPreceding, W.currentRow)).alias("_upto"))
     for c in carried:
         cols += [F.lag(c).over(by_row).alias(f"_lag_{c}"), F.lead(c).over(by_row).alias(f"_lead_{c}")]
-    for c in sorted(summed):
-        cols.append(F.sum(c).over(by_row.rowsBetween(W.unboundedPreceding, W.currentRow)).alias(f"_run_{c}"))
+    for c in summed:
+        if "running_sum" in kinds:
+            cols.append(F.sum(c).over(by_row.rowsBetween(W.unboundedPreceding, W.currentRow)).alias(f"_run_{c}"))
+        if "total" in kinds:
+            cols.append(F.sum(c).over(whole).alias(f"_all_{c}"))
     return seg.select("*", *cols)
 
 
@@ -248,7 +258,7 @@ def _edges(seg, group, value_names, carried, summed) -> DataFrame:
         F.max("_at").alias("hi"),
         *(F.min_by(F.struct(c), "_at").alias(f"first_{c}") for c in carried),
         *(F.max_by(F.struct(c), "_at").alias(f"last_{c}") for c in carried),
-        *(F.sum(c).alias(f"sum_{c}") for c in sorted(summed)),
+        *(F.sum(c).alias(f"sum_{c}") for c in summed),
     )
     parts = runs.groupBy("_seg", *group).agg(
         F.sum("rows").alias("n"),
@@ -259,7 +269,7 @@ def _edges(seg, group, value_names, carried, summed) -> DataFrame:
         F.max_by("rows", "lo").alias("last_rows"),
         *(F.min_by(f"first_{c}", "lo").alias(f"first_{c}") for c in carried),
         *(F.max_by(f"last_{c}", "lo").alias(f"last_{c}") for c in carried),
-        *(F.sum(f"sum_{c}").alias(f"sum_{c}") for c in sorted(summed)),
+        *(F.sum(f"sum_{c}").alias(f"sum_{c}") for c in summed),
     )
     by_seg = W.partitionBy(*group).orderBy("_seg")
     earlier = by_seg.rowsBetween(W.unboundedPreceding, -1)
@@ -286,7 +296,8 @@ def _edges(seg, group, value_names, carried, summed) -> DataFrame:
         F.when(F.col("joins_next"), F.first("run_upto", ignorenulls=True).over(later)).alias("upto"),
         *(F.lag(f"last_{c}").over(by_seg)[c].alias(f"prev_{c}") for c in carried),
         *(F.lead(f"first_{c}").over(by_seg)[c].alias(f"next_{c}") for c in carried),
-        *(F.sum(f"sum_{c}").over(earlier).alias(f"sum_before_{c}") for c in sorted(summed)),
+        *(F.sum(f"sum_{c}").over(earlier).alias(f"sum_before_{c}") for c in summed),
+        *(F.sum(f"sum_{c}").over(whole).alias(f"sum_all_{c}") for c in summed),
     )
 
 
@@ -297,9 +308,15 @@ def top_per_group(df: DataFrame, partition_by: Sequence[str], order_by: Order, k
 
 
 def page(df: DataFrame, order: Order, start_row: int, end_row: int, name: str = "rnum") -> DataFrame:
-    """Rows ``start_row..end_row`` (1-based, inclusive) of the ordered result, numbered."""
-    size = end_row - start_row + 1
-    rows = df.orderBy(*sort_columns(order)).offset(start_row - 1).limit(size)
+    """Rows ``start_row..end_row`` (1-based, inclusive) of the ordered result, numbered.
+
+    Early pages are a top-k.  Deep ones index the rows, since a top-k would
+    bring ``end_row`` rows of every task to a single one.
+    """
+    if end_row > TAKE_ROWS:
+        rows = global_index(df, order, name).filter(F.col(name).between(start_row - 1, end_row - 1))
+        return rows.withColumn(name, F.col(name) + 1)
+    rows = df.orderBy(*sort_columns(order)).offset(start_row - 1).limit(end_row - start_row + 1)
     # the window below sees one page at most
     return rows.withColumn(name, F.row_number().over(W.orderBy(*sort_columns(order))).cast("bigint") + F.lit(start_row - 1))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cutover.functions.once import once
 from cutover.operators.ordered import ranked, top_per_group
+from cutover.session import stage
 
 # Failure groups in the order that numbers them, with nature and action.
 GROUPS = [
@@ -120,7 +121,8 @@ def category_histogram(members: DataFrame) -> DataFrame:
     counts = members.groupBy("group", "category").agg(
         F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"),
         F.min_by("error", F.when(F.coalesce(c("error"), F.lit("")) != "", c("seq"))).alias("first_error"))
-    return ranked(counts, ["group"], [("n", "desc")], ["first_seq"], {"rank": ("row_number",)})
+    # written out, so that the failures are classified once
+    return ranked(stage(counts, "histogram"), ["group"], [("n", "desc")], ["first_seq"], {"rank": ("row_number",)})
 
 
 def plan_types(members: DataFrame) -> DataFrame:

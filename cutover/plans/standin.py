@@ -199,7 +199,7 @@ _table("failures", "events", {
     "mapper": ("case when event_id % 4 <> 0 then concat('M', user_id % 7) end", None),
     "sql_id": ("concat('q', user_id % 23)", None),
     "failure_type": ("case event_type when 'view' then 'value_mismatch' when 'purchase' then 'row_count_mismatch' when 'click' then null else 'execution_error' end", None),
-    "note": (f"case when event_type = 'view' and event_id % 2 = 0 then null else {_NOTE} end", None),
+    "note": (f"case when user_id % 6 = 5 or (event_type = 'view' and event_id % 2 = 0) then null else {_NOTE} end", None),
 })
 
 # Several statement kinds may share one id; seq is the order in the file.

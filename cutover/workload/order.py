@@ -159,13 +159,13 @@ def sales_ranking(orders: DataFrame, customers: DataFrame, year: int | None = No
         df = df.filter(c("order_date").between(F.lit(date(year, 1, 1)), F.lit(date(year, 12, 31))))
     sales = df.select("order_id", "customer_id", "order_date", "total_amount").join(
         customers.select("customer_id", "customer_name"), "customer_id").drop("customer_id")
-    by_amount = ranked(sales, [], [("total_amount", "desc")], ["order_id"], {"rn": ("row_number",), "sales_rank": ("rank",)})
+    by_amount = ranked(sales, [], [("total_amount", "desc")], ["order_id"], {
+        "rn": ("row_number",), "sales_rank": ("rank",), "_all": ("total", "total_amount")})
     by_date = ranked(by_amount, [], ["order_date"], ["order_id"], {
         "prev_order_amt": ("lag", "total_amount"), "next_order_amt": ("lead", "total_amount"),
         "running_total": ("running_sum", "total_amount")})
-    total = sales.agg(F.sum("total_amount")).first()[0]
-    share = F.lit(None).cast("decimal(5,2)") if not total else F.round(c("total_amount") * 100 / F.lit(total), 2)
-    return by_date.withColumn("sales_pct", share).withColumn("order_date", O.to_char_date(c("order_date")))
+    share = F.round(c("total_amount") * 100 / F.nullif(c("_all"), F.lit(0)), 2)
+    return by_date.withColumn("sales_pct", share).withColumn("order_date", O.to_char_date(c("order_date"))).drop("_all")
 
 
 def sales_by_category(orders: DataFrame, items: DataFrame, products: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutover.functions import oracle as O
-from cutover.operators.ordered import Order, global_index, listagg_parts, ranked
+from cutover.operators.ordered import global_index, listagg_parts, ranked
+from cutover.session import stage
 from cutover.workload import labels as L
 from cutover.workload.common import append_aligned, replace_columns, stamp
 from cutover.workload.customer import _keyword_filter
@@ -17,10 +18,10 @@ c = F.col
 
 
 def order_summary(orders: DataFrame, customers: DataFrame) -> DataFrame:
-    joined = orders.join(customers.select("customer_id", "customer_name", "customer_type"), "customer_id")
     tax = O.nvl(c("tax_amount"), F.lit(0))
-    rankd = ranked(joined, ["customer_id"], [("total_amount", "desc")], ["order_id"], {"amount_rank": ("rank",)})
-    return rankd.select(
+    # the join keeps or drops whole customers, so ranks may come first
+    by_amount = ranked(orders, ["customer_id"], [("total_amount", "desc")], ["order_id"], {"amount_rank": ("rank",)})
+    return by_amount.join(customers.select("customer_id", "customer_name", "customer_type"), "customer_id").select(
         "order_id", "customer_name", O.decode(c("customer_type"), *L.CUSTOMER_TYPE, L.OTHER).alias("cust_type"),
         O.to_char_date(c("order_date")).alias("order_date_str"), "total_amount", tax.alias("tax_amount"),
         (c("total_amount") - tax).alias("net_amount"), "order_status",
@@ -33,8 +34,10 @@ def product_sales(products: DataFrame, items: DataFrame) -> DataFrame:
         F.sum("unit_price").alias("p"), F.count("unit_price").alias("n"))
     sums = per_order.groupBy("product_id").agg(
         F.sum("q").alias("q"), F.sum("r").alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("orders"))
-    sold = products.join(sums, "product_id", "left").withColumn("revenue", O.nvl(c("r"), F.lit(0)))
-    total = sums.agg(F.sum("r")).first()[0]
+    columns = ["product_id", "product_name", "category", "unit_price"]
+    # one row per product, written out so that the total does not read the lines again
+    sold = stage(products.select(columns).join(sums, "product_id", "left").withColumn("revenue", O.nvl(c("r"), F.lit(0))), "product-sales")
+    total = sold.agg(F.sum("revenue")).first()[0]
     share = F.round(c("revenue") * 100 / F.lit(total), 2) if total else F.lit(None)
     return sold.select(
         "product_id", "product_name", "category", c("unit_price").alias("list_price"),

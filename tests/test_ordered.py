@@ -8,6 +8,7 @@ from cutover.operators import ordered as O
 WANT = {
     "rn": ("row_number",), "rk": ("rank",), "dr": ("dense_rank",), "pr": ("percent_rank",), "cd": ("cume_dist",),
     "nt": ("ntile", 4), "n": ("count",), "lg": ("lag", "x"), "ld": ("lead", "x"), "rs": ("running_sum", "x"),
+    "tot": ("total", "x"),
 }
 
 
@@ -28,6 +29,7 @@ def brute(rows, desc):
         sizes = [q + 1] * r + [q] * (4 - r)
         tiles = [b + 1 for b, s in enumerate(sizes) for _ in range(s)]
         seen = []
+        whole = sum(t[2] for t in items if t[2] is not None) if any(t[2] is not None for t in items) else None
         for i, (v, k, x) in enumerate(items):
             if not seen or seen[-1] != v:
                 seen.append(v)
@@ -37,7 +39,7 @@ def brute(rows, desc):
                 run = (run or 0) + x
             out[(g, k)] = (
                 i + 1, first + 1, len(seen), first / (n - 1) if n > 1 else 0.0, (last + 1) / n, tiles[i], n,
-                items[i - 1][2] if i else None, items[i + 1][2] if i + 1 < n else None, run,
+                items[i - 1][2] if i else None, items[i + 1][2] if i + 1 < n else None, run, whole,
             )
     return out
 
@@ -87,6 +89,7 @@ def test_global_index_is_gap_free(many_segments):
 def test_page_and_top(spark):
     df = spark.range(100).withColumnRenamed("id", "k")
     assert [(r.k, r.rnum) for r in O.page(df, [("k", "desc")], 11, 13).orderBy("rnum").collect()] == [(89, 11), (88, 12), (87, 13)]
+    assert [(r.k, r.rnum) for r in O.page(spark.range(3000).withColumnRenamed("id", "k"), ["k"], 2001, 2002).orderBy("rnum").collect()] == [(2000, 2001), (2001, 2002)]
     top = O.top_per_group(df.withColumn("g", F.col("k") % 3), ["g"], [("k", "desc")], 1)
     assert sorted(r.k for r in top.collect()) == [97, 98, 99]
 
