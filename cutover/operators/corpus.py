@@ -93,7 +93,7 @@ def _elements(node) -> list[dict]:
     return out
 
 
-def _parse(name: str, text: str) -> tuple:
+def _parse(name: str, text: str, with_fragments: bool) -> tuple:
     builder = ElementTree.TreeBuilder(insert_comments=True, insert_pis=True)
     try:
         root = ElementTree.fromstring(text, ElementTree.XMLParser(target=builder))
@@ -101,7 +101,7 @@ def _parse(name: str, text: str) -> tuple:
         return name, False, str(e).splitlines()[0], None, None, [], []
     types = [v for el in root.iter() if isinstance(el.tag, str) for a in ("resultType", "parameterType") if (v := el.get(a))]
     fragments = []
-    if root.tag == "mapper":
+    if with_fragments and root.tag == "mapper":
         for pos, el in enumerate(root):
             if isinstance(el.tag, str):
                 sql_id = el.get("id")
@@ -111,11 +111,11 @@ def _parse(name: str, text: str) -> tuple:
     return name, True, None, root.tag, root.get("namespace"), types, fragments
 
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """Parse every file once: health, type names and top-level statements."""
+def parse_files(files: DataFrame, with_fragments: bool = True) -> DataFrame:
+    """Parse every file once: health, type names and, unless told otherwise, top-level statements."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([_parse(n, t) for n, t in zip(batch["file"], batch["content"])],
+            yield pd.DataFrame([_parse(n, t, with_fragments) for n, t in zip(batch["file"], batch["content"])],
                                columns=["file", "ok", "error", "root", "namespace", "type_names", "fragments"])
 
     return files.select("file", "content").mapInPandas(run, PARSED)

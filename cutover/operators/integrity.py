@@ -7,6 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cutover.operators.load import union_all
+from cutover.session import stage
+
 c = F.col
 
 
@@ -23,19 +26,18 @@ def orphans(child: DataFrame, parent: DataFrame, child_cols: Sequence[str], pare
 
 
 def foreign_key_check(constraints: Mapping[str, tuple], sample: int = 5) -> DataFrame:
-    """One row per constraint: orphan keys, orphan rows and the first few orphan keys."""
-    out = None
+    """One row per constraint: orphan keys, orphan rows and the first few orphan keys.
+
+    Orphans are written out once, then counted and sampled from there.
+    """
+    rows = []
     for name, (child, parent, child_cols, parent_cols) in constraints.items():
-        found = orphans(child, parent, child_cols, parent_cols)
+        found = stage(orphans(child, parent, child_cols, parent_cols), "orphans")
         keys = [f"k{i}" for i in range(len(child_cols))]
-        totals = found.agg(F.count(F.lit(1)).alias("orphan_keys"), F.coalesce(F.sum("child_rows"), F.lit(0)).alias("orphans"))
-        # the sample is a handful of rows by definition
-        text = F.concat_ws("/", *(c(k).cast("string") for k in keys))
-        first = found.orderBy(*keys).limit(sample).agg(F.array_sort(F.collect_list(F.struct(*keys, text.alias("text")))).alias("s")).select(
-            F.array_join(c("s").getField("text"), ";").alias("sample"))
-        row = totals.withColumn("constraint_name", F.lit(name)).join(first.withColumn("constraint_name", F.lit(name)), "constraint_name")
-        out = row if out is None else out.unionByName(row)
-    return out.withColumn("holds", c("orphans") == 0)
+        first = found.orderBy(*keys).limit(sample).select(F.concat_ws("/", *(c(k).cast("string") for k in keys)).alias("t")).collect()
+        rows.append(found.agg(F.count(F.lit(1)).alias("orphan_keys"), F.coalesce(F.sum("child_rows"), F.lit(0)).alias("orphans")).withColumns({
+            "constraint_name": F.lit(name), "sample": F.lit(";".join(r.t for r in first))}))
+    return union_all(rows).withColumn("holds", c("orphans") == 0)
 
 
 def key_check(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -45,10 +45,11 @@ SELECT variable, count(*) AS n FROM (SELECT trim(split_part(split_part(trim(unne
 # a control character or an open tag makes a file unreadable
 _OK = r"(doc_id % 10 <> 3 AND NOT regexp_matches(content, '[\x00-\x08\x0B\x0C\x0E-\x1F]'))"
 _parsed = lambda t: C.parse_files(t.corpus)
-query("c03_unknown_aliases", "alias:s n:i", f"SELECT lang || 'Map' AS alias, count(*) AS n FROM corpus JOIN documents USING (doc_id) WHERE {_OK} GROUP BY 1")(lambda t: C.unknown_aliases(_parsed(t)))
+_health = lambda t: C.parse_files(t.corpus, with_fragments=False)
+query("c03_unknown_aliases", "alias:s n:i", f"SELECT lang || 'Map' AS alias, count(*) AS n FROM corpus JOIN documents USING (doc_id) WHERE {_OK} GROUP BY 1")(lambda t: C.unknown_aliases(_health(t)))
 query("c04_procedure_files", "file:s", "SELECT DISTINCT file FROM corpus WHERE contains(upper(content), 'CALL ') OR contains(upper(content), 'EXEC ') OR contains(upper(content), 'EXECUTE ')")(lambda t: C.procedure_files(t.corpus))
-query("c05_parse_health", "mapper_count:i parsed_ok:i parse_errors:i", f"SELECT count(*) AS mapper_count, count(*) FILTER ({_OK}) AS parsed_ok, count(*) FILTER (NOT {_OK}) AS parse_errors FROM corpus")(lambda t: C.parse_health(_parsed(t)))
-query("c05_parse_errors", "file:s", f"SELECT file FROM corpus WHERE NOT {_OK}")(lambda t: C.parse_errors(_parsed(t)))
+query("c05_parse_health", "mapper_count:i parsed_ok:i parse_errors:i", f"SELECT count(*) AS mapper_count, count(*) FILTER ({_OK}) AS parsed_ok, count(*) FILTER (NOT {_OK}) AS parse_errors FROM corpus")(lambda t: C.parse_health(_health(t)))
+query("c05_parse_errors", "file:s", f"SELECT file FROM corpus WHERE NOT {_OK}")(lambda t: C.parse_errors(_health(t)))
 _FRAGS = f"""SELECT doc_id, 'M' || doc_id AS mapper, 'app.' || source AS namespace, file AS source_file, unnest(case when doc_id % 4 = 0 then [1, 2, 3] else [1, 2] end) AS pos,
   unnest(['rm', 'q' || doc_id, '__el_update_3']) AS sql_id, unnest(['resultMap', 'select', 'update']) AS statement_type FROM corpus JOIN documents USING (doc_id) WHERE {_OK}"""
 _FRAGS = f"SELECT * FROM ({_FRAGS}) WHERE pos IS NOT NULL"

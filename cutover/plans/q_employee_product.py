@@ -7,6 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import functions as F
 
 from cutover.functions import oracle as O
+from cutover.operators.ordered import ranked
 from cutover.plans.q_customer_order import AS_OF, DAY, LINE_SQL, SECOND, STATUS_SQL, TODAY, TYPE_SQL, full_months
 from cutover.plans.registry import query
 from cutover.plans.sqltext import cents, half_up, krw, krw_half_up
@@ -197,6 +198,22 @@ SELECT customer_id, (rn - 1) // 10000 + 1 AS part_no, string_agg(cast(order_id a
 FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY order_date, order_id) AS rn FROM shop_orders) GROUP BY 1, 2
 """)(lambda t: views.check_lists(t.shop_orders))
 
+# the path for large groups, and lists that go on in further parts
+query("q46_check_lists_in_parts", "customer_id:i part_no:i order_list:s", """
+SELECT customer_id, (rn - 1) // 4 + 1 AS part_no, string_agg(cast(order_id as varchar), ', ' ORDER BY rn) AS order_list
+FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY order_date, order_id) AS rn FROM shop_orders) GROUP BY 1, 2
+""")(lambda t: views.check_lists(t.shop_orders, part_rows=4, plain_rows=0))
+
+query("q45_windows_by_segment", "order_id:i order_status:s rn:i rnk:i drnk:i pr:d cd:d tile:i n:i prev_amount:d next_amount:d running_total:d total:d", """
+SELECT order_id, order_status, row_number() OVER w AS rn, rank() OVER v AS rnk, dense_rank() OVER v AS drnk, round(percent_rank() OVER v, 9) AS pr, round(cume_dist() OVER v, 9) AS cd, ntile(7) OVER w AS tile,
+  count(*) OVER (PARTITION BY order_status) AS n, lag(total_amount) OVER w AS prev_amount, lead(total_amount) OVER w AS next_amount,
+  sum(total_amount) OVER (PARTITION BY order_status ORDER BY order_date DESC, order_id ROWS UNBOUNDED PRECEDING) AS running_total, sum(total_amount) OVER (PARTITION BY order_status) AS total
+FROM shop_orders WINDOW v AS (PARTITION BY order_status ORDER BY order_date DESC), w AS (PARTITION BY order_status ORDER BY order_date DESC, order_id)
+""")(lambda t: ranked(t.shop_orders.select("order_id", "order_status", "order_date", "total_amount"), ["order_status"], [("order_date", "desc")], ["order_id"], {
+    "rn": ("row_number",), "rnk": ("rank",), "drnk": ("dense_rank",), "_pr": ("percent_rank",), "_cd": ("cume_dist",), "tile": ("ntile", 7), "n": ("count",),
+    "prev_amount": ("lag", "total_amount"), "next_amount": ("lead", "total_amount"), "running_total": ("running_sum", "total_amount"),
+    "total": ("total", "total_amount")}, plain_rows=0).withColumns({"pr": F.round("_pr", 9), "cd": F.round("_cd", 9)}))
+
 query("u1_format_amount", "order_id:i krw:s usd:s jpy:s eur:s", f"""
 SELECT order_id, {krw('x')} AS krw, '$' || f AS usd, {krw('x')} AS jpy, f || ' EUR' AS eur FROM (
   SELECT *, regexp_replace(case when x < 0 then '-' else '' end || format('{{:,}}', cast(abs(cast(x * 100 as bigint)) // 100 as bigint)) || '.' || lpad(cast(abs(cast(x * 100 as bigint)) % 100 as varchar), 2, '0'), '^(-?)0\\.', '\\1.') AS f

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutover.functions import oracle as O
-from cutover.operators.ordered import global_index, listagg_parts, ranked
+from cutover.operators.ordered import PLAIN_WINDOW_ROWS, global_index, listagg_parts, ranked
 from cutover.session import stage
 from cutover.workload import labels as L
 from cutover.workload.common import append_aligned, replace_columns, stamp
@@ -129,6 +129,6 @@ def check_windows(orders: DataFrame) -> DataFrame:
         "running_total": ("running_sum", "total_amount")}).drop("order_date")
 
 
-def check_lists(orders: DataFrame, part_rows: int = 10_000) -> DataFrame:
+def check_lists(orders: DataFrame, part_rows: int = 10_000, plain_rows: int = PLAIN_WINDOW_ROWS) -> DataFrame:
     items = orders.select("customer_id", "order_id", "order_date", c("order_id").cast("string").alias("id_text"))
-    return listagg_parts(items, ["customer_id"], {"order_list": "id_text"}, ["order_date"], ["order_id"], part_rows=part_rows).drop("items")
+    return listagg_parts(items, ["customer_id"], {"order_list": "id_text"}, ["order_date"], ["order_id"], part_rows=part_rows, plain_rows=plain_rows).drop("items")
