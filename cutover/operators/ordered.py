@@ -171,7 +171,7 @@ def _by_segment(df, partition_by, order_by, tie_break, columns) -> DataFrame:
     summed = sorted({arg[0] for kind, *arg in columns.values() if kind in ("running_sum", "total")})
     seg = _segmented(df, sort_columns([*group, *order_by, *tie_break]))
 
-    edges = _edges(seg, group, value_names, carried, summed)
+    edges = _edges(seg, group, value_names, kinds, carried, summed)
     local = _local(seg, group, order_by, kinds, carried, summed)
     joined = local.alias("l").join(
         F.broadcast(edges.alias("e")),
@@ -234,48 +234,62 @@ def _local(seg, group, order_by, kinds, carried, summed) -> DataFrame:
     return seg.select("*", *cols)
 
 
-def _edges(seg, group, value_names, carried, summed) -> DataFrame:
+def _rows_at(seg: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows at the given positions, which are a few per segment."""
+    return seg.join(F.broadcast(marks.distinct()), "_at")
+
+
+def _touching(seg, group) -> DataFrame:
+    """Rows of the groups that may go on in another segment: the first and the last of each."""
+    if not group:
+        return seg
+    keys = ["_seg", *group]
+    ends = seg.groupBy("_seg").agg(F.min("_at").alias("lo"), F.max("_at").alias("hi"))
+    wanted = _rows_at(seg.select(*keys, "_at"), ends.select(F.explode(F.array("lo", "hi")).alias("_at"))).select(*keys).distinct()
+    return seg.alias("s").join(F.broadcast(wanted.alias("t")), _all([same(F.col(f"s.{k}"), F.col(f"t.{k}")) for k in keys]), "left_semi")
+
+
+def _edges(seg, group, value_names, kinds, carried, summed) -> DataFrame:
     """What a group's segment must know of the group's other segments.
 
-    Only the first and the last group of a segment can go on in another one, so
-    this holds at most two rows per segment, whatever the number of groups.
+    At most two rows per segment, whatever the number of groups.  Positions are
+    aggregated first and the rows there looked up after, which keeps the
+    aggregates over all rows in hash form.
     """
-    key = F.struct(*(F.col(g) for g in group)) if group else F.lit(0)
-    touching = (
-        seg.groupBy("_seg")
-        .agg(F.min_by(key, "_at").alias("lo"), F.max_by(key, "_at").alias("hi"))
-        .select("_seg", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("_key"))
-    )
-    candidates = seg.withColumn("_key", key).alias("s").join(
-        F.broadcast(touching.alias("t")),
-        (F.col("s._seg") == F.col("t._seg")) & same(F.col("s._key"), F.col("t._key")),
-        "left_semi",
-    )
+    keys = ["_seg", *group]
     value = F.struct(*(F.col(v) for v in value_names))
-    runs = candidates.withColumn("_value", value).groupBy("_seg", *group, "_value").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.min("_at").alias("lo"),
-        F.max("_at").alias("hi"),
-        *(F.min_by(F.struct(c), "_at").alias(f"first_{c}") for c in carried),
-        *(F.max_by(F.struct(c), "_at").alias(f"last_{c}") for c in carried),
-        *(F.sum(c).alias(f"sum_{c}") for c in summed),
-    )
-    parts = runs.groupBy("_seg", *group).agg(
-        F.sum("rows").alias("n"),
-        F.count(F.lit(1)).alias("values"),
-        F.min_by("_value", "lo").alias("first_value"),
-        F.max_by("_value", "lo").alias("last_value"),
-        F.min_by("rows", "lo").alias("first_rows"),
-        F.max_by("rows", "lo").alias("last_rows"),
-        *(F.min_by(f"first_{c}", "lo").alias(f"first_{c}") for c in carried),
-        *(F.max_by(f"last_{c}", "lo").alias(f"last_{c}") for c in carried),
-        *(F.sum(f"sum_{c}").alias(f"sum_{c}") for c in summed),
-    )
+    rows = _touching(seg, group).withColumn("_value", value)
+    # both are written, being small and used several times: the rows are then read once for each
+    ends = stage(rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min("_at").alias("lo"), F.max("_at").alias("hi"), *(F.sum(c).alias(f"sum_{c}") for c in summed)), "edges")
+    there = stage(_rows_at(seg.select("_at", value.alias("_value"), *(F.struct(c).alias(f"_box_{c}") for c in carried)),
+                           ends.select(F.explode(F.array("lo", "hi")).alias("_at"))), "edge-rows")
+    at = lambda end, label: there.select(
+        F.col("_at").alias(end), F.col("_value").alias(f"{label}_value"), *(F.col(f"_box_{c}").alias(f"{label}_{c}") for c in carried))
+    # ends and the rows found there hold a few rows per segment
+    parts = ends.join(F.broadcast(at("lo", "first")), "lo").join(F.broadcast(at("hi", "last")), "hi")
+    by_value = bool(kinds & {"rank", "percent_rank", "dense_rank", "cume_dist"})
+    if by_value:
+        bounds = parts.select(*keys, "first_value", "last_value")
+        on = [same(F.col(f"r.{k}"), F.col(f"p.{k}")) for k in keys]
+        # counting values costs a shuffle of them, so only where a rank needs it
+        distinct = F.count_distinct("_value") if "dense_rank" in kinds else F.lit(0).cast("bigint")
+        runs = rows.alias("r").join(F.broadcast(bounds.alias("p")), _all(on)).select("r.*", "first_value", "last_value").groupBy(*keys).agg(
+            F.count_if(same(F.col("_value"), F.col("first_value"))).alias("first_rows"),
+            F.count_if(same(F.col("_value"), F.col("last_value"))).alias("last_rows"),
+            distinct.alias("values"),
+        )
+        # both sides hold at most two rows per segment
+        parts = parts.alias("p").join(F.broadcast(runs.alias("r")), _all(on)).select("p.*", "first_rows", "last_rows", "values")
+    else:
+        nothing = F.lit(0).cast("bigint")
+        parts = parts.select("*", nothing.alias("first_rows"), nothing.alias("last_rows"), nothing.alias("values"))
     by_seg = W.partitionBy(*group).orderBy("_seg")
     earlier = by_seg.rowsBetween(W.unboundedPreceding, -1)
     upto_here = by_seg.rowsBetween(W.unboundedPreceding, W.currentRow)
     later = by_seg.rowsBetween(1, W.unboundedFollowing)
     whole = W.partitionBy(*group)
+    mixed = ~same(F.col("first_value"), F.col("last_value"))
 
     linked = parts.select(
         "*",
@@ -286,8 +300,8 @@ def _edges(seg, group, value_names, carried, summed) -> DataFrame:
     ).select(
         "*",
         # a run of equal values starts (ends) here unless the whole part continues its neighbour's run
-        F.when((F.col("values") > 1) | ~F.col("joins_prev"), F.col("before") + F.col("n") - F.col("last_rows") + 1).alias("run_from"),
-        F.when((F.col("values") > 1) | ~F.col("joins_next"), F.col("before") + F.col("first_rows")).alias("run_upto"),
+        F.when(mixed | ~F.col("joins_prev"), F.col("before") + F.col("n") - F.col("last_rows") + 1).alias("run_from"),
+        F.when(mixed | ~F.col("joins_next"), F.col("before") + F.col("first_rows")).alias("run_upto"),
     )
     return linked.select(
         "_seg", *group, "before", "total", "first_value", "last_value",
