@@ -42,7 +42,7 @@ def main() -> None:
         seconds[name] = round(timed(spark, folder, name), 3)
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
-        "queries": seconds, "sf": Path(folder).name.removeprefix("sf")}))
+        "queries": seconds, "sf": float(Path(folder).name.removeprefix("sf") or 0)}))
     spark.stop()
 
 

@@ -17,7 +17,8 @@ def only(df: DataFrame, key: str, ids: Sequence[int] | None) -> DataFrame:
 
 
 def stamp(as_of: datetime) -> Column:
-    return F.lit(as_of).cast("timestamp_ntz")
+    """A time without zone; going through text keeps the session's zone out of it."""
+    return F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def flagged(df: DataFrame, keys: DataFrame | None, key: str, flag: str = "_hit") -> DataFrame:

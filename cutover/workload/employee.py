@@ -11,7 +11,7 @@ from cutover.functions import oracle as O
 from cutover.operators.ordered import listagg_parts, ranked
 from cutover.session import stage
 from cutover.workload import labels as L
-from cutover.workload.common import append_aligned, assign_keys, flagged, only, replace_columns
+from cutover.workload.common import append_aligned, assign_keys, flagged, only, replace_columns, stamp
 
 c = F.col
 
@@ -147,7 +147,7 @@ def audit_entries(audit_log: DataFrame, table_name: str | None = None, start: da
         df = df.filter(c("changed_at") >= F.lit(start).cast("timestamp_ntz"))
     if end is not None:
         last = datetime(end.year, end.month, end.day) + timedelta(days=1) - timedelta(seconds=1)
-        df = df.filter(c("changed_at") <= F.lit(last).cast("timestamp_ntz"))
+        df = df.filter(c("changed_at") <= stamp(last))
     return df.orderBy(c("changed_at").desc_nulls_first(), c("log_id").desc()).select(
         "log_id", "table_name", "operation",
         F.substring("old_value", 1, 200).alias("old_value_short"), F.substring("new_value", 1, 200).alias("new_value_short"),
