@@ -20,7 +20,7 @@ BLOCK_BYTES = 1 << 22
 #: ASCII white space: blank, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = b" \t\n\x0b\x0c\r"
 
-_ARROW = {T.LongType(): pa.int64(), T.DoubleType(): pa.float64(), T.StringType(): pa.string(), T.BooleanType(): pa.bool_()}
+_ARROW = {T.LongType(): pa.int64(), T.DoubleType(): pa.float64(), T.StringType(): pa.string(), T.BooleanType(): pa.bool_(), T.BinaryType(): pa.binary()}
 
 
 def arrow_type(kind: T.DataType) -> pa.DataType:
@@ -76,7 +76,7 @@ _VALUES = {False: _table(False), True: _table(True)}
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[list(WHITE)] = False
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.ones(64, np.uint64)
+_POWERS = np.ones(1, np.uint64)
 
 
 def _powers(n: int) -> np.ndarray:
