@@ -6,11 +6,14 @@
    two of them must agree adapts to how dense the region is.  The next
    ``NEIGHBOURS`` rows that share at least ``LEAST_PREFIX`` values are
    candidates; the sort is by range, so a dense region spreads over tasks.
-3. Candidates whose signatures agree far too little are dropped.  The others
-   are confirmed on their full sets: first the most alike of each class, and
-   then all that still lie in different components.  Candidates within one
-   component need no confirmation, as they can't change it.
-4. Components are found by hooking and pointer jumping over written tables.
+3. Candidates whose signatures agree far too little are dropped; the others
+   join classes to clusters.  The most alike candidates of each class are
+   confirmed on their full sets, which gives components.
+4. A cluster may hold several components then.  The classes outside its largest
+   one are compared with all of the cluster, exactly and in blocks of at most
+   ``BLOCK`` classes a side, so no link inside a cluster is left to chance and
+   no pair is ever made a row.
+5. Components are found by hooking and pointer jumping over written tables.
 
 The number of trees follows from the number of classes so that a pair right at
 the threshold is missed by all of them with a probability of about ``MISS``.
@@ -40,6 +43,8 @@ MISS = 1e-4
 #: Candidates pass if at least so many of the short signature's 64 four-bit values agree:
 #: at similarity 0.8 that fails once in about 10^6 pairs.
 SHORT, LEAST_AGREEING = 64, 37
+#: Classes of a cluster that are compared with as many others in one group, and shingles at a time.
+BLOCK, COLUMNS = 1024, 4096
 
 SKETCH_DDL = "n_shingles long, _d1 long, _d2 long, _sig binary"
 _rng = np.random.default_rng(31)
@@ -272,6 +277,77 @@ def _most_alike(pairs: DataFrame) -> DataFrame:
     return picked.select(F.least("id", "other").alias("x"), F.greatest("id", "other").alias("y")).distinct()
 
 
+def _members(ends: DataFrame, clusters: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, cluster, component) of each class that has a candidate."""
+    of = lambda df, name: df.select(F.col("id").alias("_rep"), F.col("root").alias(f"_{name}"))
+    found = ends.join(of(clusters, "cluster"), "_rep", "left").join(of(roots, "component"), "_rep", "left")
+    return found.select(F.col("_rep").alias("id"), F.coalesce("_cluster", "_rep").alias("cluster"), F.coalesce("_component", "_rep").alias("component"))
+
+
+def _links_of_outliers(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(x, y): components of a cluster that some link joins, other than within the largest component."""
+    sizes = members.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
+    # of clusters with several components: the largest one, and how many classes are in and outside of it
+    split = sizes.groupBy("cluster").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("most")).filter("parts > 1")
+    split = split.select("cluster", F.col("most")["component"].alias("largest"), F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("most")["n"]) / BLOCK).alias("outer"), "n")
+    total = split.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not total:
+        return members.select(F.col("id").alias("x"), F.col("id").alias("y")).limit(0)
+    rows = members.join(split.drop("n"), "cluster")
+    small = (F.col("blocks") == 1) & (F.col("outer") == 1)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    shown = ["id", "cluster", "component", small.alias("small")]
+    inner = rows.select(*shown, F.lit(False).alias("outlier"), part("blocks").alias("b"), every("outer").alias("a"))
+    outer = rows.filter("component <> largest").select(*shown, F.lit(True).alias("outlier"), part("outer").alias("a"), every("blocks").alias("b")).select(*inner.columns)
+    # small clusters share groups; a large one has a group for each pair of its blocks
+    shared = F.pmod(F.xxhash64("cluster", F.lit("group")), F.lit(-(-total // BLOCK)))
+    keyed = inner.union(outer).withColumn("g", F.when(F.col("small"), shared)).withColumn("c", F.when(~F.col("small"), F.col("cluster")))
+    keyed = keyed.join(sets, F.col("id") == F.col("_rep")).select("g", "c", "a", "b", "id", "cluster", "component", "outlier", "set")
+
+    def compare(table: pa.Table) -> pa.Table:
+        cluster = table.column("cluster").to_numpy()
+        component = table.column("component").to_numpy()
+        outlier = table.column("outlier").to_numpy(zero_copy_only=False)
+        data = table.column("set").to_pylist()
+        found: set[tuple[int, int]] = set()
+        order = np.argsort(cluster, kind="stable")
+        for rows_of in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
+            left, right = rows_of[outlier[rows_of]], rows_of[~outlier[rows_of]]
+            if len(left) and len(right):
+                x, y = _alike([_unpacked(data[k]) for k in left], [_unpacked(data[k]) for k in right], percent)
+                pairs = np.stack([component[left[x]], component[right[y]]], 1)
+                found |= set(map(tuple, np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0).tolist()))
+        return pa.table({"x": pa.array([p[0] for p in found], pa.int64()), "y": pa.array([p[1] for p in found], pa.int64())})
+
+    return keyed.groupBy("g", "c", "a", "b").applyInArrow(compare, "x long, y long").distinct()
+
+
+def _alike(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (in left, in right) of sets that are alike enough, counted exactly by products of membership matrices."""
+    l_sizes, r_sizes = np.array([len(s) for s in left]), np.array([len(s) for s in right])
+    l_all, r_all = np.concatenate(left), np.concatenate(right)
+    words = np.intersect1d(l_all, r_all)  # others are in no intersection
+    shared = np.zeros((len(left), len(right)), np.float32)
+    placed = []
+    for sizes, values in ((l_sizes, l_all), (r_sizes, r_all)):
+        row, at = np.repeat(np.arange(len(sizes)), sizes), np.searchsorted(words, values)
+        ok = at < len(words)
+        ok[ok] = words[at[ok]] == values[ok]
+        by_word = np.argsort(at[ok], kind="stable")
+        placed.append((row[ok][by_word], at[ok][by_word], len(sizes)))
+    for low in range(0, len(words), COLUMNS):
+        parts = []
+        for row, at, n in placed:
+            a, b = np.searchsorted(at, [low, low + COLUMNS])
+            m = np.zeros((n, min(COLUMNS, len(words) - low)), np.float32)
+            m[row[a:b], at[a:b] - low] = 1
+            parts.append(m)
+        shared += parts[0] @ parts[1].T
+    counts = shared.astype(np.int64)
+    return np.nonzero((counts > 0) & (100 * counts >= percent * (l_sizes[:, None] + r_sizes[None] - counts)))
+
+
 def document_classes(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(_id, _h, n_shingles, component_id, kept) of each row of ``df``; _h is a hash of its text."""
     sketched = stage(sketches(df, shingle, doc_id, text), "near-sketches")
@@ -291,12 +367,8 @@ def document_classes(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     first = stage(_most_alike(pairs), "near-first")
     links = confirmed(first, sets, percent)
     roots = components(links)
-    a = roots.select(F.col("id").alias("x"), F.col("root").alias("rx"))
-    b = roots.select(F.col("id").alias("y"), F.col("root").alias("ry"))
-    apart = pairs.join(first, ["x", "y"], "left_anti").join(a, "x", "left").join(b, "y", "left").withColumns({"rx": F.coalesce("rx", "x"), "ry": F.coalesce("ry", "y")}).filter("rx <> ry")
-    apart = stage(apart.select("x", "y", "rx", "ry"), "near-apart")
-    more = confirmed(apart, sets, percent).join(apart, ["x", "y"]).select(F.col("rx").alias("x"), F.col("ry").alias("y"))
-    joined = components(more).select(F.col("id").alias("_v"), F.col("root").alias("_r"))
+    members = stage(_members(ends, components(pairs), roots), "near-members")
+    joined = components(_links_of_outliers(members, sets, percent)).select(F.col("id").alias("_v"), F.col("root").alias("_r"))
     final = roots.join(joined, F.col("root") == F.col("_v"), "left").select("id", F.coalesce("_r", "root").alias("root"))
     final = final.union(joined.join(roots, F.col("_v") == F.col("id"), "left_anti").select("_v", "_r"))
     labelled = classes.select(*digest, "_rep").join(final, F.col("_rep") == F.col("id"), "left").select(*digest, F.coalesce("root", "_rep").alias("_label"))
