@@ -17,7 +17,6 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import chain
-from os.path import commonprefix
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,9 +25,9 @@ from pyspark.sql import functions as F
 from cutover.llm.common import with_columns_by_batch
 
 #: Words with their counts, chunks with theirs, and pairs of tokens, that a worker keeps before it starts anew.
-WORD_ENTRIES, CHUNK_ENTRIES, PAIR_ENTRIES = 800_000, 600_000, 400_000
+WORD_ENTRIES, CHUNK_ENTRIES, PAIR_ENTRIES = 1_500_000, 1_200_000, 800_000
 #: Characters of the texts that are counted together.
-TURN_CHARS = 3_000_000
+TURN_CHARS = 6_000_000
 
 SPACE = "▁"
 COUNT_DDL = "n_tokens long, cut_at long"
@@ -122,7 +121,9 @@ class PrefixCounter:
         counts, last, previous = [0], [""], ""
         for name in sorted(chunks):
             chunk = name.replace(" ", SPACE)
-            same = len(commonprefix((previous, chunk)))
+            same, most = 0, min(len(previous), len(chunk))
+            while same < most and previous[same] == chunk[same]:
+                same += 1
             del counts[same + 1 :], last[same + 1 :]
             for end in range(same + 1, len(chunk) + 1):
                 start, starts = end - 1, []
@@ -151,6 +152,9 @@ class PrefixCounter:
         mark = re.compile(r"[!-@\[-`{-~]")
         odd = {a for p in self.rank for a, b in zip(p, p[1:]) if re.fullmatch(r"[^\W\d_]", a) and mark.match(b)}  # noqa: B905
         of = re.escape("".join(sorted(odd)))
+        self.plain = frozenset("!-.,:;?")
+        if any(c.isalpha() for c in odd):
+            raise ValueError("a piece has a letter before a mark")
         letter, other = f"[^\\W\\d_{of}]", f"(?:(?![ \n])[\\W\\d_{of}])"
         body = f"(?:{other}+|{letter}+(?!{mark.pattern}))"
         return f"\n| +{body}*{letter}?|{body}+{letter}?|{letter}"
@@ -159,6 +163,15 @@ class PrefixCounter:
         """Parts whose encodings don't depend on each other; together the normalised text."""
         return self.pattern.findall(" " + text.replace(SPACE, " ")) if text else []
 
+    def _parts(self, word: str) -> list[str]:
+        """The chunks of a word behind a blank; letters with one plain mark behind them are told without the pattern."""
+        if word.isalpha():
+            return [" " + word]
+        stem, mark = word[:-1], word[-1:]
+        if mark in self.plain and stem.isalpha():
+            return [" " + stem, mark]
+        return self.pattern.findall(" " + word)
+
     def counts(self, texts: list[str]) -> list[int]:
         """Exact token counts of whole texts; the new chunks of all of them are solved together."""
         texts = [t.replace(SPACE, " ") for t in texts]
@@ -167,7 +180,7 @@ class PrefixCounter:
         used = set(chain.from_iterable(w for w in split if w))
         if len(self.words) + len(used) > WORD_ENTRIES:
             self.words.clear()
-        parts = {w: self.pattern.findall(" " + w) for w in used if w not in self.words}
+        parts = {w: self._parts(w) for w in used if w not in self.words}
         whole = {i: self.chunks(t) for i, t in enumerate(texts) if split[i] is None}
         chunks = set(chain.from_iterable(chain(parts.values(), whole.values())))
         if len(self.totals) + len(chunks) > CHUNK_ENTRIES:
