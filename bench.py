@@ -15,7 +15,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from cutover.plans import all_queries  # noqa: E402
-from cutover.session import local_session  # noqa: E402
+from cutover.session import local_session, staged  # noqa: E402
 
 HEADLINE = [
     "flagship_reconcile_summary", "r04_positional_cells", "r08_keyed_diff", "r08_multiset_diff", "r11_sampled_match", "s01_status_summary",
@@ -27,9 +27,10 @@ HEADLINE = [
 
 
 def timed(spark, folder: str, name: str) -> float:
-    started = time.perf_counter()
-    all_queries()[name](spark, folder).write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - started
+    with staged(spark):
+        started = time.perf_counter()
+        all_queries()[name](spark, folder).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - started
 
 
 def main() -> None:

@@ -19,7 +19,9 @@ def cells_equal(left: Column, left_type: T.DataType, right: Column, right_type:
     """True when both are null or hold the same value; never null.
 
     Numbers compare as numbers whatever their width, booleans are not numbers,
-    and everything else of differing types compares by its exact text.
+    and everything else of differing types compares by its exact text.  A
+    decimal equals a float if each, cast to the other's type, gives the other:
+    0.1 equals the double written 0.1, and 0.10000000000000000001 does not.
     """
     if _numeric(left_type) and _numeric(right_type):
         if _floating(left_type) == _floating(right_type):
@@ -30,7 +32,8 @@ def cells_equal(left: Column, left_type: T.DataType, right: Column, right_type:
             return exact.cast("double").eqNullSafe(loose.cast("double")) & exact.cast("bigint").eqNullSafe(
                 loose.try_cast("bigint")
             )
-        return exact.cast("double").eqNullSafe(loose.cast("double"))
+        dtype = right_type if _floating(left_type) else left_type
+        return exact.cast("double").eqNullSafe(loose.cast("double")) & exact.eqNullSafe(loose.cast("double").try_cast(dtype))
     if isinstance(left_type, T.MapType) or isinstance(right_type, T.MapType):
         return cell_text(left, left_type).eqNullSafe(cell_text(right, right_type))
     if left_type == right_type or (isinstance(left_type, T.StringType) and isinstance(right_type, T.StringType)):
@@ -38,6 +41,29 @@ def cells_equal(left: Column, left_type: T.DataType, right: Column, right_type:
     return cell_text(left, left_type).eqNullSafe(cell_text(right, right_type))
 
 
+def grouped_cell(value: Column, own: T.DataType, other: T.DataType, text: Column) -> Column:
+    """A cell as (v): grouping by it puts together what ``cells_equal`` calls equal.
+
+    Both sides must be built with each other's types.  v is the value itself
+    where the types agree, and text otherwise.
+    """
+    if _numeric(own) and _numeric(other) and own != other:
+        if _floating(own) and _floating(other):
+            key = value.cast("double").cast("string")
+        elif _floating(own) or _floating(other):
+            exact = other if _floating(own) else own
+            exact = T.LongType() if isinstance(exact, T.IntegralType) else exact
+            key = F.concat_ws("|", F.coalesce(value.cast("double").cast("string"), F.lit("")), F.coalesce(value.try_cast(exact).cast("string"), F.lit("")))
+            key = F.when(value.isNotNull(), key)
+        else:
+            scale = max(t.scale if isinstance(t, T.DecimalType) else 0 for t in (own, other))
+            key = value.try_cast(T.DecimalType(38, scale)).cast("string")
+        return F.struct(key.alias("v"))
+    if own == other and not isinstance(own, (T.MapType, T.VariantType)):
+        return F.struct(value.alias("v"))
+    return F.struct(text.alias("v"))
+
+
 def cell_text(value: Column, dtype: T.DataType) -> Column:
     """The cell as text, for reports and for comparing unlike types."""
     if isinstance(dtype, (T.MapType, T.ArrayType, T.StructType)):

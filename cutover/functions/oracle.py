@@ -81,12 +81,23 @@ def round_half_up(value: Column, places: int = 0) -> Column:
     return F.round(value, places)
 
 
+def like_anywhere(text: Column, part: str) -> Column:
+    """LIKE '%' || part || '%' without an escape character: % and _ in ``part`` are wildcards."""
+    return text.like("%" + part.replace("\\", "\\\\") + "%")
+
+
 def add_months(value: Column, months: int) -> Column:
     """The last day of a month stays the last day of the month reached."""
     moved = F.add_months(value, months)
     return F.when(F.to_date(value) == F.last_day(value), F.last_day(moved)).otherwise(moved)
 
 
+def add_months_at(value: Column, months: int) -> Column:
+    """The same for a point in time, which keeps its time of day."""
+    at = value.cast("timestamp_ntz")
+    return add_months(F.to_date(at), months).cast("timestamp_ntz") + (at - F.to_date(at).cast("timestamp_ntz"))
+
+
 def variance(value: Column) -> Column:
     """Sample variance, 0 for a single row."""
     return F.when(F.count(value) == 1, F.lit(0.0)).otherwise(F.var_samp(value))

@@ -14,9 +14,6 @@ NODE = ("struct<name:string,statistic:struct<objectType:string,countErrorNodes:s
 # Object types that hold code.
 CODE_TYPES = ["PROCEDURE", "FUNCTION", "PACKAGE", "PACKAGE BODY", "TRIGGER", "TYPE", "TYPE BODY", "VIEW", "MATERIALIZED VIEW"]
 CRITICAL = "CRITICAL"
-MAX_DEPTH = 64
-# Critical codes carried as literals; a longer list is joined.
-LITERAL_CODES = 2_000
 
 c = F.col
 
@@ -41,8 +38,6 @@ def flatten_trees(docs: DataFrame, id_column: str, json_column: str) -> DataFram
         children = stage(children.select(id_column, F.concat_ws("/", "path", c("i").cast("string")).alias("path"), "child"), "tree-level")
         if children.isEmpty():
             return union_all(levels)
-        if len(levels) >= MAX_DEPTH:
-            raise ValueError(f"a tree is deeper than {MAX_DEPTH} levels")
         level = children.select(id_column, "path", node("child"))
 
 
@@ -59,15 +54,10 @@ def select_targets(nodes: DataFrame, severities: DataFrame, id_column: str, code
     if code_types_only:
         df = df.filter(c("object_type").isin(CODE_TYPES))
     critical = severities.filter(c("severity") == CRITICAL).select("code").distinct()
-    known = [r.code for r in critical.limit(LITERAL_CODES + 1).collect()]
-    if len(known) <= LITERAL_CODES:
-        # a code list this short travels with the plan: no shuffle of the nodes
-        found = F.array_intersect("codes", F.array(*(F.lit(x) for x in known)).cast("array<string>"))
-        df = df.withColumn("critical_codes", F.array_sort(F.coalesce(found, F.array().cast("array<string>"))))
-    else:
-        hits = df.select(id_column, "path", F.explode("codes").alias("code")).join(critical, "code").groupBy(id_column, "path").agg(
-            F.array_sort(F.collect_set("code")).alias("critical_codes"))
-        df = df.join(hits, [id_column, "path"], "left").withColumn("critical_codes", F.coalesce("critical_codes", F.array().cast("array<string>")))
+    # the list of codes is the side that may be small; its measured size decides how it travels
+    hits = df.select(id_column, "path", F.explode("codes").alias("code")).join(critical, "code").groupBy(id_column, "path").agg(
+        F.array_sort(F.collect_set("code")).alias("critical_codes"))
+    df = df.join(hits, [id_column, "path"], "left").withColumn("critical_codes", F.coalesce("critical_codes", F.array().cast("array<string>")))
     reasons = F.array_compact(F.array(
         F.when(c("error_nodes") > 0, F.concat(F.lit("countErrorNodes="), c("error_nodes"))),
         F.when(F.size("critical_codes") > 0, F.concat(F.lit("critical_codes="), F.array_join("critical_codes", ",")))))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cutover.functions.equality import cell_text, cells_equal
+from cutover.functions.equality import cell_text, cells_equal, grouped_cell
 from cutover.operators.ordered import Order, global_index
 
 # Outcome names of the comparison report.
@@ -187,7 +188,8 @@ def keyed_diff(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> Dat
     """Rows missing or extra in the target and changed cells of common rows.
 
     A key that repeats on either side cannot be paired row by row; it is
-    reported once as ``duplicate_key`` with its counts.
+    reported once as ``duplicate_key`` with its counts, and what differs in
+    its rows is found by ``repeated_key_diff``.
     """
     met, pairs = _by_key(source, target, keys)
     text = lambda x: x.cast("string")
@@ -212,6 +214,32 @@ def multiset_diff(source: DataFrame, target: DataFrame) -> DataFrame:
         *names, F.when(c("_d") > 0, "missing_in_target").otherwise("extra_in_target").alias("change"), F.abs("_d").alias("copies"))
 
 
+def repeated_key_diff(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of repeated keys, with copies counted, that only one side has.
+
+    Rows of a key that repeats on either side can't be paired one by one, so
+    they are compared as multisets.  Cells are grouped in a form in which equal
+    means what it means for single cells.  Which keys repeat is found from the
+    key columns alone; where none do, the other columns aren't compared.
+    """
+    shared = _shared(source, target, keys)
+    theirs = {x.lower(): x for x in target.columns}
+    st, tt = source.schema, target.schema
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    s_keys, t_keys = [c(k) for k in keys], [c(theirs[k.lower()]).alias(k) for k in keys]
+    counts = source.select(*s_keys, one.alias("sn"), none.alias("tn")).unionAll(target.select(*t_keys, none.alias("sn"), one.alias("tn"))).groupBy(
+        *keys).agg(F.sum("sn").alias("sn"), F.sum("tn").alias("tn")).filter((c("sn") > 1) | (c("tn") > 1))
+    s_cells = [grouped_cell(c(x), st[x].dataType, tt[y].dataType, cell_text(c(x), st[x].dataType)).alias(x) for x, y in shared]
+    t_cells = [grouped_cell(c(y), tt[y].dataType, st[x].dataType, cell_text(c(y), tt[y].dataType)).alias(x) for x, y in shared]
+    rows = source.select(*s_keys, *s_cells, one.alias("_d")).unionAll(target.select(*t_keys, *t_cells, (-one).alias("_d")))
+    repeated = counts.select(*(c(k).alias(f"_k{i}") for i, k in enumerate(keys)))
+    on = [c(k).eqNullSafe(c(f"_k{i}")) for i, k in enumerate(keys)]
+    mine = rows.join(repeated, reduce(lambda a, b: a & b, on), "left_semi")
+    names = [x for x, _ in shared]
+    return mine.groupBy(*keys, *names).agg(F.sum("_d").alias("_d")).filter(c("_d") != 0).select(
+        *keys, *(c(x)["v"].alias(x) for x in names), F.when(c("_d") > 0, "missing_in_target").otherwise("extra_in_target").alias("change"), F.abs("_d").alias("copies"))
+
+
 def _indexed(df: DataFrame, order: Order) -> tuple[DataFrame, int]:
     """Rows numbered in ``order`` and how many there are; the count reads the written index, not the input."""
     rows = global_index(df, order, "_i")
@@ -243,20 +271,31 @@ def head_middle_tail(df: DataFrame, order: Order, head: int = HEAD, middle: int
 
 
 def sampled_match(source: DataFrame, target: DataFrame, order: Order, head: int = HEAD, middle: int = MIDDLE, tail: int = TAIL) -> DataFrame:
-    """Match rate of the two samples, place by place."""
+    """Match rate of the two samples, place by place; two empty results match, without a rate."""
     shared = _shared(source, target)
     s = _sided(head_middle_tail(source, order, head, middle, tail), "s", [x for x, _ in shared], {"sample_index": "sample_index", "s_total": "total_rows"})
     t = _sided(head_middle_tail(target, order, head, middle, tail), "t", [y for _, y in shared], {"sample_index": "sample_index", "t_total": "total_rows"})
-    hit = _all_equal(_pairs(source, target, shared))
-    totals = s.join(t, "sample_index").agg(
-        F.max("s_total").alias("source_total_rows"), F.max("t_total").alias("target_total_rows"),
-        F.count(F.lit(1)).alias("samples_compared"), F.count_if(hit).alias("samples_matched"))
-    rate = c("samples_matched") / c("samples_compared")
+    both = c("s").isNotNull() & c("t").isNotNull()
+    hit = both & _all_equal(_pairs(source, target, shared))
+    totals = s.join(t, "sample_index", "full_outer").agg(
+        F.coalesce(F.max("s_total"), F.lit(0)).alias("source_total_rows"), F.coalesce(F.max("t_total"), F.lit(0)).alias("target_total_rows"),
+        F.count_if(both).alias("samples_compared"), F.count_if(hit).alias("samples_matched"))
+    rate = F.try_divide("samples_matched", "samples_compared")
     same_count = c("source_total_rows") == c("target_total_rows")
     return totals.select(
         "*", rate.alias("sample_match_rate"), same_count.alias("row_count_matched"),
-        (same_count & (rate > MATCH_RATE)).alias("matched"),
-        F.when(rate > MATCH_RATE, "medium").otherwise("low").alias("confidence"))
+        (same_count & ((rate > MATCH_RATE) | (c("source_total_rows") == 0))).alias("matched"),
+        F.when((rate > MATCH_RATE) | (same_count & (c("source_total_rows") == 0)), "medium").otherwise("low").alias("confidence"))
+
+
+def sampled_mismatches(source: DataFrame, target: DataFrame, order: Order, head: int = HEAD, middle: int = MIDDLE, tail: int = TAIL) -> DataFrame:
+    """Differing cells of the two samples with their ``sample_index``, where both have a row."""
+    shared = _shared(source, target)
+    s = _sided(head_middle_tail(source, order, head, middle, tail), "s", [x for x, _ in shared], {"sample_index": "sample_index"})
+    t = _sided(head_middle_tail(target, order, head, middle, tail), "t", [y for _, y in shared], {"sample_index": "sample_index"})
+    pairs = _pairs(source, target, shared)
+    differing = s.join(t, "sample_index").filter(~_all_equal(pairs))
+    return differing.select("sample_index", F.explode(_cells(pairs)).alias("cell")).select("sample_index", "cell.*").drop("ordinal")
 
 
 def reconcile(name: str, source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -264,12 +303,18 @@ def reconcile(name: str, source: DataFrame, target: DataFrame, keys: Sequence[st
     missing, extra = column_check(source, target)
     met, pairs = _by_key(source, target, keys)
     tally = lambda kind: F.count_if(c("change") == kind)
-    cells = F.size(_cells(pairs)) if pairs else F.lit(0)
+    # counted without building the cells
+    cells = sum((F.when(cells_equal(a, at, b, bt), 0).otherwise(1) for _, a, at, b, bt in pairs), F.lit(0))
     found = met.agg(
         F.coalesce(F.sum("sn"), F.lit(0)).alias("source_rows"), F.coalesce(F.sum("tn"), F.lit(0)).alias("target_rows"),
         tally("missing_in_target").alias("missing_rows"), tally("extra_in_target").alias("extra_rows"),
         tally("duplicate_key").alias("duplicate_keys"),
         F.coalesce(F.sum(F.when(c("change") == "changed", cells)), F.lit(0)).alias("changed_cells"))
+    # rows of repeated keys that only one side has; both counts are one row, added up
+    apart = repeated_key_diff(source, target, keys).agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("repeated_rows"))
+    zero = F.lit(0).cast("bigint")
+    sums = found.columns
+    found = found.withColumn("repeated_rows", zero).unionByName(apart.withColumns({x: zero for x in sums})).agg(*(F.sum(x).alias(x) for x in [*sums, "repeated_rows"]))
     quiet, nothing = F.lit(False), F.lit(None).cast("string")
     runs = found.select(
         "*", F.lit(name).alias("tc_id"), F.lit("ok").alias("raw_status"), nothing.alias("error_message"), nothing.alias("skip_reason"),
@@ -277,7 +322,7 @@ def reconcile(name: str, source: DataFrame, target: DataFrame, keys: Sequence[st
         nothing.alias("source_error"), nothing.alias("target_error"), quiet.alias("source_sampled"), quiet.alias("target_sampled"),
         F.lit(None).cast("bigint").alias("source_ms"), F.lit(None).cast("bigint").alias("target_ms"), F.lit(bool(missing or extra)).alias("columns_differ"),
         # rows without a partner differ too, even when the counts happen to agree
-        (c("changed_cells") + c("missing_rows") + c("extra_rows") + c("duplicate_keys")).alias("value_mismatches"))
+        (c("changed_cells") + c("missing_rows") + c("extra_rows") + c("repeated_rows")).alias("value_mismatches"))
     carried = ["missing_rows", "extra_rows", "duplicate_keys", "changed_cells"]
     return outcomes(runs, carried).withColumns({"missing_columns": F.lit(",".join(missing)), "extra_columns": F.lit(",".join(extra))})
 

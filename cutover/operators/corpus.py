@@ -33,8 +33,8 @@ NUMERIC_KINDS = ["int", "numeric", "decimal", "real", "double", "serial"]
 DATETIME_KINDS = ["timestamp", "date", "time"]
 NUMERIC_SAMPLE, DATETIME_SAMPLE, TEXT_SAMPLE = "1", "2026-01-01 00:00:00", "SAMPLE"
 BLANKS = " \t\n\r\f\x0b"
-# Marks where a token starts; not a character XML text can hold.
-MARK = "\x01"
+# Marks where a token starts; the text's own marks are told from it by the sign behind them.
+MARK, OWN = "\x01", "\x01\x02"
 
 PARSED = ("file string, ok boolean, error string, root string, namespace string, type_names array<string>, "
           "fragments array<struct<pos:int,sql_id:string,statement_type:string,has_id:boolean,content:string,"
@@ -266,14 +266,17 @@ def substitute_tokens(files: DataFrame, literals: Mapping[str, str]) -> DataFram
     ``literals`` is a short list of rules, one replacement pass each.  Token
     starts are marked first, so that text inside another token is left alone.
     """
-    df = once(files, {"_m": F.regexp_replace("content", r"([#$])\{([^}]*)\}", MARK + r"$1{$2}")})
+    kept = F.replace(c("content"), F.lit(MARK), F.lit(OWN))
+    df = once(files, {"_m": F.regexp_replace(kept, r"([#$])\{([^}]*)\}", MARK + r"$1{$2}")})
     text, count = c("_m"), F.lit(0)
     for name, literal in literals.items():
         quoted = "".join(f"\\{ch}" if not ch.isalnum() else ch for ch in name)
         pattern = MARK + r"[#$]\{[\r\f\x0B]*(?i:" + quoted + r")[\r\f\x0B]*(?:[, \t\n][^}]*)?\}"
         count = count + F.regexp_count(c("_m"), F.lit(pattern))
-        text = F.regexp_replace(text, pattern, _escaped(literal).replace("\\", "\\\\").replace("$", "\\$"))
-    return df.withColumn("variable_subs", count).withColumn("content", F.replace(text, F.lit(MARK), F.lit(""))).drop("_m")
+        text = F.regexp_replace(text, pattern, _escaped(literal).replace(MARK, OWN).replace("\\", "\\\\").replace("$", "\\$"))
+    for start in ("#{", "${"):
+        text = F.replace(text, F.lit(MARK + start), F.lit(start))
+    return df.withColumn("variable_subs", count).withColumn("content", F.replace(text, F.lit(OWN), F.lit(MARK))).drop("_m")
 
 
 def substitution_totals(substituted: DataFrame) -> DataFrame:

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from cutover.functions.equality import cell_text
-from cutover.operators.load import union_all
+from cutover.operators.load import PARALLEL_TABLES, union_all
 from cutover.operators.ordered import ranked
 
 c = F.col
@@ -26,6 +26,7 @@ DATETIME_CASTS = {
 }
 FIXED_CHAR_TYPES = ["character", "char", "bpchar"]
 NO_CAST_TYPES = ["character varying", "varchar", "text", "json", "jsonb", "uuid"]
+# Notes and reasons of the reports.
 NUMERIC_NOTE = "리터럴은 숫자로, 바인드 변수는 명시적 캐스팅 권장"
 DATETIME_NOTE = "날짜/시간 리터럴에 명시적 캐스팅 권장"
 CHAR_NOTE = "CHAR 고정 길이: PostgreSQL은 패딩 비교가 엄격 (자바에서 패딩 전달 또는 TRIM 고려)"
@@ -37,9 +38,8 @@ REASON_SEVERITY = {
     "column_not_in_dictionary": "high", "table_inference_failed": "critical", "column_inference_failed": "critical",
     "ambiguous_mapping": "medium", "view_column": "medium", "dynamic_table": "critical", "subquery_result": "low", "computed_column": "low",
 }
-MAX_SUBSET = 400
-# Entries tested against a text in one pass; a larger dictionary takes several.
-ENTRIES_PER_PASS = 5_000
+# Entries that travel as literals in one expression; any number of such batches are tested.
+BATCH_ENTRIES = 5_000
 
 
 def target_type(t: T.DataType) -> str:
@@ -74,21 +74,32 @@ def table_list(metadata: DataFrame) -> DataFrame:
 
 
 def sample_row(table: str, df: DataFrame, key: str | None = None) -> DataFrame | None:
-    """The row with the lowest key as (table, column, value); None when the table cannot be read.
+    """The lowest row by key, then by all columns, as (table, column, value); None when the table cannot be read.
 
     The lowest key is found from the key column alone; the filter on it then
-    lets the scan skip everything but the row group that holds the row.
+    lets the scan skip everything but the row groups that may hold the row.
+    Without a named key it is the first column that can be ordered.
     """
-    key = key or df.columns[0]
     try:
-        lowest = df.agg(F.min(key)).first()[0]
-    except AnalysisException:
+        key = key or next((f.name for f in df.schema.fields if _orderable(f.dataType)), None)
+        one = df if key is None else df.filter(c(key) == F.lit(df.agg(F.min(key)).first()[0]))
+    except Exception:  # noqa: BLE001 - a table that can't be read has no sample, and the other tables go on
         return None
-    one = df.filter(c(key) == F.lit(lowest)).limit(1)
+    ordered = F.struct(*((c(f.name) if _orderable(f.dataType) else cell_text(c(f.name), f.dataType)).alias(f"_{i}") for i, f in enumerate(df.schema.fields)))
+    lowest = one.agg(F.min(ordered).alias("_row")).filter("_row IS NOT NULL")
+    cell = lambda i, f: c(f"_row._{i}") if not _orderable(f.dataType) else cell_text(c(f"_row._{i}"), f.dataType)
     rows = F.array(*(
-        F.struct(F.lit(table).alias("table_name"), F.lit(f.name).alias("column_name"), cell_text(c(f.name), f.dataType).alias("sample_value"))
-        for f in df.schema.fields))
-    return one.select(F.inline(rows))
+        F.struct(F.lit(table).alias("table_name"), F.lit(f.name).alias("column_name"), cell(i, f).alias("sample_value"))
+        for i, f in enumerate(df.schema.fields)))
+    return lowest.select(F.inline(rows))
+
+
+def _orderable(t: T.DataType) -> bool:
+    if isinstance(t, T.ArrayType):
+        return _orderable(t.elementType)
+    if isinstance(t, T.StructType):
+        return all(_orderable(f.dataType) for f in t.fields)
+    return not isinstance(t, (T.MapType, T.VariantType))
 
 
 def cast_hints(spark: SparkSession) -> DataFrame:
@@ -107,11 +118,17 @@ def with_hints(df: DataFrame) -> DataFrame:
 
 
 def build_dictionary(spark: SparkSession, tables: Mapping[str, DataFrame], keys: Mapping[str, str] | None = None) -> DataFrame:
-    """Metadata with sample and hint, keyed by lower-case ``table.column``."""
+    """Metadata with sample and hint, keyed by lower-case ``table.column``; tables are sampled side by side.
+
+    ``sample_found`` is false for the columns of tables that are empty or can't be read.
+    """
     meta = column_metadata(spark, tables)
-    samples = [s for s in (sample_row(n, d, (keys or {}).get(n)) for n, d in tables.items()) if s is not None]
-    joined = meta.join(union_all(samples), ["table_name", "column_name"], "left") if samples else meta.withColumn("sample_value", F.lit(None).cast("string"))
-    return with_hints(joined).withColumn("key", F.lower(F.concat_ws(".", "table_name", "column_name")))
+    with ThreadPoolExecutor(PARALLEL_TABLES) as pool:
+        found = list(pool.map(lambda item: sample_row(*item, (keys or {}).get(item[0])), tables.items()))
+    samples = [s.withColumn("sample_found", F.lit(True)) for s in found if s is not None]
+    nothing = meta.withColumns({"sample_value": F.lit(None).cast("string"), "sample_found": F.lit(None).cast("boolean")})
+    joined = meta.join(union_all(samples), ["table_name", "column_name"], "left") if samples else nothing
+    return with_hints(joined).withColumn("sample_found", F.coalesce("sample_found", F.lit(False))).withColumn("key", F.lower(F.concat_ws(".", "table_name", "column_name")))
 
 
 def lookup(refs: DataFrame, dictionary: DataFrame, column: str = "ref") -> DataFrame:
@@ -148,12 +165,12 @@ def plan_warnings(plan: DataFrame) -> DataFrame:
     return plan.filter(c("warning").isNotNull()).groupBy("fragment_id", "warning").agg(F.count(F.lit(1)).alias("binds"))
 
 
-def dictionary_subset(fragments: DataFrame, dictionary: DataFrame, id_column: str, text_column: str, cap: int = MAX_SUBSET) -> DataFrame:
+def dictionary_subset(fragments: DataFrame, dictionary: DataFrame, id_column: str, text_column: str, cap: int | None = None) -> DataFrame:
     """Dictionary entries a fragment's text may refer to.
 
     Entries whose table and column are both named in the text; when no table
-    is, entries whose column is.  At most ``cap`` in dictionary order, with a
-    flag where entries were left out.
+    is, entries whose column is.  All of them, unless ``cap`` asks for so many
+    at most, in dictionary order, with a flag where entries were left out.
 
     The dictionary has one row per column of a schema; it reaches the tasks as
     literals, a bounded number at a time, so texts are never joined with it.
@@ -166,17 +183,16 @@ def dictionary_subset(fragments: DataFrame, dictionary: DataFrame, id_column: st
     texts = texts.select(id_column, "_t", F.inline(F.array(F.struct(named.alias("_tables")))))
     fits = lambda e: (F.array_contains("_tables", e["table"]) | (F.size("_tables") == 0)) & F.contains(c("_t"), e["upper"])
     found = []
-    for at in range(0, len(entries), ENTRIES_PER_PASS):
+    for at in range(0, len(entries), BATCH_ENTRIES):
         batch = F.array(*(
             F.struct(F.lit(i).alias("entry"), F.lit(f"{t}.{col}".lower()).alias("key"), F.lit(t).alias("table"), F.lit(col.upper()).alias("upper"))
-            for i, t, col in entries[at:at + ENTRIES_PER_PASS]))
+            for i, t, col in entries[at:at + BATCH_ENTRIES]))
         found.append(texts.select(id_column, F.filter(batch, fits).alias("_hits")))
-    if len(found) == 1:
-        hits = found[0].withColumn("_n", F.size("_hits"))
-        kept = hits.select(id_column, "_n", F.inline(F.slice("_hits", 1, cap)))
-        return kept.select(id_column, "key", (c("_n") > cap).alias("truncated"))
-    rows = union_all(found).select(id_column, F.inline("_hits"))
-    numbered = ranked(rows, [id_column], ["entry"], [], {"_i": ("row_number",), "_n": ("count",)})
+    rows = union_all(found or [texts.select(id_column, F.expr("CAST(array() AS array<struct<entry:int,key:string>>)").alias("_hits"))]).select(id_column, F.inline("_hits"))
+    if cap is None:
+        return rows.select(id_column, "key", F.lit(False).alias("truncated"))
+    # a text has at most the dictionary's entries
+    numbered = ranked(rows, [id_column], ["entry"], [], {"_i": ("row_number",), "_n": ("count",)}, split=False)
     return numbered.filter(c("_i") <= cap).select(id_column, "key", (c("_n") > cap).alias("truncated"))
 
 

@@ -62,11 +62,12 @@ def value_checks(df: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
 
 def sequence_sync(source: DataFrame, target: DataFrame) -> DataFrame:
     """Value each target sequence must be set to; a value outside the target's bounds goes to its minimum."""
-    bounds = target.select(F.lower("sequence_name").alias("_n"), "min_value", "max_value")
+    bounds = target.select(F.lower("sequence_name").alias("_n"), "min_value", "max_value", F.lit(True).alias("_there"))
     s = source.withColumn("_n", F.lower("sequence_name")).join(bounds, "_n", "left")
     last = c("last_number")
-    out_of_bounds = (last > c("max_value")) | (last < c("min_value"))
-    missing = c("min_value").isNull()
+    # a bound that is null bounds nothing
+    out_of_bounds = F.coalesce(last > c("max_value"), F.lit(False)) | F.coalesce(last < c("min_value"), F.lit(False))
+    missing = c("_there").isNull()
     return s.select(
         "sequence_name", F.when(~missing & out_of_bounds, c("min_value")).otherwise(last).alias("last_number"),
         F.when(missing, "MISSING_IN_TARGET").when(out_of_bounds, "SYNCED_CLAMPED").otherwise("SYNCED").alias("status"))

@@ -30,18 +30,28 @@ def lower_names(df: DataFrame) -> DataFrame:
     return df.toDF(*(x.lower() for x in df.columns))
 
 
+def _within(column: str, limit: int) -> Column:
+    """The longest run of whole characters from the start that takes at most ``limit`` bytes.
+
+    The byte cut may fall into a character; the up to three bytes of such a part go too.
+    """
+    octets = c(column).cast("binary")
+    head = F.substring(octets, 1, limit)
+    whole = F.coalesce(*(F.when(F.is_valid_utf8(F.substring(octets, 1, limit - k).cast("string")), F.substring(octets, 1, limit - k).cast("string")) for k in range(4)))
+    return F.when(F.octet_length(column) <= limit, c(column)).otherwise(F.coalesce(whole, head.cast("string")))
+
+
 def cut_long_text(df: DataFrame, column: str, max_kb: int = LOB_KB) -> DataFrame:
-    """Cut text longer than the limit and flag the rows it was cut in."""
+    """Cut text that takes more bytes than the limit, between characters, and flag the rows it was cut in."""
     limit = max_kb * 1024
-    return df.withColumn(f"{column}_cut", F.coalesce(F.length(column) > limit, F.lit(False))).withColumn(
-        column, F.substring(column, 1, limit))
+    return df.withColumn(f"{column}_cut", F.coalesce(F.octet_length(column) > limit, F.lit(False))).withColumn(column, _within(column, limit))
 
 
 def cut_report(df: DataFrame, column: str, max_kb: int = LOB_KB) -> DataFrame:
     limit = max_kb * 1024
     return df.agg(
-        F.count(column).alias("values"), F.count_if(F.length(column) > limit).alias("cut"),
-        F.coalesce(F.sum(F.greatest(F.length(column) - limit, F.lit(0))), F.lit(0)).alias("chars_lost"),
+        F.count(column).alias("values"), F.count_if(F.octet_length(column) > limit).alias("cut"),
+        F.coalesce(F.sum(F.length(column) - F.length(_within(column, limit))), F.lit(0)).alias("chars_lost"),
         F.coalesce(F.max(F.octet_length(column)), F.lit(0)).alias("longest_octets"))
 
 
@@ -125,7 +135,7 @@ def full_load(tables: Mapping[str, DataFrame], root: str, parallel: int = PARALL
             out.write.mode("overwrite").parquet(f"{root}/{name.lower()}")
             return name, "loaded", seen.get["rows"], None
         except Exception as e:  # noqa: BLE001 - every failure becomes a log row
-            return name, "errored", None, str(e)[:300]
+            return name, "errored", None, str(e)
 
     with ThreadPoolExecutor(parallel) as pool:
         log = list(pool.map(load, tables.items()))

@@ -19,11 +19,6 @@ from pyspark.sql import functions as F
 
 from cutover.session import stage
 
-# Largest group that is still handed to an ordinary window in one task.
-PLAIN_WINDOW_ROWS = 1_000_000
-# Most rows a top-k keeps per task and then merges in one; beyond it rows are indexed instead.
-TAKE_ROWS = 1_000
-
 Order = Sequence[str | tuple[str, str]]
 
 
@@ -110,29 +105,27 @@ def _derive(kind: str, arg, rn: Column, rank: Column, dense: Column, upto: Colum
     raise ValueError(f"unknown window column {kind}")
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group; one partially aggregated pass, one row to the driver."""
-    row = df.groupBy(*keys).count().agg(F.max("count")).first()
-    return row[0] or 0
-
-
 def ranked(
     df: DataFrame,
     partition_by: Sequence[str],
     order_by: Order,
     tie_break: Sequence[str],
     columns: Mapping[str, tuple],
-    plain_rows: int = PLAIN_WINDOW_ROWS,
+    split: bool = True,
 ) -> DataFrame:
     """Add window columns that hold for groups of any size.
 
+    Groups are cut into segments, so one that holds a third of all rows is no
+    task's burden.  ``split=False`` is for groups that are small by what they
+    are, such as the lines of an order: an ordinary window, nothing written.
+
     ``columns`` maps an output name to one of ``("row_number",)``, ``("rank",)``,
     ``("dense_rank",)``, ``("percent_rank",)``, ``("cume_dist",)``, ``("ntile", k)``,
     ``("count",)``, ``("lag", c)``, ``("lead", c)``, ``("running_sum", c)``,
     ``("total", c)``.
     ``tie_break`` completes ``order_by`` to a total order.
     """
-    if partition_by and largest_group(df, partition_by) <= plain_rows:
+    if partition_by and not split:
         return _plain(df, partition_by, order_by, tie_break, columns)
     return _by_segment(df, partition_by, order_by, tie_break, columns)
 
@@ -321,13 +314,13 @@ def top_per_group(df: DataFrame, partition_by: Sequence[str], order_by: Order, k
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
 
 
-def page(df: DataFrame, order: Order, start_row: int, end_row: int, name: str = "rnum") -> DataFrame:
+def page(df: DataFrame, order: Order, start_row: int, end_row: int, name: str = "rnum", deep: bool = False) -> DataFrame:
     """Rows ``start_row..end_row`` (1-based, inclusive) of the ordered result, numbered.
 
-    Early pages are a top-k.  Deep ones index the rows, since a top-k would
-    bring ``end_row`` rows of every task to a single one.
+    A page is a top-k, which brings ``end_row`` rows of every task to a single
+    one; for a reader far down the result, ``deep`` indexes the rows instead.
     """
-    if end_row > TAKE_ROWS:
+    if deep:
         rows = global_index(df, order, name).filter(F.col(name).between(start_row - 1, end_row - 1))
         return rows.withColumn(name, F.col(name) + 1)
     rows = df.orderBy(*sort_columns(order)).offset(start_row - 1).limit(end_row - start_row + 1)
@@ -343,7 +336,7 @@ def listagg_parts(
     tie_break: Sequence[str],
     separator: str = ", ",
     part_rows: int = 10_000,
-    plain_rows: int = PLAIN_WINDOW_ROWS,
+    split: bool = True,
 ) -> DataFrame:
     """Ordered string aggregation, long groups continued in numbered parts.
 
@@ -351,7 +344,7 @@ def listagg_parts(
     ``part_rows`` items gives one row, ``part_no`` 1; a longer one goes on in
     part 2, 3, ...  No item is dropped and no task ever holds more than one part.
     """
-    numbered = ranked(df, group, order_by, tie_break, {"_item_no": ("row_number",)}, plain_rows)
+    numbered = ranked(df, group, order_by, tie_break, {"_item_no": ("row_number",)}, split)
     parts = numbered.withColumn("part_no", F.floor((F.col("_item_no") - 1) / part_rows) + 1)
     listed = F.array_sort(F.collect_list(F.struct("_item_no", *(F.col(c).alias(f"_{o}") for o, c in items.items()))))
     return parts.groupBy(*group, "part_no").agg(listed.alias("_listed")).select(

@@ -121,8 +121,8 @@ def category_histogram(members: DataFrame) -> DataFrame:
     counts = members.groupBy("group", "category").agg(
         F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"),
         F.min_by("error", F.when(F.coalesce(c("error"), F.lit("")) != "", c("seq"))).alias("first_error"))
-    # written out, so that the failures are classified once
-    return ranked(stage(counts, "histogram"), ["group"], [("n", "desc")], ["first_seq"], {"rank": ("row_number",)})
+    # written out, so that the failures are classified once; a group has at most the categories of the rules
+    return ranked(stage(counts, "histogram"), ["group"], [("n", "desc")], ["first_seq"], {"rank": ("row_number",)}, split=False)
 
 
 def plan_types(members: DataFrame) -> DataFrame:
@@ -161,9 +161,8 @@ def with_fragment(cases: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 
 def members_of(failures: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Failure rows with group, category, fragment and clipped error text."""
-    return with_fragment(classified(failures), catalogue).withColumn(
-        "error", F.substring(F.coalesce("note", F.lit("")), 1, ERROR_CHARS))
+    """Failure rows with group, category, fragment and error text."""
+    return with_fragment(classified(failures), catalogue).withColumn("error", F.coalesce("note", F.lit("")))
 
 
 def top_mappers(members: DataFrame, k: int = TOP_MAPPERS) -> DataFrame:
@@ -172,12 +171,21 @@ def top_mappers(members: DataFrame, k: int = TOP_MAPPERS) -> DataFrame:
     return top_per_group(counts, ["group"], [("n", "desc"), "first_seq"], k).drop("first_seq")
 
 
-def worklist(members: DataFrame, limit: int | None = None) -> DataFrame:
-    """One row per fragment to repair: its first failure that has an error text."""
+def worklist(members: DataFrame, limit: int | None = None, group: str | None = None) -> DataFrame:
+    """One row per fragment to repair: its first failure that has an error text.
+
+    ``group`` asks for one failure type, which must be one that is repaired;
+    ``limit`` then takes the first so many of it, in the order they were seen.
+    """
     repairable = [g for g, _, action in GROUPS if action == "repair"]
+    if group is not None:
+        if group not in repairable:
+            raise ValueError(f"failures of type {group} aren't repaired")
+        repairable = [group]
     usable = members.filter(c("group").isin(repairable) & c("frag_id").isNotNull() & (strip(c("error")) != ""))
     fields = ["seq", "tc_id", "mapper", "sql_id", "statement_type", "category", "error"]
     one = usable.groupBy("group", "frag_id").agg(F.min_by(F.struct(*fields), "seq").alias("r")).select("group", "frag_id", "r.*")
+    one = one.withColumn("error", F.substring("error", 1, ERROR_CHARS))
     return one if limit is None else one.orderBy("seq").limit(limit)
 
 

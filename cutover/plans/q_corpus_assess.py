@@ -151,6 +151,29 @@ def _documents_with_corrupt_ones(t):
 
 query("io02_json_documents", "id:i kind:s", "SELECT event_id AS id, event_type AS kind FROM events WHERE event_id % 50 <> 7")(
     lambda t: io.read_json_documents(t.spark, _documents_with_corrupt_ones(t), "id bigint, kind string", one_per_file=False))
+def _documents_with_wrong_ids(t):
+    """Each event as a JSON document; one in fifty has text where the id should be a number."""
+    path = _fresh(t, "json-documents")
+    id_text = F.when(c("event_id") % 50 == 7, F.lit('"none"')).otherwise(c("event_id").cast("string"))
+    t.events.select(F.concat(F.lit('{"id":'), id_text, F.lit(',"kind":"'), c("event_type"), F.lit('"}')).alias("value")).write.text(path)
+    return path
+
+
+query("io02_other_columns", "kind:s n:i", "SELECT event_type AS kind, count(*) AS n FROM events WHERE event_id % 50 <> 7 GROUP BY 1")(
+    lambda t: io.read_json_documents(t.spark, _documents_with_wrong_ids(t), "id bigint, kind string", one_per_file=False).select("kind").groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
+def _corpus_files(t):
+    """Pages as files: a folder with a blank in its name, one to exclude, and one more."""
+    path = _fresh(t, "corpus files")
+    n = c("page_id")
+    folder = F.when(n % 5 == 0, "old").when(n % 5 == 1, "a b").otherwise("new")
+    t.pages.select(folder.alias("d"), F.concat(F.lit("<mapper>"), n.cast("string")).alias("value")).write.partitionBy("d").text(path)
+    return path
+
+
+query("io03_corpus_reader", "folder:s n:i", """
+SELECT CASE WHEN page_id % 5 = 1 THEN 'd=a b' ELSE 'd=new' END AS folder, count(*) AS n FROM pages WHERE page_id % 5 <> 0 GROUP BY 1
+""")(lambda t: io.read_corpus(t.spark, _corpus_files(t), ["d=old"], ".txt").select(
+    F.split("file", "/")[0].alias("folder"), F.regexp_count("content", F.lit("<mapper>")).alias("n")).groupBy("folder").agg(F.sum("n").alias("n")))
 query("io03_looks_like", "page_id:i hit:b", "SELECT page_id, contains(left(html, 2048), '<footer') OR contains(left(html, 2048), '<script') AS hit FROM pages")(
     lambda t: t.pages.select("page_id", io.looks_like(c("html"), ["<footer", "<script"]).alias("hit")))
 
@@ -179,6 +202,7 @@ query("io04_json_report", "tc_id:s status:s matched:b note:s source_rows:i", OUT
 query("io05_csv_report", "tc_id:s failure_type:s severity:s row_diff:i note:s", f"""
 SELECT tc_id, failure_type, severity, target_rows - source_rows AS row_diff, replace(coalesce(note, ''), chr(10), ' ') AS note FROM ({OUTCOMES_SQL}) WHERE status = 'failed'
 """)(_csv_report)
-query("io06_inventory", "kind:s files:i bytes:i")(
-    lambda t: io.inventory_summary(io.inventory(t.spark, t.folder, "*.parquet"), F.regexp_extract("path", r"\.([a-z]+)$", 1)))
+query("io06_inventory", "kind:s files:i bytes:i", """
+SELECT regexp_extract(url, '^([a-z]+)://', 1) AS kind, count(*) AS files, sum(length(html)) AS bytes FROM pages GROUP BY 1
+""")(lambda t: io.inventory_summary(t.pages.select(c("url").alias("path"), F.length("html").alias("length")), F.regexp_extract("path", "^([a-z]+)://", 1)))
 query("io07_replace_table", "o_orderkey:i o_totalprice:d", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000")(_replaced)

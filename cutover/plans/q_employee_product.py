@@ -202,7 +202,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY order_date,
 query("q46_check_lists_in_parts", "customer_id:i part_no:i order_list:s", """
 SELECT customer_id, (rn - 1) // 4 + 1 AS part_no, string_agg(cast(order_id as varchar), ', ' ORDER BY rn) AS order_list
 FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY order_date, order_id) AS rn FROM shop_orders) GROUP BY 1, 2
-""")(lambda t: views.check_lists(t.shop_orders, part_rows=4, plain_rows=0))
+""")(lambda t: views.check_lists(t.shop_orders, part_rows=4))
 
 query("q45_windows_by_segment", "order_id:i order_status:s rn:i rnk:i drnk:i pr:d cd:d tile:i n:i prev_amount:d next_amount:d running_total:d total:d", """
 SELECT order_id, order_status, row_number() OVER w AS rn, rank() OVER v AS rnk, dense_rank() OVER v AS drnk, round(percent_rank() OVER v, 9) AS pr, round(cume_dist() OVER v, 9) AS cd, ntile(7) OVER w AS tile,
@@ -212,7 +212,7 @@ FROM shop_orders WINDOW v AS (PARTITION BY order_status ORDER BY order_date DESC
 """)(lambda t: ranked(t.shop_orders.select("order_id", "order_status", "order_date", "total_amount"), ["order_status"], [("order_date", "desc")], ["order_id"], {
     "rn": ("row_number",), "rnk": ("rank",), "drnk": ("dense_rank",), "_pr": ("percent_rank",), "_cd": ("cume_dist",), "tile": ("ntile", 7), "n": ("count",),
     "prev_amount": ("lag", "total_amount"), "next_amount": ("lead", "total_amount"), "running_total": ("running_sum", "total_amount"),
-    "total": ("total", "total_amount")}, plain_rows=0).withColumns({"pr": F.round("_pr", 9), "cd": F.round("_cd", 9)}))
+    "total": ("total", "total_amount")}).withColumns({"pr": F.round("_pr", 9), "cd": F.round("_cd", 9)}))
 
 query("u1_format_amount", "order_id:i krw:s usd:s jpy:s eur:s", f"""
 SELECT order_id, {krw('x')} AS krw, '$' || f AS usd, {krw('x')} AS jpy, f || ' EUR' AS eur FROM (

@@ -17,22 +17,29 @@ from cutover.workload.common import assign_keys
 from cutover.workload.order import next_item_seq
 
 c = F.col
-NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations"]
+NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations", "benchmark", "labels", "embeddings"]
 INTEGERS = {
     "customer": ["c_custkey", "c_nationkey"], "orders": ["o_orderkey", "o_custkey"],
     "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], "part": ["p_partkey", "p_size"],
+    "region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "supplier": ["s_suppkey", "s_nationkey"], "events": ["event_id", "user_id"],
+    "documents": ["doc_id", "n_chars"], "pages": ["page_id"], "conversations": ["conv_id", "turn"], "benchmark": ["item_id"], "labels": ["doc_id", "quality", "toxic"],
+    "embeddings": ["vec_id", "label"],
 }
 
 
 def tables(t, names=NAMES):
-    return {n: getattr(t, n) for n in names}
+    """The given tables; vectors as whole thousandths, which both engines print alike."""
+    found = {n: getattr(t, n) for n in names}
+    if "embeddings" in found:
+        found["embeddings"] = found["embeddings"].withColumn("embedding", F.transform("embedding", lambda x: F.floor(x * 1000)))
+    return found
 
 
 def _union(parts):
     return "\nUNION ALL ".join(parts)
 
 
-query("l01_selected_tables", "table_name:s rows:i", _union(f"SELECT '{n}' AS table_name, count(*) AS rows FROM {n}" for n in ("orders", "region", "supplier", "customer")))(
+query("l01_selected_tables", "table_name:s rows:i", _union(f"SELECT '{n}' AS table_name, count(*) AS rows FROM {n}" for n in ("orders", "region", "supplier", "customer", "benchmark")))(
     lambda t: D.table_row_counts(tables(t, L.select_tables(t.spark, NAMES, "%R%", exclude=["part", "conv%"]))))
 
 query("l02_lower_names", "c_custkey:i c_name:s c_acctbal:d", "SELECT c_custkey, c_name, c_acctbal FROM customer")(
@@ -50,10 +57,14 @@ def _load(t):
 query("l03_full_load", "table_name:s state:s rows_written:i rows:i", _union(
     f"SELECT '{n}' AS table_name, 'loaded' AS state, count(*) AS rows_written, count(*) AS rows FROM {n}" for n in ("customer", "orders", "lineitem")))(lambda t: _load(t)[0])
 
-query("l04_long_text_cut", "doc_id:i chars:i cut:b", "SELECT doc_id, least(length(text), 4096) AS chars, length(text) > 4096 AS cut FROM documents")(
+# characters that fit into 4,096 bytes: bytes that begin one, less the last if it goes on behind the limit
+_FITTING = """SELECT doc_id, text, strlen(text) > 4096 AS cut, CASE WHEN strlen(text) <= 4096 THEN length(text) ELSE
+  len(list_filter(range(0, 4096), lambda i: substr(h, 2 * i + 1, 1) NOT IN ('8', '9', 'A', 'B'))) - CASE WHEN substr(h, 8193, 1) IN ('8', '9', 'A', 'B') THEN 1 ELSE 0 END END AS chars
+  FROM (SELECT *, hex(encode(text)) AS h FROM documents)"""
+query("l04_long_text_cut", "doc_id:i chars:i cut:b", f"SELECT doc_id, chars, cut FROM ({_FITTING})")(
     lambda t: L.cut_long_text(t.documents, "text", 4).select("doc_id", F.length("text").alias("chars"), c("text_cut").alias("cut")))
-query("l04_cut_report", "n:i cut:i chars_lost:i longest_octets:i", """
-SELECT count(text) AS n, count(*) FILTER (length(text) > 4096) AS cut, sum(greatest(length(text) - 4096, 0)) AS chars_lost, max(strlen(text)) AS longest_octets FROM documents
+query("l04_cut_report", "n:i cut:i chars_lost:i longest_octets:i", f"""
+SELECT count(text) AS n, count(*) FILTER (cut) AS cut, sum(length(text) - chars) AS chars_lost, max(strlen(text)) AS longest_octets FROM ({_FITTING})
 """)(lambda t: L.cut_report(t.documents, "text", 4).withColumnRenamed("values", "n"))
 
 _SCALE = {"lineitem": ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "part": ["p_retailprice"], "customer": ["c_acctbal"], "events": ["value"]}
@@ -151,7 +162,7 @@ SELECT o_orderkey AS order_id, n, coalesce(top, 0) + n AS item_seq FROM (SELECT
 """)(lambda t: next_item_seq(t.order_items, t.orders.select(c("o_orderkey").alias("order_id"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("n")), ["n"]))
 
 # ---- dictionary ---------------------------------------------------------------
-TYPE_SQL = "case data_type when 'BIGINT' then 'bigint' when 'INTEGER' then 'integer' when 'DOUBLE' then 'double precision' when 'VARCHAR' then 'text' else 'timestamp without time zone' end"
+TYPE_SQL = "case data_type when 'BIGINT' then 'bigint' when 'INTEGER' then 'integer' when 'DOUBLE' then 'double precision' when 'FLOAT[]' then 'array<bigint>' when 'VARCHAR' then 'text' else 'timestamp without time zone' end"
 META_SQL = f"SELECT table_name, column_name, ordinal_position AS position, {TYPE_SQL} AS data_type FROM information_schema.columns WHERE table_name IN ({', '.join(repr(n) for n in NAMES)})"
 COLUMNS = {
     "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
@@ -159,8 +170,8 @@ COLUMNS = {
     "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
     "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
     "events": "event_id ts user_id event_type value props", "documents": "doc_id text lang source n_chars", "pages": "page_id url html", "conversations": "conv_id turn role text",
+    "benchmark": "item_id text", "labels": "doc_id quality toxic", "embeddings": "vec_id embedding label",
 }
-_SINGLE_KEY = [n for n in NAMES if n not in ("lineitem", "conversations")]
 
 
 def _metadata(t):
@@ -174,15 +185,25 @@ SELECT m.*, filled FROM ({META_SQL}) m JOIN ({_union(f"SELECT '{n}' AS table_nam
 """)(_metadata)
 query("d02_table_list", "table_name:s columns:i rows:i", _union(f"SELECT '{n}' AS table_name, {len(xs.split())} AS columns, count(*) AS rows FROM {n}" for n, xs in COLUMNS.items()))(
     lambda t: D.table_list(D.column_metadata(t.spark, tables(t))).join(D.table_row_counts(tables(t)), "table_name"))
-_SAMPLES = _union(f"SELECT '{n}' AS table_name, '{x}' AS column_name, arg_min({x}, {COLUMNS[n].split()[0]})::varchar AS sample_value FROM {n}" for n in _SINGLE_KEY for x in COLUMNS[n].split())
-query("d03_sample_rows", "table_name:s column_name:s sample_value:s", _SAMPLES)(lambda t: L.union_all([D.sample_row(n, d) for n, d in tables(t, _SINGLE_KEY).items()]))
+
+
+def _source(n):
+    return "(SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(x * 1000::float) AS BIGINT)) AS embedding, label FROM embeddings)" if n == "embeddings" else n
+
+
+def _text(row, x):
+    return f"replace({row}.{x}::varchar, ' ', '')" if x == "embedding" else f"{row}.{x}::varchar"
+
+
+_SAMPLES = _union(f"SELECT '{n}' AS table_name, '{x}' AS column_name, {_text('x', x)} AS sample_value FROM (SELECT min(t) AS x FROM {_source(n)} AS t)" for n in NAMES for x in COLUMNS[n].split())
+query("d03_sample_rows", "table_name:s column_name:s sample_value:s", _SAMPLES)(lambda t: L.union_all([D.sample_row(n, d) for n, d in tables(t).items()]))
 
 _HINT = """SELECT x.*, coalesce(s is not null, false) AS needs_cast, s AS cast_syntax, data_type in ('character', 'char', 'bpchar') AS needs_trim FROM (SELECT *, case data_type when 'smallint' then '::SMALLINT' when 'integer' then '::INTEGER' when 'bigint' then '::BIGINT'
   when 'numeric' then '::NUMERIC' when 'decimal' then '::NUMERIC' when 'real' then '::REAL' when 'double precision' then '::DOUBLE PRECISION' when 'date' then '::DATE' when 'timestamp without time zone' then '::TIMESTAMP' end AS s FROM ({src})) x"""
 query("d04_cast_hints", "ref_id:i data_type:s needs_cast:b cast_syntax:s needs_trim:b", _HINT.format(src="SELECT * FROM typed_refs"))(lambda t: D.with_hints(t.typed_refs))
-_DICT_SQL = _HINT.format(src=f"SELECT m.*, sample_value, lower(m.table_name || '.' || m.column_name) AS key FROM ({META_SQL}) m LEFT JOIN ({_SAMPLES}) f ON m.table_name = f.table_name AND m.column_name = f.column_name WHERE m.table_name NOT IN ('lineitem', 'conversations')")
-_dictionary = lambda t: D.build_dictionary(t.spark, tables(t, _SINGLE_KEY))
-query("d05_dictionary", "key:s table_name:s column_name:s position:i data_type:s sample_value:s needs_cast:b cast_syntax:s needs_trim:b", _DICT_SQL)(_dictionary)
+_DICT_SQL = _HINT.format(src=f"SELECT m.*, sample_value, lower(m.table_name || '.' || m.column_name) AS key FROM ({META_SQL}) m LEFT JOIN ({_SAMPLES}) f ON m.table_name = f.table_name AND m.column_name = f.column_name")
+_dictionary = lambda t: D.build_dictionary(t.spark, tables(t))
+query("d05_dictionary", "key:s table_name:s column_name:s position:i data_type:s sample_value:s sample_found:b needs_cast:b cast_syntax:s needs_trim:b", f"SELECT *, true AS sample_found FROM ({_DICT_SQL})")(_dictionary)
 query("d06_sample_text", "event_id:i as_text:s", "SELECT event_id, concat_ws('|', event_id::varchar, strftime(ts, '%Y-%m-%d %H:%M:%S'), value::decimal(12,2)::varchar, (user_id > 70)::varchar) AS as_text FROM events")(
     lambda t: t.events.select("event_id", F.concat_ws("|", *(D.cell_text(x, y) for x, y in (
         (c("event_id"), t.events.schema["event_id"].dataType), (F.date_trunc("second", c("ts")).cast("timestamp_ntz"), t.events.schema["ts"].dataType),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cutover.functions.equality import cells_equal
 from cutover.operators import compare as R
@@ -85,6 +86,22 @@ query("r05_strict_equality", "p_partkey:i int_double:b padding:b int_text:b doub
 SELECT p_partkey, true AS int_double, false AS padding, true AS int_text, false AS double_text, false AS bool_int, p_size % 3 > 0 AS with_null, true AS null_null, false AS tolerance, p_size % 2 = 0 AS some_padding FROM part
 """)(_strict)
 
+def _decimals():
+    """Keys beyond 2^53 and amounts as decimals, beside the doubles nearest to them."""
+    big, cents, fine = T.DecimalType(20, 0), T.DecimalType(12, 2), T.DecimalType(30, 19)
+    key = c("o_orderkey").cast(big) * 2 + F.lit(9007199254740992).cast(big)
+    amount = c("o_totalprice").cast(cents)
+    eq = lambda a, at, b: cells_equal(a.cast(at), at, b, T.DoubleType())
+    return [
+        eq(key, big, key.cast("double")).alias("same"), eq(key + 1, big, (key + 1).cast("double")).alias("shifted"),
+        eq(amount, cents, amount.cast("double")).alias("fraction"),
+        eq(amount.cast(fine) + F.lit("0.0000000000000000001").cast(fine), fine, amount.cast("double")).alias("finer")]
+
+
+query("r05_decimal_double", "o_orderkey:i same:b shifted:b fraction:b finer:b", """
+SELECT o_orderkey, true AS same, false AS shifted, true AS fraction, false AS finer FROM orders
+""")(lambda t: t.orders.select("o_orderkey", *_decimals()))
+
 query("r06_failure_precedence", "failure_type:s severity:s n:i rows_ok:i columns_ok:i values_ok:i", f"""
 SELECT failure_type, severity, count(*) AS n, count(*) FILTER (row_count_matched) AS rows_ok, count(*) FILTER (columns_matched) AS columns_ok, count(*) FILTER (values_matched) AS values_ok FROM ({OUTCOMES_SQL}) GROUP BY 1, 2
 """)(lambda t: R.outcomes(t.runs).groupBy("failure_type", "severity").agg(F.count(F.lit(1)).alias("n"), F.count_if("row_count_matched").alias("rows_ok"),
@@ -118,6 +135,16 @@ SELECT l_orderkey, l_partkey, l_linenumber, l_extendedprice, case when d > 0 the
 # prices last: a changed price then does not move a row
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate", "l_extendedprice"]
 _LINE_KEYS = ", ".join(LINE_ORDER)
+query("r08_changes_in_repeated_keys", "l_orderkey:i l_linenumber:i l_partkey:i l_quantity:d change:s copies:i", """
+WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem), t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity + CASE WHEN l_partkey % 7 = 0 THEN 1 ELSE 0 END AS l_quantity FROM lineitem),
+r AS (SELECT l_orderkey, l_linenumber FROM s GROUP BY ALL HAVING count(*) > 1),
+d AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, sum(d) AS d FROM (SELECT *, 1 AS d FROM s UNION ALL SELECT *, -1 FROM t) GROUP BY ALL HAVING sum(d) <> 0)
+SELECT d.l_orderkey, d.l_linenumber, l_partkey, l_quantity, CASE WHEN d > 0 THEN 'missing_in_target' ELSE 'extra_in_target' END AS change, abs(d) AS copies FROM d JOIN r USING (l_orderkey, l_linenumber)
+""")(lambda t: R.repeated_key_diff(
+    t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"),
+    t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", (c("l_quantity") + F.when(c("l_partkey") % 7 == 0, 1).otherwise(0)).alias("l_quantity")),
+    ["l_orderkey", "l_linenumber"]))
+
 query("r09_bounded_rows", "l_orderkey:i l_partkey:i l_linenumber:i total_rows:i sampled:b", f"""
 SELECT l_orderkey, l_partkey, l_linenumber, n AS total_rows, n > 10000 AS sampled FROM (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY {_LINE_KEYS}) AS rn FROM lineitem) WHERE rn <= 10000
 """)(lambda t: R.bounded(t.lineitem, LINE_ORDER))
@@ -139,6 +166,16 @@ FROM (SELECT max(a.n) AS s, max(b.n) AS g, count(*) AS k, count(*) FILTER (a.l_e
   FROM ({sample_sql('lineitem')}) a JOIN ({sample_sql('lineitem_target')}) b USING (sample_index))
 """)(lambda t: R.sampled_match(t.lineitem, t.lineitem_target, LINE_ORDER))
 
+query("r11_empty", "source_total_rows:i target_total_rows:i samples_compared:i sample_match_rate:d row_count_matched:b matched:b", """
+SELECT count(*) AS source_total_rows, count(*) AS target_total_rows, count(*) AS samples_compared, NULL AS sample_match_rate, true AS row_count_matched, true AS matched FROM lineitem WHERE l_quantity < 0
+""")(lambda t: R.sampled_match(t.lineitem.filter("l_quantity < 0"), t.lineitem_target.filter("l_quantity < 0"), LINE_ORDER))
+
+query("r11_sampled_mismatches", "sample_index:i column_name:s source_value:s target_value:s", f"""
+SELECT a.sample_index, 'l_extendedprice' AS column_name, round(a.l_extendedprice * 100)::bigint::varchar AS source_value, round(b.l_extendedprice * 100)::bigint::varchar AS target_value
+FROM ({sample_sql('lineitem')}) a JOIN ({sample_sql('lineitem_target')}) b USING (sample_index) WHERE a.l_extendedprice <> b.l_extendedprice
+""")(lambda t: R.sampled_mismatches(t.lineitem, t.lineitem_target, LINE_ORDER).filter("column = 'l_extendedprice'").withColumnRenamed("column", "column_name").withColumns({
+    x: F.round(c(x).cast("double") * 100).cast("bigint").cast("string") for x in ("source_value", "target_value")}))
+
 query("r12_timing_kept", "tc_id:s status:s source_time_ms:i target_time_ms:i", f"SELECT tc_id, status, source_time_ms, target_time_ms FROM ({OUTCOMES_SQL}) WHERE status <> 'passed'")(
     lambda t: R.outcomes(t.runs).filter(c("status") != "passed"))
 
@@ -252,6 +289,9 @@ _REPAIR = "grp IN ('A_미변환_Oracle함수', 'B_변환결함_의심') AND frag
 query("f12_worklist", "grp:s frag_id:s tc_id:s category:s error:s", f"""
 SELECT grp, frag_id, tc_id, category, error FROM (SELECT *, row_number() OVER (PARTITION BY grp, frag_id ORDER BY seq) AS rn FROM ({_FRAG_SQL}) WHERE {_REPAIR} AND trim(error, {_WS}) <> '') WHERE rn = 1
 """)(lambda t: X.worklist(_members(t)).withColumnRenamed("group", "grp"))
+query("f12_worklist_of_type", "grp:s frag_id:s tc_id:s category:s error:s", f"""
+SELECT grp, frag_id, tc_id, category, error FROM (SELECT *, row_number() OVER (PARTITION BY grp, frag_id ORDER BY seq) AS rn FROM ({_FRAG_SQL}) WHERE {_REPAIR} AND trim(error, {_WS}) <> '') WHERE rn = 1 AND grp = '{X.UNCONVERTED}' ORDER BY seq LIMIT 5
+""")(lambda t: X.worklist(_members(t), 5, X.UNCONVERTED).withColumnRenamed("group", "grp"))
 query("f12_without_error", "grp:s frag_id:s", f"SELECT grp, frag_id FROM ({_FRAG_SQL}) WHERE {_REPAIR} GROUP BY 1, 2 HAVING count(*) FILTER (trim(error, {_WS}) <> '') = 0")(
     lambda t: X.without_error(_members(t)).withColumnRenamed("group", "grp"))
 query("f13_pending", "fragment_id:s status:s", "SELECT fragment_id, status FROM progress WHERE status <> 'success'")(

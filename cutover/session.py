@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 
@@ -9,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _LOCAL_FOLDERS: dict[str, str] = {}
+_OWNER: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("staged", default=None)
 
 SESSION_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -60,8 +63,31 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table.
 
     Rows keep the values they had when written, so partition ids and generated
-    positions stay fixed when an executor is lost later on.
+    positions stay fixed when an executor is lost later on.  The table belongs
+    to the innermost ``staged`` block, or else stays in the application's folder.
     """
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    owner = _OWNER.get()
+    if owner is not None:
+        owner.append(path)
     df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def staged(spark: SparkSession):
+    """Own the tables that operators stage inside the block, and delete them at its end.
+
+    Results are lazy and read staged tables when they run, so write or collect
+    them inside the block.  Blocks nest; each deletes its own tables.
+    """
+    paths: list[str] = []
+    token = _OWNER.set(paths)
+    try:
+        yield paths
+    finally:
+        _OWNER.reset(token)
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cutover.functions.once import once
+
 FETCH_ROWS = 1000
 BATCH_ROWS = 10_000
 HEAD_CHARS = 2048
@@ -56,37 +59,50 @@ def write_jdbc(df: DataFrame, base: dict[str, str], table: str, batch_rows: int
 
 
 def read_json_documents(spark: SparkSession, folder: str, schema: str, one_per_file: bool = True) -> DataFrame:
-    """Documents of a folder, without the ones that do not parse."""
-    return spark.read.schema(schema).option("multiLine", str(one_per_file).lower()).option("mode", "DROPMALFORMED").json(folder)
+    """Documents of a folder, without the ones that do not parse.
 
+    Whether a document parses depends on its whole text and schema, whatever columns are read of it later.
+    """
+    return _parsed_documents(spark, folder, schema, one_per_file).filter(c("_doc._corrupt_record").isNull()).select("_doc.*").drop("_corrupt_record")
 
-def count_corrupt(spark: SparkSession, folder: str, schema: str, one_per_file: bool = True) -> int:
-    texts = spark.read.text(folder, wholetext=one_per_file)
+
+def _parsed_documents(spark: SparkSession, folder: str, schema: str, one_per_file: bool) -> DataFrame:
+    texts = spark.read.text(folder, wholetext=one_per_file).filter(F.length(F.btrim("value", F.lit(" \t\r\n"))) > 0)
     parsed = F.from_json("value", f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
-    return texts.filter(parsed["_corrupt_record"].isNotNull()).count()
+    return once(texts, {"_doc": parsed})
 
 
-def looks_like(text: Column, marks: Sequence[str] = MAPPER_MARKS, head_chars: int = HEAD_CHARS) -> Column:
-    """Whether one of the marks stands in the head of a text."""
-    head, hit = F.substring(text, 1, head_chars), F.lit(False)
+def count_corrupt(spark: SparkSession, folder: str, schema: str, one_per_file: bool = True) -> int:
+    return _parsed_documents(spark, folder, schema, one_per_file).filter(c("_doc._corrupt_record").isNotNull()).count()
+
+
+def looks_like(text: Column, marks: Sequence[str] = MAPPER_MARKS, head_chars: int | None = HEAD_CHARS) -> Column:
+    """Whether one of the marks stands in the head of a text, or anywhere in it without ``head_chars``."""
+    head, hit = text if head_chars is None else F.substring(text, 1, head_chars), F.lit(False)
     for mark in marks:
         hit = hit | head.contains(mark)
     return F.coalesce(hit, F.lit(False))
 
 
-def read_corpus(spark: SparkSession, folder: str, exclude_dirs: Sequence[str] = (), suffix: str = ".xml", marks: Sequence[str] = MAPPER_MARKS) -> DataFrame:
-    """Whole files below a folder as (file, content): mappers only, no resource forks, no excluded folders."""
+def read_corpus(spark: SparkSession, folder: str, exclude_dirs: Sequence[str] = (), suffix: str = ".xml", marks: Sequence[str] = MAPPER_MARKS,
+                head_chars: int | None = HEAD_CHARS) -> DataFrame:
+    """Whole files below a folder as (file, content): mappers only, no resource forks, no excluded folders.
+
+    ``file`` is the path below the folder, whatever kind of store that is in;
+    only folders below it can be excluded.
+    """
     files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=f"*{suffix}")
-    root = folder.rstrip("/").removeprefix("file:").replace("//", "/")
-    path = c("_metadata.file_path")
-    relative = F.substr(path, F.locate(root + "/", path) + len(root) + 1)
-    df = files.select(relative.alias("file"), c("value").alias("content"))
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri().getPath().rstrip("/")
+    # file names come percent-encoded; a plus sign stands for itself in a path
+    path = F.url_decode(F.replace(F.regexp_replace(c("_metadata.file_path"), "^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", ""), F.lit("+"), F.lit("%2B")))
+    df = files.select(F.substr(path, F.lit(len(root) + 2)).alias("file"), c("value").alias("content"))
     parts = F.split("file", "/")
     folders = F.slice(parts, 1, F.size(parts) - 1)
     df = df.filter(~F.element_at(parts, -1).startswith("._"))
     if exclude_dirs:
         df = df.filter(~F.arrays_overlap(folders, F.array(*(F.lit(d) for d in exclude_dirs))))
-    return df.filter(looks_like(c("content"), marks))
+    return df.filter(looks_like(c("content"), marks, head_chars))
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -108,5 +124,19 @@ def inventory_summary(files: DataFrame, by: Column) -> DataFrame:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Overwrite a folder; running it again gives the same table."""
+    """Overwrite a folder's rows and keep its schema; running it again gives the same table.
+
+    Columns are cast to the types that are there, and one that is missing fails before anything is written.
+    """
+    spark = df.sparkSession
+    try:
+        there = spark.read.parquet(path).schema
+    except AnalysisException:
+        there = None  # no table yet
+    if there is not None and there.fields:
+        own = {x.lower(): x for x in df.columns}
+        missing = [f.name for f in there.fields if f.name.lower() not in own]
+        if missing:
+            raise ValueError(f"columns of the table are missing: {', '.join(missing)}")
+        df = df.select(*(c(own[f.name.lower()]).cast(f.dataType).alias(f.name) for f in there.fields))
     df.write.mode("overwrite").parquet(path)

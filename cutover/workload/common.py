@@ -45,6 +45,22 @@ def latest_per_key(binds: DataFrame, keys: Sequence[str], seq: str) -> DataFrame
     return last.select(*keys, *(F.col("_last")[c].alias(c) for c in rest))
 
 
+def one_per_key(changes: DataFrame, key: str, seq: str | None = None) -> DataFrame:
+    """At most one change per key, so that a join with them can't multiply rows of the table.
+
+    With ``seq``, the last change of a key wins, as running them in order
+    would.  Without it a key that repeats has no defined result and fails the
+    statement, unless its rows are equal in all columns.
+    """
+    if seq is not None:
+        return latest_per_key(changes, [key], seq)
+    rest = [x for x in changes.columns if x != key]
+    met = changes.groupBy(key).agg(F.min(F.struct(*rest)).alias("_one"), F.max(F.struct(*rest)).alias("_other"))
+    sure = F.when(F.col("_one") == F.col("_other"), F.col("_one")).otherwise(
+        F.raise_error(F.concat(F.lit(f"{key} has several changes: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))))
+    return met.select(key, sure.alias("_one")).select(key, "_one.*")
+
+
 def assign_keys(new_rows: DataFrame, order: Order, key: str, table: DataFrame) -> DataFrame:
     """Give new rows keys that follow the table's highest one, without a one-task window."""
     highest = table.agg(F.max(key)).first()[0] or 0

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cutover.functions import oracle as O
 from cutover.operators.ordered import listagg_parts, page
 from cutover.workload import labels as L
-from cutover.workload.common import append_aligned, assign_keys, flagged, only, replace_columns, stamp
+from cutover.workload.common import one_per_key, append_aligned, assign_keys, flagged, only, replace_columns, stamp
 
 
 def customer_by_id(customers: DataFrame, ids=None) -> DataFrame:
@@ -33,7 +33,7 @@ def customer_list(customers: DataFrame, start_row: int, end_row: int, status=Non
     c = F.col
     df = customers.filter(c("status").isNotNull() if status is None else c("status") == status)
     if name:
-        df = df.filter(F.upper("customer_name").contains(name.upper()))
+        df = df.filter(O.like_anywhere(F.upper("customer_name"), name.upper()))
     if customer_type is not None:
         df = df.filter(c("customer_type") == customer_type)
     rows = df.select(
@@ -50,13 +50,13 @@ def customer_list(customers: DataFrame, start_row: int, end_row: int, status=Non
 
 def _keyword_filter(keyword: str, by: str | None):
     upper = keyword.upper()
-    in_name, in_email = F.upper("customer_name").contains(upper), F.upper("email").contains(upper)
+    in_name, in_email = O.like_anywhere(F.upper("customer_name"), upper), O.like_anywhere(F.upper("email"), upper)
     if by == "NAME":
         return in_name
     if by == "EMAIL":
         return in_email
     if by == "PHONE":
-        return F.replace("phone", F.lit("-"), F.lit("")).contains(keyword.replace("-", ""))
+        return O.like_anywhere(F.replace("phone", F.lit("-"), F.lit("")), keyword.replace("-", ""))
     return in_name | in_email
 
 
@@ -108,9 +108,10 @@ def insert_customers(customers: DataFrame, new_rows: DataFrame, order, as_of: da
     return append_aligned(customers, rows)
 
 
-def update_customers(customers: DataFrame, updates: DataFrame, as_of: datetime) -> DataFrame:
-    """Keyed update of active customers, one row of ``updates`` per key; a null limit or birth date keeps the old one."""
+def update_customers(customers: DataFrame, updates: DataFrame, as_of: datetime, seq: str | None = None) -> DataFrame:
+    """Keyed update of active customers; a null limit or birth date keeps the old one.  ``seq`` orders updates of one key."""
     fields = ["customer_name", "email", "phone", "address", "credit_limit", "birth_date"]
+    updates = one_per_key(updates.select("customer_id", *fields, *([seq] if seq else [])), "customer_id", seq)
     new = updates.select("customer_id", F.lit(True).alias("_hit"), *(F.col(f).alias(f"new_{f}") for f in fields))
     df = customers.withColumn("upd_date", F.lit(None).cast("timestamp_ntz")).join(new, "customer_id", "left")
     done = replace_columns(df, F.col("_hit") & (F.col("status") == "ACTIVE"), {

@@ -31,7 +31,7 @@ def employee_by_id(employees: DataFrame, as_of: date, ids=None) -> DataFrame:
     )
 
 
-def walk_tree(employees: DataFrame, start: DataFrame, siblings: list[str], max_levels: int = 1000) -> DataFrame:
+def walk_tree(employees: DataFrame, start: DataFrame, siblings: list[str]) -> DataFrame:
     """Rows reachable from ``start`` with level, name path and sort path.
 
     One join per level; every level is written out, so no plan grows with the
@@ -48,8 +48,6 @@ def walk_tree(employees: DataFrame, start: DataFrame, siblings: list[str], max_l
             break
         if level.filter(F.array_size(F.array_distinct("_ids")) < F.array_size("_ids")).limit(1).count():
             raise ValueError("the hierarchy has a cycle")
-        if len(levels) >= max_levels:
-            raise ValueError(f"the hierarchy is deeper than {max_levels} levels")
         levels.append(level)
         parents = level.select(c("employee_id").alias("manager_id"), c("level").alias("_level"),
                                c("_ids").alias("_up"), c("full_path").alias("_path"), c("sort_path").alias("_sorts"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cutover.functions import oracle as O
 from cutover.operators.ordered import page, ranked
 from cutover.workload import labels as L
-from cutover.workload.common import append_aligned, assign_keys, flagged, only, replace_columns, stamp
+from cutover.workload.common import one_per_key, append_aligned, assign_keys, flagged, only, replace_columns, stamp
 
 c = F.col
 
@@ -93,11 +93,10 @@ def insert_orders(orders: DataFrame, new_rows: DataFrame, order, as_of: datetime
     return append_aligned(orders, rows)
 
 
-def next_item_seq(items: DataFrame, new_lines: DataFrame, order, plain_rows: int | None = None) -> DataFrame:
+def next_item_seq(items: DataFrame, new_lines: DataFrame, order) -> DataFrame:
     """Number new lines after the highest line of their order."""
     highest = items.join(new_lines.select("order_id").distinct(), "order_id", "left_semi").groupBy("order_id").agg(F.max("item_seq").alias("_top"))
-    kwargs = {} if plain_rows is None else {"plain_rows": plain_rows}
-    numbered = ranked(new_lines, ["order_id"], order, [], {"_n": ("row_number",)}, **kwargs)
+    numbered = ranked(new_lines, ["order_id"], order, [], {"_n": ("row_number",)}, split=False)
     return numbered.join(highest, "order_id", "left").withColumn("item_seq", O.nvl(c("_top"), 0) + c("_n")).drop("_top", "_n")
 
 
@@ -120,9 +119,9 @@ def recalculate_totals(orders: DataFrame, items: DataFrame, as_of: datetime, ids
     return done.select(*orders.columns, "upd_date")
 
 
-def update_status(orders: DataFrame, changes: DataFrame, as_of: datetime) -> DataFrame:
+def update_status(orders: DataFrame, changes: DataFrame, as_of: datetime, seq: str | None = None) -> DataFrame:
     """Set the status of orders that are not cancelled; the first shipment stamps the ship date."""
-    new = changes.select("order_id", c("new_status"))
+    new = one_per_key(changes.select("order_id", "new_status", *([seq] if seq else [])), "order_id", seq).select("order_id", "new_status")
     df = orders.withColumn("upd_date", F.lit(None).cast("timestamp_ntz")).join(new, "order_id", "left")
     done = replace_columns(df, c("new_status").isNotNull() & (c("order_status") != "CANCELLED"), {
         "order_status": c("new_status"),
@@ -181,9 +180,10 @@ def sales_by_category(orders: DataFrame, items: DataFrame, products: DataFrame)
 
 
 def merge_orders(orders: DataFrame, changes: DataFrame, order, as_of: datetime) -> DataFrame:
-    """Upsert, one change per order: known orders are updated, unknown ones inserted under new keys."""
+    """Upsert: known orders are updated, unknown ones inserted under new keys; two changes of a known order fail."""
     tax = lambda amount: F.round(amount * F.lit(0.1).cast("decimal(2,1)"), 2)
-    renamed = changes.select("order_id", F.lit(True).alias("_hit"), *(c(x).alias(f"new_{x}") for x in changes.columns if x != "order_id"))
+    known = one_per_key(changes.filter(c("order_id").isNotNull()), "order_id")
+    renamed = known.select("order_id", F.lit(True).alias("_hit"), *(c(x).alias(f"new_{x}") for x in changes.columns if x != "order_id"))
     df = orders.withColumn("upd_date", F.lit(None).cast("timestamp_ntz")).join(renamed, "order_id", "left")
     matched = replace_columns(df, c("_hit"), {
         "total_amount": c("new_total_amount"), "tax_amount": tax(c("new_total_amount")),
@@ -224,9 +224,10 @@ def latest_order_by_customer(customers: DataFrame, orders: DataFrame) -> DataFra
     ).orderBy("customer_name", "customer_id")
 
 
-def cancel_orders(orders: DataFrame, as_of: datetime, reasons: DataFrame) -> DataFrame:
+def cancel_orders(orders: DataFrame, as_of: datetime, reasons: DataFrame, seq: str | None = None) -> DataFrame:
     """Cancel pending or confirmed orders and append the reason to the remarks."""
     when = as_of.strftime("%Y-%m-%d %H:%M")
+    reasons = one_per_key(reasons.select("order_id", "cancel_reason", *([seq] if seq else [])), "order_id", seq)
     new = reasons.select("order_id", F.lit(True).alias("_hit"), "cancel_reason")
     df = orders.withColumn("upd_date", F.lit(None).cast("timestamp_ntz")).join(new, "order_id", "left")
     note = O.concat_ignoring_null(c("remarks"), "\n" + L.CANCELLED_MARK + when + " ", O.nvl(c("cancel_reason"), L.NO_REASON))

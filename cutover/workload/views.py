@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutover.functions import oracle as O
-from cutover.operators.ordered import PLAIN_WINDOW_ROWS, global_index, listagg_parts, ranked
+from cutover.operators.ordered import global_index, listagg_parts, ranked
 from cutover.session import stage
 from cutover.workload import labels as L
 from cutover.workload.common import append_aligned, replace_columns, stamp
@@ -47,7 +47,7 @@ def product_sales(products: DataFrame, items: DataFrame) -> DataFrame:
 
 def update_grades(customers: DataFrame, orders: DataFrame, as_of: datetime) -> DataFrame:
     """Write each active customer's grade, from purchases of the last twelve months, into the memo."""
-    since = F.to_date(F.add_months(F.lit(as_of.date()), -12))
+    since = O.add_months_at(F.lit(as_of), -12)
     bought = orders.filter((c("order_date") >= since) & (c("order_status") == "DELIVERED")).groupBy("customer_id").agg(
         F.sum("total_amount").alias("_bought"))
     df = customers.withColumn("upd_date", F.lit(None).cast("timestamp_ntz")).join(bought, "customer_id", "left")
@@ -129,6 +129,6 @@ def check_windows(orders: DataFrame) -> DataFrame:
         "running_total": ("running_sum", "total_amount")}).drop("order_date")
 
 
-def check_lists(orders: DataFrame, part_rows: int = 10_000, plain_rows: int = PLAIN_WINDOW_ROWS) -> DataFrame:
+def check_lists(orders: DataFrame, part_rows: int = 10_000) -> DataFrame:
     items = orders.select("customer_id", "order_id", "order_date", c("order_id").cast("string").alias("id_text"))
-    return listagg_parts(items, ["customer_id"], {"order_list": "id_text"}, ["order_date"], ["order_id"], part_rows=part_rows, plain_rows=plain_rows).drop("items")
+    return listagg_parts(items, ["customer_id"], {"order_list": "id_text"}, ["order_date"], ["order_id"], part_rows=part_rows).drop("items")

@@ -123,3 +123,24 @@ def test_summary(spark):
     assert {r.status: float(r.share_pct) for r in S.shares(out, "status").collect()} == {"passed": 25.0, "failed": 50.0, "skipped": 25.0}
     log = spark.createDataFrame([("t", "loaded", True), ("u", "errored", True)], "table_name string, state string, task_ok boolean")
     assert S.load_outcome(log).first().failed and not S.load_outcome(log.limit(1)).first().failed and S.load_outcome(log.limit(1), 2).first().failed
+
+
+def test_repeated_keys_as_multisets(spark):
+    rows = [(1, "a", 1.5), (1, "a", 1.5), (1, "b", 2.0), (2, "c", None), (None, "d", 1.0), (None, "d", 1.0)]
+    source = spark.createDataFrame(rows, "k long, v string, x double")
+    same = source.selectExpr("k AS K", "v", "CAST(x AS DECIMAL(10, 2)) AS x")
+    assert R.repeated_key_diff(source, same, ["k"]).count() == 0
+    report = R.reconcile("t", source, same, ["k"]).first()
+    assert (report.status, report.duplicate_keys) == ("passed", 2)
+    other = spark.createDataFrame([(1, "a", 1.5), (1, "z", 2.0), (1, "b", 2.0), (2, "c", None), (None, "d", 1.0), (None, "d", 1.0)], "k long, v string, x double")
+    assert {(r.k, r.v, r.change, r.copies) for r in R.repeated_key_diff(source, other, ["k"]).collect()} == {(1, "a", "missing_in_target", 1), (1, "z", "extra_in_target", 1)}
+    assert R.reconcile("t", source, other, ["k"]).first().failure_type == "value_mismatch"
+
+
+def test_empty_results_match(spark):
+    none = spark.createDataFrame([], "k long, v string")
+    one = spark.createDataFrame([(1, "a")], "k long, v string")
+    r = R.sampled_match(none, none, ["k"]).first()
+    assert (r.matched, r.samples_compared, r.sample_match_rate) == (True, 0, None)
+    r = R.sampled_match(none, one, ["k"]).first()
+    assert (r.matched, r.row_count_matched, r.target_total_rows) == (False, False, 1)

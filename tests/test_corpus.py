@@ -110,7 +110,7 @@ def test_merge_audit(spark):
     assert {(r.statement_type, r.sql_id, r.fate) for r in C.merge_audit(o, f).collect()} == {("select", "a", "replaced"), ("select", "b", "not_replaced"), ("insert", "a", "unused")}
 
 
-def test_trees(spark, monkeypatch):
+def test_trees(spark):
     leaf = {"name": "A.B.f", "statistic": {"objectType": "FUNCTION", "countErrorNodes": "", "messageActions": [{"code": 7}, {"code": "8"}, {"code": ""}]}}
     table = {"name": "T", "statistic": {"objectType": "TABLE", "countErrorNodes": 9}, "children": None}
     doc = {"name": "root", "children": [{"name": "A", "statistic": {"objectType": "PACKAGE", "countErrorNodes": 2}, "children": [leaf, table]}]}
@@ -120,12 +120,18 @@ def test_trees(spark, monkeypatch):
     sev = A.severity_dimension(spark.createDataFrame([('{"7": {"severityType": "CRITICAL"}, "8": {}, "x": "text"}',)], "doc string"), "doc")
     assert {(r.code, r.severity) for r in sev.collect()} == {("7", "CRITICAL"), ("8", "")}
     expected = {("PACKAGE", "A", ("countErrorNodes=2",)), ("FUNCTION", "f", ("critical_codes=7",))}
-    for bound in (2000, 0):
-        monkeypatch.setattr(A, "LITERAL_CODES", bound)
-        assert {(r.object_type, r.object_name, tuple(r.reasons)) for r in A.select_targets(nodes, sev, "id").collect()} == expected
+    assert {(r.object_type, r.object_name, tuple(r.reasons)) for r in A.select_targets(nodes, sev, "id").collect()} == expected
     assert A.select_targets(nodes, sev, "id", code_types_only=False).count() == 3
 
 
+def test_tree_of_any_depth(spark):
+    doc = {"name": "bottom", "statistic": {"objectType": "VIEW", "countErrorNodes": 1}}
+    for k in range(99):
+        doc = {"name": f"n{k}", "children": [doc]}
+    nodes = A.flatten_trees(spark.createDataFrame([(1, json.dumps(doc))], "id long, doc string"), "id", "doc")
+    assert nodes.agg({"depth": "max"}).first()[0] == 100 and nodes.filter("name = 'bottom'").count() == 1
+
+
 def test_corpus_reader(spark, tmp_path):
     def put(name, text):
         p = tmp_path / name
@@ -170,3 +176,9 @@ def test_jdbc_options():
             io.jdbc_read_options(base, **wrong)
     with pytest.raises(ValueError):
         io.jdbc_options("other", "h", 1, "d", "u", "p")
+
+
+def test_substitution_keeps_the_texts_own_marks(spark):
+    df = spark.createDataFrame([("f", "a\x01b \x01#{x} \x01\x02 #{x} ${y}")], "file string, content string")
+    r = C.substitute_tokens(df, {"x": "1"}).first()
+    assert r.content == "a\x01b \x011 \x01\x02 1 ${y}" and r.variable_subs == 2

@@ -68,7 +68,7 @@ def subset_by_definition(entries, text, cap):
 
 @pytest.mark.parametrize("per_pass,cap", [(5000, 400), (2, 400), (5000, 2), (2, 2)])
 def test_dictionary_subset(spark, monkeypatch, per_pass, cap):
-    monkeypatch.setattr(D, "ENTRIES_PER_PASS", per_pass)
+    monkeypatch.setattr(D, "BATCH_ENTRIES", per_pass)
     entries = [("orders", "id"), ("orders", "name"), ("orders", "total"), ("users", "id"), ("users", "name"), ("zzz", "id")]
     d = spark.createDataFrame([(t, col, i) for i, (t, col) in enumerate(entries)], "table_name string, column_name string, position long")
     texts = ["select id, name, total from Orders", "select Name from users join orders", "only id here", "nothing", "orders but no columns"]

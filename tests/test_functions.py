@@ -79,3 +79,14 @@ def test_strict_equality(spark, a, at, b, bt, equal):
     df = spark.createDataFrame([(a, b)], T.StructType([T.StructField("a", at), T.StructField("b", bt)]))
     assert df.select(cells_equal(c("a"), at, c("b"), bt).alias("r")).first().r is equal
     assert df.select(cells_equal(c("b"), bt, c("a"), at).alias("r")).first().r is equal
+
+
+def test_like_has_wildcards_and_no_escape(spark):
+    df = spark.createDataFrame([("a_b",), ("axb",), ("50%",), ("c\\d",)], "t string")
+    find = lambda part: sorted(r.t for r in df.filter(O.like_anywhere(F.col("t"), part)).collect())
+    assert find("a_b") == ["a_b", "axb"] and find("%") == sorted(["a_b", "axb", "50%", "c\\d"]) and find("c\\d") == ["c\\d"]
+
+
+def test_add_months_keeps_month_end_and_time(spark):
+    row = spark.sql("SELECT timestamp_ntz'2001-02-28 13:45:00' AS a, timestamp_ntz'2001-03-30 08:00:00' AS b").select(O.add_months_at(F.col("a"), -12).alias("a"), O.add_months_at(F.col("b"), -1).alias("b")).first()
+    assert str(row.a) == "2000-02-29 13:45:00" and str(row.b) == "2001-02-28 08:00:00"

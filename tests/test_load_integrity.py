@@ -15,10 +15,11 @@ def test_selection_and_names(spark):
 
 
 def test_long_text(spark):
-    df = spark.createDataFrame([("a" * 1024,), ("é" * 1025,), (None,)], "t string")
+    df = spark.createDataFrame([("a" * 1024,), ("é" * 1025,), (None,), ("a" + "é" * 600,)], "t string")
     got = L.cut_long_text(df, "t", 1).collect()
-    assert [(r.t_cut, len(r.t) if r.t else None) for r in got] == [(False, 1024), (True, 1024), (False, None)]
-    assert tuple(L.cut_report(df, "t", 1).first()) == (2, 1, 1, 2050)
+    assert [(r.t_cut, len(r.t) if r.t else None) for r in got] == [(False, 1024), (True, 512), (False, None), (True, 512)]
+    assert got[3].t == "a" + "é" * 511
+    assert tuple(L.cut_report(df, "t", 1).first()) == (3, 2, 513 + 89, 2050)
 
 
 def test_scale_zero(spark):

@@ -54,15 +54,15 @@ def rows_with_hot_group(seed, n=700):
     return rows
 
 
-@pytest.mark.parametrize("seed,desc,group,plain", [
-    (1, True, ["g"], 0), (2, False, ["g"], 0), (3, True, [], 0), (4, False, [], 0), (5, True, ["g"], 10**6),
+@pytest.mark.parametrize("seed,desc,group,split", [
+    (1, True, ["g"], True), (2, False, ["g"], True), (3, True, [], True), (4, False, [], True), (5, True, ["g"], False),
 ])
-def test_ranked_equals_definition(many_segments, seed, desc, group, plain):
+def test_ranked_equals_definition(many_segments, seed, desc, group, split):
     rows = rows_with_hot_group(seed)
     if not group:
         rows = [("all", *r[1:]) for r in rows]
     df = many_segments.createDataFrame(rows, "g string, v int, k long, x long").repartition(5)
-    got = O.ranked(df, group, [("v", "desc" if desc else "asc")], ["k"], WANT, plain_rows=plain)
+    got = O.ranked(df, group, [("v", "desc" if desc else "asc")], ["k"], WANT, split=split)
     result = {(r["g"], r["k"]): tuple(r[c] for c in WANT) for r in got.collect()}
     expected = brute(rows, desc)
     assert result.keys() == expected.keys()
@@ -72,7 +72,7 @@ def test_ranked_equals_definition(many_segments, seed, desc, group, plain):
 
 def test_ranked_one_value_everywhere(many_segments):
     df = many_segments.range(500).select(F.lit("g").alias("g"), F.lit(1).alias("v"), F.col("id").alias("k"), F.lit(1).cast("long").alias("x"))
-    got = O.ranked(df, ["g"], ["v"], ["k"], WANT, plain_rows=0).collect()
+    got = O.ranked(df, ["g"], ["v"], ["k"], WANT).collect()
     assert {r.rk for r in got} == {1} and {r.dr for r in got} == {1} and {r.cd for r in got} == {1.0}
     assert sorted(r.rn for r in got) == list(range(1, 501))
     assert all(r.rs == r.rn for r in got)
@@ -89,14 +89,14 @@ def test_global_index_is_gap_free(many_segments):
 def test_page_and_top(spark):
     df = spark.range(100).withColumnRenamed("id", "k")
     assert [(r.k, r.rnum) for r in O.page(df, [("k", "desc")], 11, 13).orderBy("rnum").collect()] == [(89, 11), (88, 12), (87, 13)]
-    assert [(r.k, r.rnum) for r in O.page(spark.range(3000).withColumnRenamed("id", "k"), ["k"], 2001, 2002).orderBy("rnum").collect()] == [(2000, 2001), (2001, 2002)]
+    assert [(r.k, r.rnum) for r in O.page(spark.range(3000).withColumnRenamed("id", "k"), ["k"], 2001, 2002, deep=True).orderBy("rnum").collect()] == [(2000, 2001), (2001, 2002)]
     top = O.top_per_group(df.withColumn("g", F.col("k") % 3), ["g"], [("k", "desc")], 1)
     assert sorted(r.k for r in top.collect()) == [97, 98, 99]
 
 
-@pytest.mark.parametrize("plain", [0, 10**6])
-def test_listagg_continues_in_parts(many_segments, plain):
+@pytest.mark.parametrize("split", [True, False])
+def test_listagg_continues_in_parts(many_segments, split):
     df = many_segments.range(25).select(F.lit("g").alias("g"), F.col("id").cast("string").alias("s"), F.col("id").alias("k"))
-    got = O.listagg_parts(df, ["g"], {"ids": "s"}, [("k", "asc")], [], part_rows=10, plain_rows=plain).orderBy("part_no").collect()
+    got = O.listagg_parts(df, ["g"], {"ids": "s"}, [("k", "asc")], [], part_rows=10, split=split).orderBy("part_no").collect()
     assert [r.items for r in got] == [10, 10, 5]
     assert ", ".join(r.ids for r in got) == ", ".join(str(i) for i in range(25))

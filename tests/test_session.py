@@ -29,3 +29,15 @@ def test_stage_keeps_values(spark):
 
     df = session.stage(spark.range(100).withColumn("r", F.rand()), "t")
     assert df.collect() == df.collect() and df.count() == 100
+
+
+def test_staged_tables_go_with_their_block(spark):
+    import pathlib
+
+    with session.staged(spark) as outer:
+        with session.staged(spark) as inner:
+            assert session.stage(spark.range(5), "t").count() == 5 and len(inner) == 1
+        assert not pathlib.Path(inner[0]).exists()
+        kept = session.stage(spark.range(3), "t")
+        assert kept.count() == 3 and outer != inner and len(outer) == 1
+    assert not pathlib.Path(outer[0]).exists()

@@ -53,7 +53,7 @@ def test_latest_bind_wins_and_keys_continue(spark):
 def test_next_item_seq_of_a_hot_order(many_segments):
     items = many_segments.createDataFrame([(1, 3)], "order_id long, item_seq int")
     new = many_segments.range(900).select(F.when(c("id") < 600, F.lit(1)).otherwise(c("id")).alias("order_id"), c("id").alias("line"))
-    got = order.next_item_seq(items, new, ["line"], plain_rows=0)
+    got = order.next_item_seq(items, new, ["line"])
     hot = sorted(r.item_seq for r in got.filter("order_id = 1").collect())
     assert hot == list(range(4, 604)) and got.filter("order_id > 1 and item_seq = 1").count() == 300
 
@@ -63,3 +63,13 @@ def test_status_update_guards(spark):
     ch = spark.createDataFrame([(1, "SHIPPED"), (2, "SHIPPED")], "order_id long, new_status string")
     got = {r.order_id: (r.order_status, str(r.ship_date)) for r in order.update_status(o, ch, datetime(2024, 5, 6, 7, 8)).collect()}
     assert got == {1: ("SHIPPED", "2024-05-06"), 2: ("CANCELLED", "None")}
+
+
+def test_repeated_update_keys(spark):
+    from cutover.workload.common import one_per_key
+
+    log = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 3)], "k long, v string, seq long")
+    assert {(r.k, r.v) for r in one_per_key(log, "k", "seq").collect()} == {(1, "b"), (2, "c")}
+    assert one_per_key(log.select("k", F.lit("x").alias("v")), "k").count() == 2
+    with pytest.raises(Exception, match="several changes"):
+        one_per_key(log.drop("seq"), "k").collect()
