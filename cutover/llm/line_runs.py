@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from cutover.functions.once import once
 from cutover.llm.common import without
+from cutover.session import stage
 
 MIN_WORDS = 50
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -92,7 +93,8 @@ def repeated_windows(df: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "d
         return found
 
     runs = F.transform(F.concat(onward, back), lambda r: F.struct(r["i"].alias("_i"), r["w"].alias("_n"), key(r, False).alias("_a"), key(r, True).alias("_b"), F.get(line, r["i"])["c"].alias("_c")))
-    rows = docs.select("_doc", "_h", F.inline(runs))
+    # a few numbers per line, written because both sides of the join below are made of them
+    rows = stage(docs.select("_doc", "_h", F.inline(runs)), "line-windows")
     keys = ["_n", "_a", "_b", "_c"]
     place = F.struct("_doc", "_h", "_i")
     # equal rows are one place: count places, not rows
