@@ -25,7 +25,8 @@ from cutover.functions.once import once
 from cutover.llm.common import without
 from cutover.session import stage
 
-MIN_WORDS = 50
+#: A run of fewer words may repeat by chance.
+MIN_WORDS = 5
 _WORD = r"[^\x20\x09-\x0D]+"
 _INNER = ("_h", "_l", "_f", "_s", "_e", "_w", "_i", "_n", "_a", "_b", "_c", "_first", "_spans", "_lines", "_gone", "_doc")
 
@@ -99,6 +100,8 @@ def repeated_windows(df: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "d
     place = F.struct("_doc", "_h", "_i")
     # equal rows are one place: count places, not rows
     classes = rows.groupBy(*keys).agg(F.min(place).alias("_first"), F.max(place).alias("_last")).filter("_first != _last").drop("_last")
+    # written, so that the join below shuffles both sides plainly and a very common line's partition can be split
+    classes = stage(classes, "line-classes")
     return rows.join(classes, keys).filter(place > F.col("_first")).select("_doc", "_h", "_i", "_n")
 
 

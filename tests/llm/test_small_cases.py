@@ -229,6 +229,18 @@ def test_line_runs_by_brute_force(spark):
             assert r.text == "\n".join(x for i, x in enumerate(texts[r.doc_id].split("\n")) if i not in r.deleted_lines)
 
 
+def test_short_repeated_lines_go_without_a_setting(spark):
+    pick = random.Random(16)
+    licence = "Licensed under the terms in the file named LICENSE"
+    block = "one two three\nfour five\nsix"
+    own = lambda: " ".join(f"w{pick.randint(0, 10**6)}" for _ in range(pick.randint(1, 20)))
+    texts = ["\n".join(pick.choice([own(), own(), licence, block, "so on"]) for _ in range(12)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = line_runs.without_repeated_runs(docs).collect()
+    assert [r.deleted_lines for r in sorted(rows)] == _left(texts, 5)
+    assert sum(r.text.count(licence) for r in rows) == 1
+
+
 def test_pseudonyms_keep_format_and_links_and_can_be_undone():
     p = pii_feistel.Permutation(b"key")
     text = "a.b1@mail.example.com +1 (988) 555-2485, 4041894974608795 4041-8949-7460-8795 10.1.2.3 1999-02-28 28/02/1999 078-05-1120 DE89370400440532013000 and 300.1.1.1 1999-02-30 4041894974608796"
