@@ -6,8 +6,8 @@ the language.  A text is cut into windows that cover all of it; the windows'
 probabilities, weighted by their bytes, add up to the text's.
 
 The network is fitted on the driver on a bounded sample of labelled rows
-(``SAMPLE_ROWS``, about ``SAMPLE_PER_LANG`` of each language, at most
-``WINDOWS_PER_ROW`` windows of each) and travels to the tasks as its weights.
+(``SAMPLE_ROWS``, of each language the same number of rows, at most
+``SAMPLE_PER_LANG``, or all it has; at most ``WINDOWS_PER_ROW`` windows of each) and travels to the tasks as its weights.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutover.llm.common import with_columns_by_batch
@@ -122,23 +122,38 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def rows_of_each(counts: list[int]) -> int:
+    """The highest number of rows a language may have so that no more than ``SAMPLE_ROWS`` come together."""
+    left = SAMPLE_ROWS
+    for k, n in enumerate(sorted(counts)):
+        share = left // (len(counts) - k)
+        if n > share:
+            return min(share, SAMPLE_PER_LANG)
+        left -= n
+    return SAMPLE_PER_LANG
+
+
 def trained(df: DataFrame, text: str = "text", lang: str = "lang") -> Network | None:
     """A network fitted on a sample of the rows that have a language and a text; None without such rows.
 
-    Rows are picked by a hash of the text, at a rate that gives each language
-    about the same number, so the sample doesn't depend on partitions.
+    Rows are picked by a hash of the text, the first ones of each language, so
+    the sample doesn't depend on partitions.
     """
     rows = df.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter("lang IS NOT NULL AND length(text) > 0")
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_ROWS).collect()  # no more languages than sampled rows
     if not counts:
         return None
+    each = rows_of_each([r["count"] for r in counts])
+    # a threshold that about twice as many rows are below leaves few to rank and hardly ever too few
     steps = 1 << 30
-    below = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(steps, steps * SAMPLE_PER_LANG // r["count"] + 1))))
+    below = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(steps, steps * (2 * each + 50) // r["count"] + 1))))
     place = F.shiftrightunsigned(F.xxhash64("text", F.lit("sample")), 34)
     size = F.length("text")
     middle = F.greatest(F.lit(1), F.floor((size - WINDOW) / 2).cast("int"))
     parts = F.array(F.substring("text", 1, WINDOW), F.col("text").substr(middle, F.lit(WINDOW)), F.col("text").substr(F.greatest(F.lit(1), size - WINDOW + 1), F.lit(WINDOW)))
-    picked = rows.withColumn("_place", place).filter(F.col("_place") < below[F.col("lang")]).select("_place", "lang", parts.alias("parts")).orderBy("_place", "lang", "parts").limit(SAMPLE_ROWS).collect()
+    picked = rows.withColumn("_place", place).filter(F.col("_place") < below[F.col("lang")]).select("_place", "lang", parts.alias("parts"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("_place", "parts"))
+    picked = picked.withColumn("_k", first).filter(F.col("_k") <= each).orderBy("_place", "lang", "parts").collect()
     languages = sorted({r.lang for r in picked})
     windows, labels = [], []
     for r in picked:

@@ -198,6 +198,18 @@ def test_language_is_learnt_and_held_out_texts_are_told(spark):
     assert language_cnn.predict(network, [None, "", "12 !", "und der"])[:3] == [("und", 0.0)] * 3
 
 
+def test_every_language_has_its_share_of_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_cnn, "SAMPLE_ROWS", 100)
+    monkeypatch.setattr(language_cnn, "SAMPLE_PER_LANG", 25)
+    monkeypatch.setattr(language_cnn.Network, "fit", lambda self, windows, labels: seen.append([self.languages[k] for k in labels]))
+    sizes = [4000, 3000, 2000, 900, 500, 300, 200, 100, 40, 4]
+    rows = [(f"text {g} {k}", f"l{g}") for g, n in enumerate(sizes) for k in range(n)] + [("one text", "l0")] * 500
+    language_cnn.trained(spark.createDataFrame(rows, "text string, lang string").repartition(5))
+    assert [seen[0].count(f"l{g}") for g in range(10)] == [10] * 9 + [4]
+    assert language_cnn.rows_of_each([7] * 3) == language_cnn.rows_of_each([50, 30]) == 25 and language_cnn.rows_of_each([90, 80, 2, 90, 90, 90]) == 19
+
+
 def _left(texts, least):
     """Lines that stay, by trying every run of every document."""
     lines = [[(i, x.strip()) for i, x in enumerate(t.split("\n")) if x.strip()] for t in texts]
