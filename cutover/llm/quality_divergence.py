@@ -5,26 +5,33 @@ base rules: the median document's share of each character class, and the words
 that make up at least one part in ``COMMON_PARTS`` of the language's words.  A
 document is compared by Jensen-Shannon distance (base 2, so 0 to 1) with the
 closest reference.  Medians keep what junk there is out of the reference.
+
+References of frequent languages travel to the tasks, and every document is
+compared with them.  Those of rare languages stay a table; documents of such a
+language are compared with its own one, too.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutover.llm.common import WHITE, shingle_hashes, with_columns_by_batch, word_hashes
+from cutover.llm.common import WHITE, shingle_hashes, with_columns_by_batch, without, word_hashes
 from cutover.session import stage
 
 #: A word is common if it is at least one in so many words of its language: at most so many are.
 COMMON_PARTS = 1000
-#: A language has a reference if it has at least one in so many words of the corpus: at most so many do.
+#: A language is frequent if it has at least one in so many words of the corpus: at most so many are.
 LANGUAGE_PARTS = 200
+#: A rare language has a reference if so many of its documents pass the base rules; with fewer, one would only show the documents themselves.
+LEAST_DOCUMENTS = 30
 #: Histograms of short documents say little, so the limit on the distance depends on the
 #: length: (least number of code points, highest distance), and below the last one none is judged.
 CHAR_LIMITS = ((240, 0.16), (60, 0.27))
@@ -76,10 +83,11 @@ def base_counts(text: str) -> tuple[tuple, np.ndarray, bytes]:
 
 
 def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per language: documents by class and share (kind c), words (kind w), number of words (kind n)."""
+    """Per language: documents by class and share (kind c), words (kind w), number of words (kind n) and of documents (kind d)."""
     words: dict[str, Counter] = defaultdict(Counter)
     shares: dict[str, np.ndarray] = defaultdict(lambda: np.zeros((len(CLASSES), SHARE_STEPS + 1), np.int64))
     sums: Counter = Counter()
+    docs: Counter = Counter()
 
     def rows():
         found = [(lang, "w", w.decode("utf-8", "replace"), n) for lang, c in words.items() for w, n in c.items()]
@@ -94,47 +102,72 @@ def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             plain = data.translate(_PLAIN).split()
             words[lang].update(plain)
             sums[lang] += len(plain)
+            docs[lang] += 1
             shares[lang][np.arange(len(CLASSES)), np.rint(by_class * (SHARE_STEPS / by_class.sum())).astype(int)] += 1
         if sum(map(len, words.values())) > COUNTER_ENTRIES:
             yield rows()
     yield rows()
     found = [(lang, "c", f"{k}:{at}", int(v[k, at])) for lang, v in shares.items() for k, at in zip(*map(np.ndarray.tolist, np.nonzero(v)), strict=True)]
-    found += [(lang, "n", "", n) for lang, n in sums.items()]
+    found += [(lang, kind, "", n) for kind, of in (("n", sums), ("d", docs)) for lang, n in of.items()]
     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate((pa.string(),) * 3 + (pa.int64(),))], names=["lang", "kind", "key", "n"])
 
 
-def language_references(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
-    """By language: shares of character classes, index of common words, their shares and that of all others.
+Reference = tuple[np.ndarray, dict[bytes, int], np.ndarray]
+
+
+def _reference(rows: Iterable[tuple[str, str, int]]) -> Reference:
+    """Shares of character classes, index of common words, their shares and that of all others, from (kind, key, n)."""
+    classes, words, total = np.zeros((len(CLASSES), SHARE_STEPS + 1), np.int64), {}, 0
+    for kind, key, n in rows:
+        if kind == "c":
+            k, _, step = key.partition(":")
+            classes[int(k), int(step)] = n
+        elif kind == "w":
+            words[key.encode()] = n
+        elif kind == "n":
+            total = n
+    keys = sorted(words)
+    shares = np.array([words[k] for k in keys] + [total - sum(words.values())], float)
+    so_far = np.cumsum(classes, axis=1)
+    medians = (2 * so_far < so_far[:, -1:]).sum(axis=1)  # the first step with half of the documents at or below it
+    return medians / medians.sum(), {k: i for i, k in enumerate(keys)}, shares / shares.sum()
+
+
+def language_references(df: DataFrame, text: str = "text", lang: str = "lang") -> tuple[dict[str, Reference], DataFrame | None]:
+    """The references of frequent languages by name, and a table (lang, _reference) of the others; None if there are none.
 
     Counts cover all rows whose language isn't null and whose text passes the
     base rules.  What comes back is bounded by ``COMMON_PARTS`` words in each
-    of ``LANGUAGE_PARTS`` languages.  An empty table gives no references.
+    of ``LANGUAGE_PARTS`` languages; if no language is frequent, that many of
+    the most frequent ones count as such.  A rare language of fewer than
+    ``LEAST_DOCUMENTS`` documents has no reference.  An empty table gives none.
     """
     tallies = df.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).mapInArrow(_tallies, "lang string, kind string, key string, n long")
     tallies = stage(tallies.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "quality-tallies")
     totals = tallies.filter("kind = 'n' AND n > 0").select("lang", F.col("n").alias("total"))
-    share = totals.agg(F.sum("total").alias("all"))
-    totals = totals.join(F.broadcast(share), F.col("total") * LANGUAGE_PARTS >= F.col("all")).drop("all")
-    # at most LANGUAGE_PARTS rows
-    common = tallies.join(F.broadcast(totals), "lang").filter((F.col("kind") != "w") | (F.col("n") * COMMON_PARTS >= F.col("total")))
-    found: dict[str, dict] = defaultdict(lambda: {"c": np.zeros((len(CLASSES), SHARE_STEPS + 1), np.int64), "w": {}, "n": 0})
-    for row in common.select("lang", "kind", "key", "n").collect():
-        at = found[row.lang]
-        if row.kind == "c":
-            k, _, step = row.key.partition(":")
-            at["c"][int(k), int(step)] = row.n
-        elif row.kind == "w":
-            at["w"][row.key.encode()] = row.n
-        else:
-            at["n"] = row.n
-    out = {}
-    for name, at in sorted(found.items()):
-        keys = sorted(at["w"])
-        shares = np.array([at["w"][k] for k in keys] + [at["n"] - sum(at["w"].values())], float)
-        so_far = np.cumsum(at["c"], axis=1)
-        medians = (2 * so_far < so_far[:, -1:]).sum(axis=1)  # the first step with half of the documents at or below it
-        out[name] = medians / medians.sum(), {k: i for i, k in enumerate(keys)}, shares / shares.sum()
-    return out
+    top = totals.orderBy(F.desc("total"), "lang").limit(LANGUAGE_PARTS).collect()
+    if not top:
+        return {}, None
+    everything = totals.agg(F.sum("total")).first()[0]
+    names = [r.lang for r in top if r.total * LANGUAGE_PARTS >= everything] or [r.lang for r in top]
+    is_common = (F.col("kind") != "w") | (F.col("n") * COMMON_PARTS >= F.col("total"))
+    found: dict[str, list] = defaultdict(list)
+    # at most LANGUAGE_PARTS rows are broadcast
+    for row in tallies.join(F.broadcast(totals.filter(F.col("lang").isin(names))), "lang").filter(is_common).select("lang", "kind", "key", "n").collect():
+        found[row.lang].append((row.kind, row.key, row.n))
+    frequent = {name: _reference(rows) for name, rows in sorted(found.items())}
+    enough = tallies.filter((F.col("kind") == "d") & (F.col("n") >= LEAST_DOCUMENTS) & ~F.col("lang").isin(names)).select("lang")
+    rare = totals.join(enough, "lang")
+    if rare.isEmpty():
+        return frequent, None
+
+    def made(table: pa.Table) -> pa.Table:
+        rows = zip(*(table.column(c).to_pylist() for c in ("kind", "key", "n")), strict=True)
+        return pa.table({"lang": table.column("lang")[:1], "_reference": pa.array([pickle.dumps(_reference(rows))], pa.binary())})
+
+    # a group has COMMON_PARTS words and the steps of the classes at most
+    kept = tallies.join(rare, "lang").filter(is_common).select("lang", "kind", "key", "n")
+    return frequent, stage(kept.groupBy("lang").applyInArrow(made, "lang string, _reference binary"), "quality-references")
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> float:
@@ -149,10 +182,10 @@ def limit_for(length: int, limits: tuple) -> float | None:
     return next((most for least, most in limits if length >= least), None)
 
 
-def _judge(text: str, lang: str | None, references: dict) -> tuple:
+def _judge(text: str, references: dict) -> tuple:
     counts, by_class, data = base_counts(text)
     nearest, chars, words = None, None, None
-    if references and (lang is None or lang in references):
+    if references:
         total = int(by_class.sum())
         plain = data.translate(_PLAIN).split()
         most_chars, most_words = limit_for(total, CHAR_LIMITS), limit_for(len(plain), WORD_LIMITS)
@@ -178,13 +211,28 @@ def judged(df: DataFrame, text: str = "text", lang: str = "lang", references: di
     Null or empty text has no words, so it fails the base rules.  A document
     is kept if it passes the base rules and neither distance from the closest
     reference is above its limit.  Distances of documents shorter than the
-    guards, and of documents whose language has no reference, are null and
-    don't count; a document without language is compared with all of them.
+    guards are null and don't count.  A document is compared with the
+    references of all frequent languages and that of its own; one without
+    language, or whose language has no reference, with those of all frequent ones.
     References come from ``df`` itself unless given.  Repeated rows are judged alike.
     """
-    known = language_references(df, text, lang) if references is None else references
-
-    def rows(texts: list, langs: list) -> list[tuple]:
-        return [_judge(t or "", g, known) for t, g in zip(texts, langs, strict=True)]
-
-    return with_columns_by_batch(df, VERDICT_DDL, rows, (text, lang), drop)
+    known, rare = language_references(df, text, lang) if references is None else (references, None)
+    if rare is None:
+        return with_columns_by_batch(df, VERDICT_DDL, lambda texts: [_judge(t or "", known) for t in texts], (text,), drop)
+
+    def rows(texts: list, langs: list, own: list) -> list[tuple]:
+        read: dict[str, Reference] = {}
+        out = []
+        for t, g, data in zip(texts, langs, own, strict=True):
+            if data is not None and g not in read:
+                read[g] = pickle.loads(data)
+            out.append(_judge(t or "", known if data is None else {**known, g: read[g]}))
+        return out
+
+    df = without(df, ["_own", "_reference"])
+    name = F.col(lang).cast("string")
+    frequent = F.coalesce(name.isin(list(known)), F.lit(True))
+    plain = df.filter(frequent).withColumn("_own", name).withColumn("_reference", F.lit(None).cast("binary"))
+    others = df.filter(~frequent).withColumn("_own", name)
+    others = others.join(rare.withColumnRenamed("lang", "_of"), F.col("_own") == F.col("_of"), "left").select(*plain.columns)
+    return with_columns_by_batch(plain.unionByName(others), VERDICT_DDL, rows, (text, "_own", "_reference"), (*drop, "_own", "_reference"))

@@ -306,3 +306,17 @@ def test_quality_rejects_what_is_far_from_its_language(spark):
     out = {r.doc_id: r for r in quality_divergence.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert all(out[k].kept for k in range(60)) and not out[100].kept and not out[101].kept and out[102].kept
     assert hashlib.sha256(b"").hexdigest()[:6] == "e3b0c4"
+
+
+def test_quality_judges_rare_languages_too(spark):
+    pick = random.Random(19)
+    words = {"en": ["the", "of", "and", "in"], "fi": ["ja", "on", "ei", "se"]}
+    clean = lambda g, n=150: " ".join(pick.choice(words[g] + [f"w{pick.randint(0, 9)}x{k}" for k in range(4)]) for _ in range(n)) + "."
+    junk = lambda k: " | ".join(f"ZZ{k}Q{j}" for j in range(150))
+    rows = [(k, clean("en", 9000), "en") for k in range(150)] + [(k, clean("fi"), "fi") for k in range(200, 232)] + [(240, junk(1), "fi"), (241, junk(2), "xx"), (242, clean("en"), "xx"), (243, junk(3), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    frequent, rare = quality_divergence.language_references(docs)
+    assert list(frequent) == ["en"] and [r.lang for r in rare.collect()] == ["fi"]
+    out = {r.doc_id: r for r in quality_divergence.judged(docs).collect()}
+    assert len(out) == len(rows) and all(out[k].kept and out[k].nearest_lang == "fi" for k in range(200, 232))
+    assert [out[k].kept for k in (240, 241, 242, 243)] == [False, False, True, False] and out[241].word_distance is not None
