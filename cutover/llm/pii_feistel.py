@@ -25,15 +25,25 @@ ROUNDS = 8
 #: Dates of these years are permuted among themselves.
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 
+#: Characters of an IBAN by country, for those written in groups of four.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS", 23: "AE GI IL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ CY DO GT HU LB PL", 29: "BR PS QA UA", 30: "JO KW MU", 31: "MT"}
+_GROUPED = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" [A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in _IBAN_LENGTHS.items())
+#: A number of ten digits in groups, with or without +1; +1 and ten digits; another country code and groups of two to five digits.
+_PHONE = (
+    r"(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+1[0-9]{10}"
+    r"|\+(?!1)(?=(?:[ .()-]{0,2}[0-9]){8,15}(?![0-9]))[2-9][0-9]{0,2}(?:[ .-]?(?:\([0-9]{1,5}\)|[0-9]{2,5}))+")
+
 #: The formats.
 FORMATS = (
     ("email", r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])"),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"),
+    ("iban", rf"(?<![A-Za-z0-9])(?:[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}|{_GROUPED})(?![A-Za-z0-9])"),
     ("date", r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-])"),
     ("ip", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    ("phone", r"(?<![0-9(+-])(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9-])"),
-    ("card", r"(?<![0-9.-])(?:[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{13,19})(?![0-9-])"),
+    ("phone", rf"(?<![0-9(+-])(?:{_PHONE})(?![0-9-])"),
+    ("card", r"(?<![0-9.-])(?:[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}-[0-9]{6}-[0-9]{4,5}|[0-9]{4} [0-9]{6} [0-9]{4,5}|[0-9]{13,19})(?![0-9-])"),
 )
 KINDS = tuple(k for k, _ in FORMATS)
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in FORMATS))
@@ -127,12 +137,15 @@ def _ssn_ok(n: int) -> bool:
     return 0 < area < 900 and area != 666 and group > 0 and serial > 0
 
 
-def _phone_ok(n: int) -> bool:
-    return n // 10**9 >= 2 and n // 10**6 % 10 >= 2
-
-
-def _ip_ok(n: int) -> bool:
-    return 1 <= n >> 24 <= 223
+def _day(value: str) -> tuple[datetime.date, str]:
+    """A date and how it is written; with slashes the day comes first unless only the month can."""
+    if value[4] == "-":
+        return datetime.date.fromisoformat(value), "%Y-%m-%d"
+    sep = value[2]
+    first, second, year = map(int, value.split(sep))
+    if sep == "/" and first <= 12 < second:
+        return datetime.date(year, first, second), "%m/%d/%Y"
+    return datetime.date(year, second, first), f"%d{sep}%m{sep}%Y"
 
 
 def pseudonym(p: Permutation, kind: str, value: str, inverse: bool = False) -> str | None:
@@ -142,34 +155,37 @@ def pseudonym(p: Permutation, kind: str, value: str, inverse: bool = False) -> s
         local, _, domain = value.partition("@")
         return f"{_by_class(p, local, 'email', inverse)}@{domain}"
     if kind == "iban":
-        country, rest = value[:2], value[4:]
+        country, rest = value[:2], value[4:].replace(" ", "")
         if _iban_check(country, rest) != value[2:4]:
             return None
         new = _by_class(p, rest, f"iban|{country}", inverse)
-        return country + _iban_check(country, new) + new
+        new = iter(country + _iban_check(country, new) + new)
+        return "".join(c if c == " " else next(new) for c in value)
     if kind == "date":
-        iso = value[4] == "-"
         try:
-            day = datetime.date(*map(int, value.split("-"))) if iso else datetime.date(*map(int, reversed(re.split("[/.]", value))))
+            day, shape = _day(value)
         except ValueError:
             return None
         if not FIRST_DAY <= day <= LAST_DAY:
             return None
         base = FIRST_DAY.toordinal()
-        n = p.permute(day.toordinal() - base, LAST_DAY.toordinal() - base + 1, "date", inverse=inverse)
-        new = datetime.date.fromordinal(base + n)
-        return new.isoformat() if iso else new.strftime(f"%d{value[2]}%m{value[2]}%Y")
+        # days above 12 stay above 12, so a pseudonym is read in the order of its original
+        late = lambda n: (datetime.date.fromordinal(base + n).day > 12) == (day.day > 12)
+        n = p.permute(day.toordinal() - base, LAST_DAY.toordinal() - base + 1, "date", late, inverse)
+        return datetime.date.fromordinal(base + n).strftime(shape)
     if kind == "ip":
         parts = value.split(".")
-        if any(int(x) > 255 or str(int(x)) != x for x in parts) or not 1 <= int(parts[0]) <= 223:
+        if any(int(x) > 255 or str(int(x)) != x for x in parts):
             return None
-        n = p.permute(int.from_bytes(bytes(map(int, parts)), "big"), 1 << 32, "ip", _ip_ok, inverse)
+        n = p.permute(int.from_bytes(bytes(map(int, parts)), "big"), 1 << 32, "ip", inverse=inverse)
         return ".".join(map(str, n.to_bytes(4, "big")))
     if kind == "ssn":
         return _refill(value, f"{p.permute(int(digits), 10**9, 'ssn', _ssn_ok, inverse):09d}") if _ssn_ok(int(digits)) else None
     if kind == "phone":
-        head, own = digits[:-10], digits[-10:]
-        return _refill(value, head + f"{p.permute(int(own), 10**10, 'phone', _phone_ok, inverse):010d}")
+        home = value[0] != "+" or digits[0] == "1"
+        at = len(digits) - 10 if home else 2  # of another country the first two digits stay
+        head, own = digits[:at], digits[at:]
+        return _refill(value, head + f"{p.permute(int(own), 10 ** len(own), 'phone' if home else f'phone|{head}|{len(own)}', inverse=inverse):0{len(own)}d}")
     if luhn_digit(digits[:-1]) != digits[-1]:
         return None
     free = len(digits) - 2  # the first digit stays, the last one checks

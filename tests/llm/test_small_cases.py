@@ -270,6 +270,30 @@ def test_pseudonyms_keep_format_and_links_and_can_be_undone():
         assert all(p.permute(p.permute(n, limit, "t"), limit, "t", inverse=True) == n for n in range(limit))
 
 
+def test_no_shape_of_personal_data_stays():
+    p, pick = pii_feistel.Permutation(b"key"), random.Random(23)
+    digits = lambda n: "".join(pick.choice("0123456789") for _ in range(n))
+    card = lambda n: (d := digits(n - 1)) + pii_feistel.luhn_digit(d)
+    loose = {
+        "phone": (r"\+?[0-9][0-9 ().-]{6,}[0-9]|\([0-9]{3}\) [0-9-]+", lambda: pick.choice([f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"+1{digits(10)}", f"+44 20 {digits(4)} {digits(4)}", f"+49{digits(10)}", f"+358-{digits(2)}-{digits(3)}-{digits(4)}"])),
+        "ip": (r"[0-9]+(?:\.[0-9]+){3}", lambda: ".".join(str(pick.randint(0, 255)) for _ in range(4))),
+        "date": (r"[0-9]+/[0-9]+/[0-9]+", lambda: pick.choice([f"0{pick.randint(1, 9)}/{pick.randint(13, 28)}/20{digits(2)}", f"{pick.randint(10, 28)}/0{pick.randint(1, 9)}/19{digits(2)}"])),
+        "iban": (r"[A-Z]{2}[0-9]{2} [0-9 ]+[0-9]", lambda: " ".join(re.findall(".{1,4}", "DE" + pii_feistel._iban_check("DE", d := digits(18)) + d))),
+        "card": (r"[0-9]{4}[ -][0-9 -]+[0-9]", lambda: (lambda c, s: f"{c[:4]}{s}{c[4:10]}{s}{c[10:]}")(card(pick.choice([14, 15])), pick.choice(" -"))),
+    }
+    for kind, (pattern, make) in loose.items():
+        seen = {}
+        for _ in range(300):
+            value = make()
+            text = f"call {value} NOW, or x"
+            new, found = pii_feistel.replaced(p, text)
+            assert re.search(pattern, text)[0] == value and [(f["kind"], text[f["start"] : f["stop"]]) for f in found] == [(kind, value)], (kind, value)
+            assert pii_feistel.replaced(p, new, inverse=True)[0] == text and seen.setdefault(new, text) == text
+    as_dates = {pii_feistel._day(pii_feistel.pseudonym(p, "date", x))[0] for x in ("2020-03-25", "25/03/2020", "03/25/2020", "25.03.2020")}
+    assert len(as_dates) == 1
+    assert pii_feistel.pseudonym(p, "iban", "DE89 3704 0044 0532 0130 00").replace(" ", "") == pii_feistel.pseudonym(p, "iban", "DE89370400440532013000")
+
+
 def test_preference_pairs(spark):
     turns = [(1, 0, "user", "q"), (1, 1, "assistant", "yes"), (2, 0, "user", "q"), (2, 1, "assistant", "no"), (2, 2, "user", "why"), (2, 2, "user", "why"), (3, 0, None, None), (4, 0, None, None), (None, 0, "user", "x"), (6, 0, "assistant", "alone")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
