@@ -20,6 +20,7 @@ from cutover.llm import (
     secret_ledger,
     token_prefix,
     whitening,
+    wrapper_induction,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,3 +196,10 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <
 @query("op13_ranked_search", OP13_SQL)
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return best_position.ranked(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark", "item_id", "text"))
+
+
+@query("op12_html_extraction")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages", "page_id", "url", "html")
+    wrappers = wrapper_induction.induced(pages)
+    return wrapper_induction.with_main_text(pages, wrappers, drop=("html",)).select("page_id", "url", "text", "n_chars")
