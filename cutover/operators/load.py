@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cutover.sources.replace import swap_in
+
 PARALLEL_TABLES = 8
 COMMIT_ROWS = 10_000
 LOB_KB = 1024
@@ -120,8 +122,9 @@ def widen_overflowing(df: DataFrame, check: DataFrame, table: str) -> tuple[Data
 def full_load(tables: Mapping[str, DataFrame], root: str, parallel: int = PARALLEL_TABLES, transform=lower_names) -> DataFrame:
     """Load tables side by side, replacing what is there; one log row per table.
 
-    Rows are counted while they are written.  A failing table is logged and
-    does not stop the others.
+    Rows are counted while they are written, beside the table that is there; a
+    failing table keeps its old rows, is logged with ``task_ok`` false, and does
+    not stop the others.
     """
     if not tables:
         raise ValueError("no tables to load")
@@ -132,14 +135,14 @@ def full_load(tables: Mapping[str, DataFrame], root: str, parallel: int = PARALL
         seen = Observation(f"load {name}")
         try:
             out = transform(df).observe(seen, F.count(F.lit(1)).alias("rows"))
-            out.write.mode("overwrite").parquet(f"{root}/{name.lower()}")
-            return name, "loaded", seen.get["rows"], None
+            swap_in(out, f"{root}/{name.lower()}")
+            return name, "loaded", seen.get["rows"], None, True
         except Exception as e:  # noqa: BLE001 - every failure becomes a log row
-            return name, "errored", None, str(e)
+            return name, "errored", None, str(e), False
 
     with ThreadPoolExecutor(parallel) as pool:
         log = list(pool.map(load, tables.items()))
-    return spark.createDataFrame(log, "table_name string, state string, rows long, error string").withColumn("task_ok", F.lit(True))
+    return spark.createDataFrame(log, "table_name string, state string, rows long, error string, task_ok boolean")
 
 
 def with_defaults(df: DataFrame, defaults: Mapping[str, Column], computed: Mapping[str, Column] | None = None) -> DataFrame:

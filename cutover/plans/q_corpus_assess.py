@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from cutover.operators import assess as A
@@ -13,8 +12,8 @@ from cutover.operators import summary as S
 from cutover.plans import q_load_dictionary as QD
 from cutover.plans.q_reconcile import OUTCOMES_SQL
 from cutover.plans.registry import query
-from cutover.session import shared_folder
-from cutover.sources import io
+from cutover.session import owned_folder
+from cutover.sources import io, replace
 
 c = F.col
 
@@ -138,7 +137,7 @@ FROM (SELECT mapper, statement_type, sql_id FROM ({_FRAGS}) WHERE statement_type
 # ---- readers and writers ------------------------------------------------------
 
 def _fresh(t, label):
-    return f"{shared_folder(t.spark)}/{label}-{uuid.uuid4().hex}"
+    return owned_folder(t.spark, label)
 
 
 def _documents_with_corrupt_ones(t):
@@ -193,8 +192,32 @@ def _csv_report(t):
 
 def _replaced(t):
     path = _fresh(t, "replaced")
-    io.replace_table(t.orders, path)
-    io.replace_table(t.orders.filter(c("o_totalprice") > 100000), path)
+    replace.replace_table(t.orders, path)
+    replace.replace_table(t.orders.filter(c("o_totalprice") > 100000), path)
+    return t.spark.read.parquet(path)
+
+
+def _replaced_after_failure(t):
+    """A replacement that fails in the middle of its write, then one that reads the table it replaces."""
+    path = _fresh(t, "replaced")
+    replace.replace_table(t.orders, path)
+    broken = F.when(c("o_orderkey") % 1000 == 999, F.raise_error(F.lit("on purpose")).cast("double")).otherwise(c("o_totalprice"))
+    try:
+        replace.replace_table(t.orders.withColumn("o_totalprice", broken), path)
+    except PySparkException:
+        pass
+    else:
+        raise RuntimeError("the write was meant to fail")
+    mine = t.spark.read.parquet(path)
+    replace.replace_table(mine.withColumn("o_totalprice", c("o_totalprice") * 2).filter(c("o_orderstatus") != "P"), path)
+    return t.spark.read.parquet(path)
+
+
+def _replaced_partitions(t):
+    """Orders by status: open ones are replaced by their expensive half, the others stay."""
+    path = _fresh(t, "replaced")
+    replace.replace_partitions(t.orders, path, ["o_orderstatus"])
+    replace.replace_partitions(t.spark.read.parquet(path).filter("o_orderstatus = 'O' AND o_totalprice > 100000"), path)
     return t.spark.read.parquet(path)
 
 
@@ -206,3 +229,5 @@ query("io06_inventory", "kind:s files:i bytes:i", """
 SELECT regexp_extract(url, '^([a-z]+)://', 1) AS kind, count(*) AS files, sum(length(html)) AS bytes FROM pages GROUP BY 1
 """)(lambda t: io.inventory_summary(t.pages.select(c("url").alias("path"), F.length("html").alias("length")), F.regexp_extract("path", "^([a-z]+)://", 1)))
 query("io07_replace_table", "o_orderkey:i o_totalprice:d", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000")(_replaced)
+query("io07_replace_after_failure", "o_orderkey:i o_orderstatus:s o_totalprice:d", "SELECT o_orderkey, o_orderstatus, o_totalprice * 2 AS o_totalprice FROM orders WHERE o_orderstatus <> 'P'")(_replaced_after_failure)
+query("io07_replace_partitions", "o_orderkey:i o_orderstatus:s o_totalprice:d", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus <> 'O' OR o_totalprice > 100000")(_replaced_partitions)

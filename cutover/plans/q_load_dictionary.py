@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from cutover.operators import dictionary as D
@@ -12,7 +10,7 @@ from cutover.operators import load as L
 from cutover.operators import summary as S
 from cutover.plans.registry import query
 from cutover.plans.sqltext import half_up
-from cutover.session import shared_folder
+from cutover.session import owned_folder
 from cutover.workload.common import assign_keys
 from cutover.workload.order import next_item_seq
 
@@ -47,7 +45,7 @@ query("l02_lower_names", "c_custkey:i c_name:s c_acctbal:d", "SELECT c_custkey,
 
 
 def _load(t):
-    root = f"{shared_folder(t.spark)}/load-{uuid.uuid4().hex}"
+    root = owned_folder(t.spark, "load")
     upper = {n.upper(): d.toDF(*[x.upper() for x in d.columns]) for n, d in tables(t, ["customer", "orders", "lineitem"]).items()}
     log = L.full_load(upper, root)
     kept = D.table_row_counts({n.lower(): t.spark.read.parquet(f"{root}/{n.lower()}") for n in upper})

@@ -59,18 +59,26 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[app]
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the written table.
+def owned_folder(spark: SparkSession, label: str) -> str:
+    """A new path in the application's part of the shared folder.
 
-    Rows keep the values they had when written, so partition ids and generated
-    positions stay fixed when an executor is lost later on.  The table belongs
-    to the innermost ``staged`` block, or else stays in the application's folder.
+    It belongs to the innermost ``staged`` block, or else stays in the application's folder.
     """
-    spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     owner = _OWNER.get()
     if owner is not None:
         owner.append(path)
+    return path
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and return the written table.
+
+    Rows keep the values they had when written, so partition ids and generated
+    positions stay fixed when an executor is lost later on.
+    """
+    spark = df.sparkSession
+    path = owned_folder(spark, label)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

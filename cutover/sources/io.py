@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,22 +120,3 @@ def inventory(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
 
 def inventory_summary(files: DataFrame, by: Column) -> DataFrame:
     return files.groupBy(by.alias("kind")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
-
-
-def replace_table(df: DataFrame, path: str) -> None:
-    """Overwrite a folder's rows and keep its schema; running it again gives the same table.
-
-    Columns are cast to the types that are there, and one that is missing fails before anything is written.
-    """
-    spark = df.sparkSession
-    try:
-        there = spark.read.parquet(path).schema
-    except AnalysisException:
-        there = None  # no table yet
-    if there is not None and there.fields:
-        own = {x.lower(): x for x in df.columns}
-        missing = [f.name for f in there.fields if f.name.lower() not in own]
-        if missing:
-            raise ValueError(f"columns of the table are missing: {', '.join(missing)}")
-        df = df.select(*(c(own[f.name.lower()]).cast(f.dataType).alias(f.name) for f in there.fields))
-    df.write.mode("overwrite").parquet(path)
