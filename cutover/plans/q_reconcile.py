@@ -118,6 +118,9 @@ UNION ALL SELECT s.o_orderkey, 'changed', 'o_totalprice', s.o_totalprice::decima
 query("r08_keyed_diff", "o_orderkey:i change:s column_name:s source_value:s target_value:s", _KEYED_SQL)(
     lambda t: R.keyed_diff(_money(t.orders), _money(t.orders_target).toDF(*[x.upper() for x in t.orders.columns]), ["o_orderkey"]).withColumnRenamed("column", "column_name"))
 
+query("r08_keyed_diff_by_bucket", "o_orderkey:i change:s column_name:s source_value:s target_value:s", _KEYED_SQL)(
+    lambda t: R.keyed_diff(_money(t.orders), _money(t.orders_target), ["o_orderkey"], unique=True).withColumnRenamed("column", "column_name"))
+
 query("r08_keyed_diff_repeated_keys", "l_orderkey:i l_linenumber:i change:s column_name:s source_value:s target_value:s", """
 WITH k AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2)
 SELECT l_orderkey, l_linenumber, 'duplicate_key' AS change, null AS column_name, n || ' copies' AS source_value, n || ' copies' AS target_value FROM k WHERE n > 1
@@ -145,6 +148,24 @@ SELECT d.l_orderkey, d.l_linenumber, l_partkey, l_quantity, CASE WHEN d > 0 THEN
     t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", (c("l_quantity") + F.when(c("l_partkey") % 7 == 0, 1).otherwise(0)).alias("l_quantity")),
     ["l_orderkey", "l_linenumber"]))
 
+
+
+def _beyond_the_scale(t):
+    """Amounts of 31 digits, which the target's decimals can't hold and so are null there."""
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", c("l_quantity").cast("int").cast("string").alias("q"), (c("l_partkey") % 7 == 0).alias("wide"))
+    keys = ["l_orderkey", "l_linenumber", "l_partkey"]
+    source = lines.select(*keys, F.when(c("wide"), F.concat("q", F.repeat(F.lit("0"), F.lit(30)))).otherwise(c("q")).cast("decimal(38,0)").alias("amount"))
+    target = lines.select(*keys, F.when(~c("wide"), c("q")).cast("decimal(38,10)").alias("amount"))
+    return R.repeated_key_diff(source, target, keys[:2])
+
+
+query("r08_amounts_beyond_the_scale", "l_orderkey:i l_linenumber:i l_partkey:i amount:s change:s copies:i", """
+WITH r AS (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) > 1),
+w AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS int)::varchar || repeat('0', 30) AS amount FROM lineitem JOIN r USING (l_orderkey, l_linenumber) WHERE l_partkey % 7 = 0)
+SELECT l_orderkey, l_linenumber, l_partkey, amount, 'missing_in_target' AS change, count(*) AS copies FROM w GROUP BY ALL
+UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, NULL, 'extra_in_target', count(*) FROM w GROUP BY ALL
+""")(_beyond_the_scale)
+
 query("r09_bounded_rows", "l_orderkey:i l_partkey:i l_linenumber:i total_rows:i sampled:b", f"""
 SELECT l_orderkey, l_partkey, l_linenumber, n AS total_rows, n > 10000 AS sampled FROM (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY {_LINE_KEYS}) AS rn FROM lineitem) WHERE rn <= 10000
 """)(lambda t: R.bounded(t.lineitem, LINE_ORDER))
@@ -199,6 +220,12 @@ UNION ALL SELECT 'customer', 'failed', 'column_mismatch', 'critical', true, fals
 UNION ALL SELECT 'part', 'failed', 'column_mismatch', 'critical', true, false, true, count(*), count(*), 0, 0, 0, 'p_size', 'loaded_at' FROM part
 UNION ALL SELECT 'supplier', 'passed', null, null, true, true, true, count(*), count(*), 0, 0, 0, '', '' FROM supplier"""
 query("r13_reconcile_many", _MANY_COLS, _MANY_SQL)(lambda t: R.reconcile_many(_pairs(t)))
+query("r13_one_pair_fails", _MANY_COLS, f"""{_MANY_SQL}
+UNION ALL SELECT 'absent', 'failed', 'execution_error', 'high', true, true, true, 0, 0, NULL, NULL, NULL, NULL, NULL
+UNION ALL SELECT 'unreadable', 'failed', 'execution_error', 'high', true, true, true, 0, 0, NULL, NULL, NULL, NULL, NULL FROM nation WHERE n_nationkey = 24""")(
+    lambda t: R.reconcile_many(_pairs(t) | {
+        "absent": (lambda: t.no_such_table, t.nation, ["n_nationkey"]),
+        "unreadable": (t.nation, t.nation.withColumn("n_name", F.when(c("n_nationkey") == 24, F.raise_error(F.lit("torn row"))).otherwise(c("n_name"))), ["n_nationkey"])}))
 
 SUMMARY_SQL = "SELECT n AS total_test_cases, p AS passed, f AS failed, k AS skipped, coalesce({rate}, 0) AS success_rate FROM (SELECT count(*) AS n, count(*) FILTER (status = 'passed') AS p, count(*) FILTER (status = 'failed') AS f, count(*) FILTER (status = 'skipped') AS k FROM ({src}))".format(
     rate=half_up("CAST(p AS HUGEINT) * 100", "nullif(CAST(n - k AS HUGEINT), 0)", 1), src="{src}")
