@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from cutover.functions.equality import cell_text, cells_equal, grouped_cell
 from cutover.operators.digest import changed_keys, rows_of_keys, shared_columns
 from cutover.operators.ordered import Order, global_index
+from cutover.operators.selection import numbered_rows
 
 # Outcome names of the comparison report.
 PASSED, FAILED, SKIPPED = "passed", "failed", "skipped"
@@ -238,18 +239,10 @@ def repeated_key_diff(source: DataFrame, target: DataFrame, keys: Sequence[str])
     return _repeated_rows(source, target, keys, found)
 
 
-def _indexed(df: DataFrame, order: Order) -> tuple[DataFrame, int]:
-    """Rows numbered in ``order`` and how many there are; the count reads the written index, not the input."""
-    rows = global_index(df, order, "_i")
-    last = rows.agg(F.max("_i")).first()[0]
-    return rows, 0 if last is None else last + 1
-
-
 def bounded(df: DataFrame, order: Order, kept: int = KEPT_ROWS) -> DataFrame:
     """The first ``kept`` rows with the exact total and a flag telling whether rows were left out."""
-    rows, total = _indexed(df, order)
-    return rows.filter(c("_i") < kept).drop("_i").withColumns({
-        "total_rows": F.lit(total).cast("bigint"), "sampled": F.lit(total > kept)})
+    rows, total = numbered_rows(df, order, lambda n: [(0, kept - 1)], lambda n: lambda i: i < kept)
+    return rows.drop("_i").withColumns({"total_rows": F.lit(total).cast("bigint"), "sampled": F.lit(total > kept)})
 
 
 def head_middle_tail(df: DataFrame, order: Order, head: int = HEAD, middle: int = MIDDLE, tail: int = TAIL) -> DataFrame:
@@ -257,22 +250,40 @@ def head_middle_tail(df: DataFrame, order: Order, head: int = HEAD, middle: int
 
     A result no longer than the sample is kept whole.
     """
-    rows, n = _indexed(df, order)
-    if n <= head + middle + tail:
-        return rows.withColumnRenamed("_i", "sample_index").withColumn("total_rows", F.lit(n).cast("bigint"))
-    step = max(1, (n - head - tail) // middle)
-    i, mid = c("_i"), c("_i") - head
-    spaced = (i >= head) & (i < n - tail) & (mid % step == 0) & (F.floor(mid / step) < middle)
-    place = F.when(i < head, i).when(i >= n - tail, i - (n - tail) + head + middle).otherwise(head + F.floor(mid / step))
-    return rows.filter((i < head) | (i >= n - tail) | spaced).withColumn("sample_index", place.cast("bigint")).drop("_i").withColumn(
-        "total_rows", F.lit(n).cast("bigint"))
+    whole = lambda n: n <= head + middle + tail
+    step = lambda n: max(1, (n - head - tail) // middle)
+
+    def places(n: int) -> list[tuple[int, int]]:
+        if whole(n):
+            return [(0, n - 1)]
+        spaced = ((head + k * step(n),) * 2 for k in range(middle) if head + k * step(n) < n - tail)
+        return [(0, head - 1), *spaced, (n - tail, n - 1)]
+
+    def keep(n: int):
+        if whole(n):
+            return lambda i: F.lit(True)
+        spaced = lambda i: (i >= head) & (i < n - tail) & ((i - head) % step(n) == 0) & (F.floor((i - head) / step(n)) < middle)
+        return lambda i: (i < head) | (i >= n - tail) | spaced(i)
+
+    rows, n = numbered_rows(df, order, places, keep)
+    i = c("_i")
+    place = i if whole(n) else F.when(i < head, i).when(i >= n - tail, i - (n - tail) + head + middle).otherwise(head + F.floor((i - head) / step(n)))
+    return rows.withColumn("sample_index", place.cast("bigint")).drop("_i").withColumn("total_rows", F.lit(n).cast("bigint"))
+
+
+def _samples(source: DataFrame, target: DataFrame, order: Order, *sizes: int) -> list[DataFrame]:
+    """The samples of both sides, taken side by side."""
+    take = lambda x: x[0].run(head_middle_tail, x[1], order, *sizes)
+    with ThreadPoolExecutor(2) as pool:
+        return list(pool.map(take, [(copy_context(), source), (copy_context(), target)]))
 
 
 def sampled_match(source: DataFrame, target: DataFrame, order: Order, head: int = HEAD, middle: int = MIDDLE, tail: int = TAIL) -> DataFrame:
     """Match rate of the two samples, place by place; two empty results match, without a rate."""
     shared = shared_columns(source, target)
-    s = _sided(head_middle_tail(source, order, head, middle, tail), "s", [x for x, _ in shared], {"sample_index": "sample_index", "s_total": "total_rows"})
-    t = _sided(head_middle_tail(target, order, head, middle, tail), "t", [y for _, y in shared], {"sample_index": "sample_index", "t_total": "total_rows"})
+    of_source, of_target = _samples(source, target, order, head, middle, tail)
+    s = _sided(of_source, "s", [x for x, _ in shared], {"sample_index": "sample_index", "s_total": "total_rows"})
+    t = _sided(of_target, "t", [y for _, y in shared], {"sample_index": "sample_index", "t_total": "total_rows"})
     both = c("s").isNotNull() & c("t").isNotNull()
     hit = both & _all_equal(_pairs(source, target, shared))
     totals = s.join(t, "sample_index", "full_outer").agg(
@@ -289,8 +300,9 @@ def sampled_match(source: DataFrame, target: DataFrame, order: Order, head: int
 def sampled_mismatches(source: DataFrame, target: DataFrame, order: Order, head: int = HEAD, middle: int = MIDDLE, tail: int = TAIL) -> DataFrame:
     """Differing cells of the two samples with their ``sample_index``, where both have a row."""
     shared = shared_columns(source, target)
-    s = _sided(head_middle_tail(source, order, head, middle, tail), "s", [x for x, _ in shared], {"sample_index": "sample_index"})
-    t = _sided(head_middle_tail(target, order, head, middle, tail), "t", [y for _, y in shared], {"sample_index": "sample_index"})
+    of_source, of_target = _samples(source, target, order, head, middle, tail)
+    s = _sided(of_source, "s", [x for x, _ in shared], {"sample_index": "sample_index"})
+    t = _sided(of_target, "t", [y for _, y in shared], {"sample_index": "sample_index"})
     pairs = _pairs(source, target, shared)
     differing = s.join(t, "sample_index").filter(~_all_equal(pairs))
     return differing.select("sample_index", F.explode(_cells(pairs)).alias("cell")).select("sample_index", "cell.*").drop("ordinal")
