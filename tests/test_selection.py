@@ -15,7 +15,8 @@ c = F.col
 
 def brute(rows, key, falling=False, ties=lambda r: ()):
     """The rows in the library's order: nulls last when rising, first when falling."""
-    place = lambda v: (v is None, 0 if v is None else (math.inf if isinstance(v, float) and math.isnan(v) else v))
+    nan = lambda v: isinstance(v, float) and math.isnan(v)
+    place = lambda v: (v is None, 0 if v is None else math.inf if nan(v) else v, nan(v))
     return sorted(sorted(rows, key=ties), key=lambda r: place(r[key]), reverse=falling)
 
 
