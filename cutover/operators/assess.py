@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cutover.functions.once import once
 from cutover.operators.load import union_all
 from cutover.session import stage
 
-# Children stay JSON text until their own level is read, so depth needs no schema.
-NODE = ("struct<name:string,statistic:struct<objectType:string,countErrorNodes:string,"
-        "messageActions:array<struct<code:string,nodeName:string>>>,children:array<string>>")
+#: Levels of a tree that the first pass unfolds, and the most that a later one does; each pass takes twice as many.
+LEVELS, MOST_LEVELS = 4, 32
 # Object types that hold code.
 CODE_TYPES = ["PROCEDURE", "FUNCTION", "PACKAGE", "PACKAGE BODY", "TRIGGER", "TYPE", "TYPE BODY", "VIEW", "MATERIALIZED VIEW"]
 CRITICAL = "CRITICAL"
@@ -18,27 +18,60 @@ CRITICAL = "CRITICAL"
 c = F.col
 
 
+def _field(node: Column, path: str, kind: str) -> Column:
+    return F.try_variant_get(node, path, kind)
+
+
+def _below(nodes: Column) -> Column:
+    """The children of some (path, node), each with its own path."""
+    children = lambda n: F.coalesce(_field(n["node"], "$.children", "array<variant>"), F.array().cast("array<variant>"))
+    return F.flatten(F.transform(nodes, lambda n: F.transform(children(n), lambda x, i: F.struct(F.concat(n["path"], F.lit("/"), i).alias("path"), x.alias("node")))))
+
+
+def _own_fields(nodes: DataFrame) -> DataFrame:
+    """The fields of nodes themselves; only trees that are still folded up keep what is under them."""
+    def field(path, kind):
+        return _field(c("node"), path, kind)
+
+    codes = F.transform(field("$.statistic.messageActions", "array<variant>"), lambda x: _field(x, "$.code", "string"))
+    return nodes.withColumns({
+        "name": field("$.name", "string"), "object_type": field("$.statistic.objectType", "string"),
+        "error_nodes": F.coalesce(F.nullif(field("$.statistic.countErrorNodes", "string"), F.lit("")).cast("int"), F.lit(0)),
+        "codes": F.array_distinct(F.filter(codes, lambda x: x.isNotNull() & (x != ""))),
+        "children": F.coalesce(F.size(field("$.children", "array<variant>")), F.lit(0)),
+        "_is_node": ~c("_folded") & (field("$.name", "string").isNotNull() | field("$.statistic", "variant").isNotNull()),
+        "node": F.when(c("_folded"), c("node"))})
+
+
+def _marked(depth: int, folded: bool):
+    return lambda n: F.struct(n["path"].alias("path"), F.lit(depth).alias("depth"), n["node"].alias("node"), F.lit(folded).alias("_folded"))
+
+
 def flatten_trees(docs: DataFrame, id_column: str, json_column: str) -> DataFrame:
     """One row per node of every tree, with its path of child positions and its depth.
 
-    One pass per level.  The text of a level's children is written out before
-    it is read, so no level is parsed again for the levels below it.
+    The text is parsed once, into a binary tree that is cut apart without
+    parsing.  A pass unfolds some levels inside the row of a document and
+    writes their nodes together with the trees below them, which the next pass
+    goes on with, twice as many levels at a time; trees of any depth need no
+    schema.  A document that is no JSON, or has one name twice in an object,
+    has no nodes.
     """
-    # unpacked from a one-element array, a node is parsed once and not once per field
-    node = lambda text: F.inline(F.array(F.from_json(text, NODE)))
-    level = docs.select(c(id_column), F.lit("0").alias("path"), node(json_column))
-    levels = []
+    tops = F.array(F.struct(F.lit("0").alias("path"), F.try_parse_json(json_column).alias("node")))
+    level, depth, many, done = docs.select(c(id_column), tops.alias("_l0")), 1, LEVELS, []
     while True:
-        levels.append(level.filter(c("name").isNotNull() | c("statistic").isNotNull()).select(
-            id_column, "path", F.lit(len(levels) + 1).alias("depth"), "name", c("statistic.objectType").alias("object_type"),
-            F.coalesce(F.nullif(c("statistic.countErrorNodes"), F.lit("")).cast("int"), F.lit(0)).alias("error_nodes"),
-            F.array_distinct(F.filter(c("statistic.messageActions.code"), lambda x: x.isNotNull() & (x != ""))).alias("codes"),
-            F.coalesce(F.size("children"), F.lit(0)).alias("children")))
-        children = level.select(id_column, "path", F.posexplode("children").alias("i", "child"))
-        children = stage(children.select(id_column, F.concat_ws("/", "path", c("i").cast("string")).alias("path"), "child"), "tree-level")
-        if children.isEmpty():
-            return union_all(levels)
-        level = children.select(id_column, "path", node("child"))
+        for k in range(many):
+            # each level is made once and used twice: for its own nodes and for the level below
+            level = once(level, {f"_l{k + 1}": _below(c(f"_l{k}"))})
+        found = F.concat(*(F.transform(f"_l{k}", _marked(depth + k, folded=k == many)) for k in range(many + 1)))
+        nodes = _own_fields(level.select(id_column, F.inline(found)))
+        written = stage(nodes.filter(c("_is_node") | c("_folded")), "tree-levels")
+        done.append(written.filter("_is_node").drop("_is_node", "_folded", "node"))
+        below = written.filter("_folded")
+        if below.isEmpty():
+            return union_all(done)
+        level = below.select(id_column, F.array(F.struct("path", "node")).alias("_l0"))
+        depth, many = depth + many, min(2 * many, MOST_LEVELS)
 
 
 def severity_dimension(docs: DataFrame, json_column: str) -> DataFrame:

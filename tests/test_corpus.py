@@ -132,6 +132,28 @@ def test_tree_of_any_depth(spark):
     assert nodes.agg({"depth": "max"}).first()[0] == 100 and nodes.filter("name = 'bottom'").count() == 1
 
 
+def test_deep_trees_in_few_passes(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(A, "stage", lambda df, label, whole=A.stage: written.append(label) or whole(df, label))
+    chain = {"name": "end", "statistic": {"objectType": "VIEW"}}
+    for k in range(199, 0, -1):
+        chain = {"name": f"d{k}", "children": [{"name": f"side{k}"}, chain, None, "text", 7]}
+    nodes = A.flatten_trees(spark.createDataFrame([(1, json.dumps(chain)), (2, json.dumps({"name": "flat", "children": []}))], "id long, doc string"), "id", "doc")
+    rows = nodes.collect()
+    assert len(rows) == 400 and max(r.depth for r in rows) == 200 and len(written) == 9
+    end = next(r for r in rows if r.name == "end")
+    assert end.path == "0" + "/1" * 199 and end.object_type == "VIEW" and len({(r.id, r.path) for r in rows}) == 400
+
+
+def test_wide_and_broken_trees(spark):
+    wide = {"name": "top", "statistic": {"countErrorNodes": 0}, "children": [{"name": f"n{k}", "children": [{"statistic": {"countErrorNodes": str(k)}}]} for k in range(3000)]}
+    docs = [(1, json.dumps(wide)), (2, None), (3, ""), (4, "[1, 2]"), (5, '{"children": "none"}'), (6, '{"children": [{"children": [{"name": "deep"}]}]}'), (7, '{"name": "a", "name": "b"}')]
+    rows = A.flatten_trees(spark.createDataFrame(docs, "id long, doc string"), "id", "doc").collect()
+    one = [r for r in rows if r.id == 1]
+    assert len(one) == 6001 and sum(r.error_nodes for r in one) == sum(range(3000)) and next(r for r in one if r.depth == 1).children == 3000
+    assert {(r.id, r.path, r.depth, r.name) for r in rows if r.id != 1} == {(6, "0/0/0", 3, "deep")}
+
+
 def test_corpus_reader(spark, tmp_path):
     def put(name, text):
         p = tmp_path / name
