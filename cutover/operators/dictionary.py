@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cutover.functions.equality import cell_text
 from cutover.operators.load import PARALLEL_TABLES, union_all
+from cutover.operators.names import mentions
 from cutover.operators.ordered import ranked
+from cutover.session import stage
 
 c = F.col
 
@@ -38,8 +40,8 @@ REASON_SEVERITY = {
     "column_not_in_dictionary": "high", "table_inference_failed": "critical", "column_inference_failed": "critical",
     "ambiguous_mapping": "medium", "view_column": "medium", "dynamic_table": "critical", "subquery_result": "low", "computed_column": "low",
 }
-# Entries that travel as literals in one expression; any number of such batches are tested.
-BATCH_ENTRIES = 5_000
+#: A statement whose table is put in at run time.
+DYNAMIC_TABLE = r"(?i)\b(from|join|into|update|table)\s+\$\{"
 
 
 def target_type(t: T.DataType) -> str:
@@ -171,39 +173,88 @@ def dictionary_subset(fragments: DataFrame, dictionary: DataFrame, id_column: st
     Entries whose table and column are both named in the text; when no table
     is, entries whose column is.  All of them, unless ``cap`` asks for so many
     at most, in dictionary order, with a flag where entries were left out.
-
-    The dictionary has one row per column of a schema; it reaches the tasks as
-    literals, a bounded number at a time, so texts are never joined with it.
+    Fragments with equal ids count as one.
     """
-    rows = dictionary.filter(F.coalesce("column_name", F.lit("")) != "").select("table_name", "column_name", "position").orderBy("table_name", "position").collect()
-    entries = [(i, r.table_name, r.column_name) for i, r in enumerate(rows)]
-    texts = fragments.select(id_column, F.upper(text_column).alias("_t"))
-    tables = F.array(*(F.lit(t) for t in sorted({t for _, t, _ in entries if t})))
-    named = F.filter(tables, lambda t: F.contains(c("_t"), F.upper(t)))
-    texts = texts.select(id_column, "_t", F.inline(F.array(F.struct(named.alias("_tables")))))
-    fits = lambda e: (F.array_contains("_tables", e["table"]) | (F.size("_tables") == 0)) & F.contains(c("_t"), e["upper"])
-    found = []
-    for at in range(0, len(entries), BATCH_ENTRIES):
-        batch = F.array(*(
-            F.struct(F.lit(i).alias("entry"), F.lit(f"{t}.{col}".lower()).alias("key"), F.lit(t).alias("table"), F.lit(col.upper()).alias("upper"))
-            for i, t, col in entries[at:at + BATCH_ENTRIES]))
-        found.append(texts.select(id_column, F.filter(batch, fits).alias("_hits")))
-    rows = union_all(found or [texts.select(id_column, F.expr("CAST(array() AS array<struct<entry:int,key:string>>)").alias("_hits"))]).select(id_column, F.inline("_hits"))
+    entries = dictionary.filter(F.coalesce("column_name", F.lit("")) != "").select(
+        "position", F.coalesce("table_name", F.lit("")).alias("table_name"), F.upper("table_name").alias("_table"), F.upper("column_name").alias("name"),
+        F.lower(F.concat_ws(".", "table_name", "column_name")).alias("key"))
+    # one index for both: a table and a column may have the same name
+    names = entries.select(c("_table").alias("n")).unionAll(entries.select("name"))
+    hits = stage(mentions(fragments, names, [id_column], text_column, "n"), "named")
+    tables = hits.join(entries.select("_table").distinct(), hits["name"] == c("_table"), "left_semi").withColumnRenamed("name", "_table")
+    columns = hits.join(entries, "name").select(id_column, "table_name", "position", "_table", "key")
+    rows = columns.join(tables, [id_column, "_table"], "left_semi").unionByName(columns.join(tables.select(id_column).distinct(), id_column, "left_anti"))
     if cap is None:
         return rows.select(id_column, "key", F.lit(False).alias("truncated"))
     # a text has at most the dictionary's entries
-    numbered = ranked(rows, [id_column], ["entry"], [], {"_i": ("row_number",), "_n": ("count",)}, split=False)
+    numbered = ranked(rows, [id_column], ["table_name", "position"], ["key"], {"_i": ("row_number",), "_n": ("count",)}, split=False)
     return numbered.filter(c("_i") <= cap).select(id_column, "key", (c("_n") > cap).alias("truncated"))
 
 
+def _severity(reason: Column) -> Column:
+    severity = F
+    for name, level in REASON_SEVERITY.items():
+        severity = severity.when(reason == name, level)
+    return severity
+
+
 def coverage(refs: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Each reference with found flag, reason and severity; ``hint`` names a reason known beforehand."""
     df = lookup(refs, dictionary)
     reason = F.when(~c("found"), F.coalesce("hint", F.lit("column_not_in_dictionary")))
-    severity = F
-    for name, level in REASON_SEVERITY.items():
-        severity = severity.when(c("failure_reason") == name, level)
-    return df.withColumn("failure_reason", reason).withColumn("severity", severity)
+    return df.withColumn("failure_reason", reason).withColumn("severity", _severity(c("failure_reason")))
+
+
+def resolved(binds: DataFrame, fragments: DataFrame, dictionary: DataFrame, views: DataFrame | None = None,
+             id_column: str = "fragment_id", text_column: str = "text", ref_column: str = "ref") -> DataFrame:
+    """What each reference of a fragment means, or why that cannot be told.
+
+    A reference ``table.column`` is looked up.  A bare column belongs to the
+    table that the fragment names and that has it; if the fragment names no
+    table of the dictionary, to the only table that has it.  Adds ``key`` (what
+    it was resolved to), ``found``, ``failure_reason`` and ``severity``.  Reasons:
+
+    * no column in the reference: ``column_inference_failed``
+    * a table that is put in at run time, in the reference or, where no other
+      table has the column, in the fragment: ``dynamic_table``
+    * several tables have the column: ``ambiguous_mapping``
+    * no table named, and none has the column: ``table_inference_failed``
+    * a column of one of ``views`` (a frame with ``view_name``): ``view_column``
+    * all else: ``column_not_in_dictionary``
+    """
+    entries = dictionary.select(F.lower("table_name").alias("_table"), F.lower("column_name").alias("_column")).filter("_table <> '' AND _column <> ''").distinct()
+    key = F.concat_ws(".", "_table", "_column")
+    ref = F.lower(F.btrim(F.coalesce(c(ref_column), F.lit(""))))
+    parts = F.split(ref, r"\.")
+    marked = binds.withColumns({
+        "_column": F.element_at(parts, -1), "_table": F.when(F.size(parts) > 1, F.element_at(parts, -2)), "_dynamic": F.instr(ref, "${") > 0})
+
+    # the tables each fragment names, and those of them that have each column it refers to
+    named = mentions(fragments, entries.select(c("_table").alias("n")), [id_column], text_column, "n").select(id_column, F.lower("name").alias("_table"))
+    named = stage(named.join(entries.select("_table").distinct(), "_table", "left_semi"), "named-tables")
+    bare = marked.filter(c("_table").isNull()).select(id_column, "_column").distinct()
+    here = bare.join(named, id_column).join(entries, ["_table", "_column"]).groupBy(id_column, "_column").agg(
+        F.count(F.lit(1)).alias("_n_here"), F.min(key).alias("_key_here"))
+    anywhere = entries.groupBy("_column").agg(F.count(F.lit(1)).alias("_n_any"), F.min(key).alias("_key_any"))
+    at_run_time = fragments.groupBy(id_column).agg(F.coalesce(F.bool_or(F.rlike(text_column, F.lit(DYNAMIC_TABLE))), F.lit(False)).alias("_fragment_dynamic"))
+    many = named.groupBy(id_column).agg(F.count(F.lit(1)).alias("_n_named"))
+    known_views = (views.select(F.lower("view_name").alias("_table")).distinct() if views is not None else entries.select("_table").limit(0)).withColumn("_view", F.lit(True))
+    df = (marked.join(entries.withColumn("_key_full", key), ["_table", "_column"], "left").join(here, [id_column, "_column"], "left")
+          .join(anywhere, "_column", "left").join(at_run_time, id_column, "left").join(many, id_column, "left").join(known_views, "_table", "left"))
+    full, unnamed = c("_table").isNotNull(), F.coalesce("_n_named", F.lit(0)) == 0
+    meant = F.when(full, c("_key_full")).when(c("_n_here") == 1, c("_key_here")).when(unnamed & (c("_n_any") == 1), c("_key_any"))
+    reason = (
+        F.when((c("_column") == "") | (c("_dynamic") & ~full), "column_inference_failed")
+        .when(c("_dynamic"), "dynamic_table")
+        .when(meant.isNotNull(), None)
+        .when(full, F.when(c("_view"), "view_column").otherwise("column_not_in_dictionary"))
+        .when(c("_n_here") > 1, "ambiguous_mapping")
+        .when(c("_fragment_dynamic"), "dynamic_table")
+        .when(unnamed & (c("_n_any") > 1), "ambiguous_mapping")
+        .when(unnamed, "table_inference_failed")
+        .otherwise("column_not_in_dictionary"))
+    done = df.withColumn("failure_reason", reason).withColumns({"found": c("failure_reason").isNull(), "key": F.when(c("failure_reason").isNull(), meant)})
+    return done.select(*binds.columns, "key", "found", "failure_reason", _severity(c("failure_reason")).alias("severity"))
 
 
 def coverage_summary(covered: DataFrame) -> DataFrame:

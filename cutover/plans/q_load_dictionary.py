@@ -241,6 +241,24 @@ SELECT t AS total, s AS successful, t - s AS failed, {half_up('s * 100', 't', 1)
 """)(lambda t: D.coverage_summary(_covered(t)))
 query("d11_coverage_by_reason", "failure_reason:s n:i", f"SELECT failure_reason, count(*) AS n FROM ({_COVER}) WHERE NOT found GROUP BY 1")(lambda t: D.coverage_by(_covered(t), "failure_reason"))
 query("d11_coverage_by_severity", "severity:s n:i", f"SELECT severity, count(*) AS n FROM ({_COVER}) WHERE NOT found GROUP BY 1")(lambda t: D.coverage_by(_covered(t), "severity"))
+
+# by definition: every statement against every table of the dictionary
+_RESOLVED = f"""
+WITH e AS (SELECT DISTINCT table_name AS t, column_name AS col FROM ({META_SQL})), s AS (SELECT *, lower(trim(ref)) AS r FROM bound_statements),
+p AS (SELECT *, CASE WHEN contains(r, '.') THEN string_split(r, '.')[1] END AS t, CASE WHEN contains(r, '.') THEN string_split(r, '.')[2] ELSE r END AS col,
+  contains(r, '$' || '{{') AS dyn, regexp_matches(text, '(?i)\\b(from|join|into|update|table)\\s+\\$\\{{') AS fdyn,
+  (SELECT count(DISTINCT e.t) FROM e WHERE contains(upper(s.text), upper(e.t))) AS named FROM s),
+q AS (SELECT *, (SELECT count(*) FROM e WHERE e.col = p.col AND contains(upper(p.text), upper(e.t))) AS n_here, (SELECT min(e.t || '.' || e.col) FROM e WHERE e.col = p.col AND contains(upper(p.text), upper(e.t))) AS key_here,
+  (SELECT count(*) FROM e WHERE e.col = p.col) AS n_any, (SELECT min(e.t || '.' || e.col) FROM e WHERE e.col = p.col) AS key_any, (SELECT min(e.t || '.' || e.col) FROM e WHERE e.col = p.col AND e.t = p.t) AS key_full FROM p),
+v AS (SELECT *, CASE WHEN col = '' OR (dyn AND t IS NULL) THEN 'column_inference_failed' WHEN dyn THEN 'dynamic_table'
+  WHEN t IS NOT NULL THEN CASE WHEN key_full IS NOT NULL THEN NULL WHEN t = 'v_orders' THEN 'view_column' ELSE 'column_not_in_dictionary' END
+  WHEN n_here = 1 OR (named = 0 AND n_any = 1) THEN NULL WHEN n_here > 1 THEN 'ambiguous_mapping' WHEN fdyn THEN 'dynamic_table' WHEN named = 0 AND n_any > 1 THEN 'ambiguous_mapping'
+  WHEN named = 0 THEN 'table_inference_failed' ELSE 'column_not_in_dictionary' END AS failure_reason FROM q)
+SELECT fragment_id, failure_reason IS NULL AS found, CASE WHEN failure_reason IS NULL THEN coalesce(key_full, CASE WHEN n_here = 1 THEN key_here ELSE key_any END) END AS key, failure_reason,
+  CASE failure_reason WHEN 'column_not_in_dictionary' THEN 'high' WHEN 'ambiguous_mapping' THEN 'medium' WHEN 'view_column' THEN 'medium' ELSE CASE WHEN failure_reason IS NOT NULL THEN 'critical' END END AS severity FROM v"""
+query("d11_resolved_references", "fragment_id:s found:b key:s failure_reason:s severity:s", _RESOLVED)(lambda t: D.resolved(
+    t.bound_statements.select("fragment_id", "ref"), t.bound_statements.select("fragment_id", "text"), D.column_metadata(t.spark, tables(t)),
+    t.spark.createDataFrame([("v_orders",)], "view_name string")))
 query("d12_object_counts", "object_type:s n:i", """
 SELECT o AS object_type, count(event_id) AS n FROM (SELECT unnest(['view', 'click', 'error', 'trigger']) AS o) LEFT JOIN events ON event_type = o GROUP BY 1
 """)(lambda t: D.object_counts(t.events.select(c("event_type").alias("object_type")), ["view", "click", "error", "trigger"]))

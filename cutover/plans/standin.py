@@ -238,6 +238,19 @@ _table("binds", "events", {
     "hint": ("case when event_id % 10 = 9 then 'table_inference_failed' when event_id % 30 = 5 then 'view_column' when event_id % 30 = 15 then 'dynamic_table' end", None),
 })
 
+# Statements with one bind each, and what the bind is compared with: one per customer.
+_CASES = [
+    ("'select o_orderdate from orders where o_totalprice > 1'", "'o_totalprice'"), ("'select * from documents join labels using (doc_id)'", "'Doc_Id'"),
+    ("concat('select 1 from $', '{tab} where x')", "'amount'"), ("concat('select ', c_custkey, ' from nowhere')", "'no_such_column'"), ("'select * from nation'", "''"),
+    ("'select * from NATION'", "concat('n_missing', c_custkey)"), ("concat('select ', c_custkey)", "'Customer.C_NAME'"), ("'select 1 from dual'", "'text'"), ("'select 1 from dual'", "'p_brand'"),
+    ("'select * from v_orders'", "'v_orders.total'"), ("'select * from lineitem, orders'", "concat('$', '{t}.o_orderkey')"), ("'select 1'", "'nowhere.at_all'"),
+]
+_table("bound_statements", "customer", {
+    "fragment_id": ("concat('F', c_custkey)", None),
+    "text": ("case c_custkey % 12 " + " ".join(f"when {i} then {t}" for i, (t, _) in enumerate(_CASES)) + " end", None),
+    "ref": ("case c_custkey % 12 " + " ".join(f"when {i} then {r}" for i, (_, r) in enumerate(_CASES)) + " end", None),
+})
+
 # SQL text in a session replaces dollar-brace names by settings, hence the split literals.
 # Mapper files around the whole text of each document; every tenth lacks a closing tag.
 _ESC = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"

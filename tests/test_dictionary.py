@@ -1,7 +1,11 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from cutover.operators import dictionary as D
+from cutover.operators import names as N
 
 c = F.col
 
@@ -66,9 +70,8 @@ def subset_by_definition(entries, text, cap):
     return [(k, len(hits) > cap) for k in hits[:cap]]
 
 
-@pytest.mark.parametrize("per_pass,cap", [(5000, 400), (2, 400), (5000, 2), (2, 2)])
-def test_dictionary_subset(spark, monkeypatch, per_pass, cap):
-    monkeypatch.setattr(D, "BATCH_ENTRIES", per_pass)
+@pytest.mark.parametrize("cap", [400, 2])
+def test_dictionary_subset(spark, cap):
     entries = [("orders", "id"), ("orders", "name"), ("orders", "total"), ("users", "id"), ("users", "name"), ("zzz", "id")]
     d = spark.createDataFrame([(t, col, i) for i, (t, col) in enumerate(entries)], "table_name string, column_name string, position long")
     texts = ["select id, name, total from Orders", "select Name from users join orders", "only id here", "nothing", "orders but no columns"]
@@ -82,3 +85,56 @@ def test_dictionary_subset(spark, monkeypatch, per_pass, cap):
 def test_object_counts(spark):
     df = spark.createDataFrame([("VIEW",), ("VIEW",), ("INDEX",)], "object_type string")
     assert {r.object_type: r.n for r in D.object_counts(df, ["VIEW", "TABLE"]).collect()} == {"VIEW": 2, "TABLE": 0}
+
+
+def test_mentions_against_containment(spark):
+    rng = random.Random(11)
+    letters = "ab_$ .1é"
+    names = ["A", "b", "ab", "a.b", "a b", "ORDER_ID", "order_id2", "straße", "x" * 40, "no-such", "..", "", None, "é1"] + ["".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(60)]
+    texts = [None, "", "a.b", "A B ab", "my_ORDER_ID2;", "STRASSE", "y" + "x" * 50, "no such", "no-such"] + ["".join(rng.choices(letters, k=rng.randint(1, 40))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    got = {(r.k, r.name) for r in N.mentions(df, spark.createDataFrame([(n,) for n in names], "n string"), ["k"], "t", "n").collect()}
+    spoken = {n.upper() for n in names if n and re.search(r"[\w$#]", n)}
+    assert got == {(k, n) for k, t in enumerate(texts) if t for n in spoken if n in t.upper()}
+
+
+def test_a_large_dictionary(spark):
+    d = spark.range(100_000).select(F.concat(F.lit("tab_"), (F.col("id") / 20).cast("int")).alias("table_name"), F.concat(F.lit("col_"), F.col("id")).alias("column_name"), F.col("id").alias("position"))
+    texts = spark.createDataFrame([(k, f"select col_{k * 20}, col_{k * 20 + 1}x from tab_{k} where {'lorem ipsum ' * 50}") for k in range(0, 5000, 50)], "k long, t string")
+    found = D.dictionary_subset(texts, d, "k", "t")
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.k, set()).add(r.key)
+    # every prefix of a number names a table and a column as well, as containment says
+    for k in (0, 50, 1250, 4950):
+        tables = {f"tab_{str(k)[:i]}" for i in range(1, len(str(k)) + 1)}
+        columns = {f"col_{str(n)[:i]}" for n in (k * 20, k * 20 + 1) for i in range(1, len(str(n)) + 1)}
+        assert got[k] == {f"{t}.{x}" for t in tables for x in columns if int(x[4:]) // 20 == int(t[4:])}
+    plan = found._jdf.queryExecution().toString()
+    assert len(plan) < 200_000 and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+REFERENCES = [
+    ("select o_date from orders where amount > 1", "amount", "orders.amount", None), ("select 1 from ORDERS", " Orders.AMOUNT ", "orders.amount", None),
+    ("select 1 from orders join users", "id", None, "ambiguous_mapping"), ("select 1 from dual", "id", None, "ambiguous_mapping"),
+    ("select 1 from dual", "amount", "orders.amount", None), ("select 1 from dual", "nothing", None, "table_inference_failed"),
+    ("select 1 from users", "amount", None, "column_not_in_dictionary"), ("select 1 from users", "users.nothing", None, "column_not_in_dictionary"),
+    ("select 1 from users", None, None, "column_inference_failed"), ("select 1 from users", "users.", None, "column_inference_failed"), ("x", "  ", None, "column_inference_failed"),
+    ("select 1 from ${tab}", "nothing", None, "dynamic_table"), ("select 1 from ${tab} join users", "amount", None, "dynamic_table"), ("select 1 from ${tab} join users", "name", "users.name", None),
+    ("select 1", "${tab}.amount", None, "dynamic_table"), ("select 1", "${column}", None, "column_inference_failed"), ("select 1 from v_sums", "V_Sums.total", None, "view_column"),
+    ("update ${t} set x = 1", "id", None, "dynamic_table"), (None, "amount", "orders.amount", None), ("select 1", "app.orders.amount", "orders.amount", None),
+]
+
+
+def test_reasons_are_worked_out(spark):
+    d = spark.createDataFrame([("Orders", "ID"), ("orders", "amount"), ("users", "id"), ("users", "name")], "table_name string, column_name string")
+    fragments = spark.createDataFrame([(f"F{k}", t) for k, (t, *_) in enumerate(REFERENCES)], "fragment_id string, text string")
+    binds = spark.createDataFrame([(f"F{k}", f"v{k}", r) for k, (_, r, *_) in enumerate(REFERENCES)] + [("no fragment", "w", "amount")], "fragment_id string, variable string, ref string")
+    views = spark.createDataFrame([("v_sums",)], "view_name string")
+    out = D.resolved(binds, fragments, d, views)
+    got = {r.variable: (r.key, r.failure_reason) for r in out.collect()}
+    assert got == {f"v{k}": (key, reason) for k, (_, _, key, reason) in enumerate(REFERENCES)} | {"w": ("orders.amount", None)}
+    assert {r.failure_reason: r.severity for r in out.collect()} == {None: None} | {r: D.REASON_SEVERITY[r] for *_, r in REFERENCES if r}
+    s = D.coverage_summary(out).first()
+    assert (s.total, s.successful) == (21, 7) and sum(r.n for r in D.coverage_by(out, "failure_reason").collect()) == 14
+    assert D.resolved(binds.limit(0), fragments, d).count() == 0
