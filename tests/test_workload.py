@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 from decimal import Decimal
 
@@ -73,3 +74,46 @@ def test_repeated_update_keys(spark):
     assert one_per_key(log.select("k", F.lit("x").alias("v")), "k").count() == 2
     with pytest.raises(Exception, match="several changes"):
         one_per_key(log.drop("seq"), "k").collect()
+
+
+EMPLOYEE = "employee_id long, employee_name string, department string, manager_id long, position_title string"
+
+
+def staff(spark, bosses):
+    return spark.createDataFrame([(k, f"e{k}", "d", b, "t") for k, b in bosses.items()], EMPLOYEE)
+
+
+def test_a_long_chain_takes_few_joins(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(employee, "stage", lambda df, label, whole=employee.stage: written.append(label) or whole(df, label))
+    chain = spark.range(5000).select(c("id").alias("employee_id"), F.concat(F.lit("e"), c("id")).alias("employee_name"), F.lit("d").alias("department"),
+                                     F.when(c("id") > 0, c("id") - 1).alias("manager_id"), F.lit("t").alias("position_title"))
+    tree = employee.walk_tree(chain.repartition(4), chain.filter("manager_id is null"), ["employee_name"])
+    r = tree.agg(F.count(F.lit(1)).alias("n"), F.max("level").alias("deep"), F.count_if(c("level") == c("employee_id") + 1).alias("right")).first()
+    assert (r.n, r.deep, r.right) == (5000, 5000, 5000) and len(written) <= 15
+    assert tree.filter("employee_id = 3").first().full_path == " > e0 > e1 > e2 > e3"
+
+
+def test_trees_against_a_walk(spark):
+    rng = random.Random(12)
+    for _ in range(3):
+        bosses = {k: rng.choice([None, rng.randint(0, 59), 999]) if rng.random() < 0.2 else rng.randint(0, max(0, k - 1)) for k in range(60)}
+        reach, todo = {}, [(k, (k,)) for k, b in bosses.items() if b is None]
+        while todo:
+            k, path = todo.pop()
+            reach[k] = path
+            todo += [(x, (*path, x)) for x, b in bosses.items() if b == k]
+        df = staff(spark, bosses)
+        got = {r.employee_id: (r.level, r.full_path) for r in employee.walk_tree(df, df.filter("manager_id is null"), ["employee_name"]).collect()}
+        assert got == {k: (len(p), "".join(f" > e{x}" for x in p)) for k, p in reach.items()}
+
+
+def test_cycles(spark):
+    # 0 leads to 1 and 2; 3, 4 and 5 lead to one another, and 6 hangs below them; 7 is its own boss, 8 has an unknown one
+    df = staff(spark, {0: None, 1: 0, 2: 1, 3: 4, 4: 5, 5: 3, 6: 5, 7: 7, 8: 99})
+    assert sorted(r.employee_id for r in employee.walk_tree(df, df.filter("manager_id is null"), ["employee_name"]).collect()) == [0, 1, 2]
+    assert sorted(r.employee_id for r in employee.walk_tree(df, df.filter("employee_id = 1"), ["employee_name"]).collect()) == [1, 2]
+    for start in (3, 7):
+        with pytest.raises(ValueError):
+            employee.walk_tree(df, df.filter(c("employee_id") == start), ["employee_name"])
+    assert employee.walk_tree(df, df.filter("employee_id = 12345"), ["employee_name"]).count() == 0
