@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 
@@ -14,6 +15,7 @@ from cutover.operators.load import PARALLEL_TABLES, union_all
 from cutover.operators.names import mentions
 from cutover.operators.ordered import ranked
 from cutover.session import stage
+from cutover.sources.footers import small_result
 
 c = F.col
 
@@ -78,14 +80,16 @@ def table_list(metadata: DataFrame) -> DataFrame:
 def sample_row(table: str, df: DataFrame, key: str | None = None) -> DataFrame | None:
     """The lowest row by key, then by all columns, as (table, column, value); None when the table cannot be read.
 
-    The lowest key is found from the key column alone; the filter on it then
-    lets the scan skip everything but the row groups that may hold the row.
-    Without a named key it is the first column that can be ordered.
+    The lowest key is found from the key column alone, or from file footers if
+    ``df`` is a ``footer_table`` and the key a number or date; the filter on it
+    then lets the scan skip everything but the row groups that may hold the
+    row.  Without a named key it is the first column that can be ordered.
     """
     try:
         key = key or next((f.name for f in df.schema.fields if _orderable(f.dataType)), None)
-        one = df if key is None else df.filter(c(key) == F.lit(df.agg(F.min(key)).first()[0]))
-    except Exception:  # noqa: BLE001 - a table that can't be read has no sample, and the other tables go on
+        one = df if key is None else df.filter(c(key) == F.lit(small_result(df, lambda d: d.agg(F.min(key)))[0][0]))
+    except Exception as e:  # noqa: BLE001 - a table that can't be read has no sample, and the other tables go on
+        logging.getLogger(__name__).warning("no sample of %s: %s", table, str(e).splitlines()[0] if str(e) else type(e).__name__)
         return None
     ordered = F.struct(*((c(f.name) if _orderable(f.dataType) else cell_text(c(f.name), f.dataType)).alias(f"_{i}") for i, f in enumerate(df.schema.fields)))
     lowest = one.agg(F.min(ordered).alias("_row")).filter("_row IS NOT NULL")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cutover.operators.load import union_all
-from cutover.session import stage
 
 c = F.col
 
@@ -25,19 +26,39 @@ def orphans(child: DataFrame, parent: DataFrame, child_cols: Sequence[str], pare
     return keys.join(known, names, "left_anti")
 
 
+def _in_order(columns: Sequence[str]) -> Column:
+    """Key parts in a form that sorts alike whatever their types: numbers by size, all else by text."""
+    return F.array(*(F.struct(c(x).cast("string").try_cast("double").alias("n"), F.length(c(x).cast("string")).alias("l"), c(x).cast("string").alias("t")) for x in columns))
+
+
 def foreign_key_check(constraints: Mapping[str, tuple], sample: int = 5) -> DataFrame:
     """One row per constraint: orphan keys, orphan rows and the first few orphan keys.
 
-    Orphans are written out once, then counted and sampled from there.
+    The orphans of all constraints are one frame, which is counted and sampled
+    at once: nothing is written, and nothing reaches the driver before the
+    report does.  A sample keeps the first keys of every task before they meet.
     """
-    rows = []
+    if not constraints:
+        raise ValueError("no constraints given")
+    found = []
     for name, (child, parent, child_cols, parent_cols) in constraints.items():
-        found = stage(orphans(child, parent, child_cols, parent_cols), "orphans")
         keys = [f"k{i}" for i in range(len(child_cols))]
-        first = found.orderBy(*keys).limit(sample).select(F.concat_ws("/", *(c(k).cast("string") for k in keys)).alias("t")).collect()
-        rows.append(found.agg(F.count(F.lit(1)).alias("orphan_keys"), F.coalesce(F.sum("child_rows"), F.lit(0)).alias("orphans")).withColumns({
-            "constraint_name": F.lit(name), "sample": F.lit(";".join(r.t for r in first))}))
-    return union_all(rows).withColumn("holds", c("orphans") == 0)
+        numbers = all(isinstance(child.schema[x].dataType, T.NumericType) for x in child_cols)
+        place = _in_order(keys) if numbers else F.transform(F.array(*(c(k).cast("string") for k in keys)), lambda t: F.struct(
+            F.lit(None).cast("double").alias("n"), F.lit(0).alias("l"), t.alias("t")))
+        found.append(orphans(child, parent, child_cols, parent_cols).select(
+            F.lit(name).alias("constraint_name"), place.alias("_place"), F.concat_ws("/", *(c(k).cast("string") for k in keys)).alias("_text"), "child_rows"))
+    all_ = union_all(found)
+    counts = all_.groupBy("constraint_name").agg(F.count(F.lit(1)).alias("orphan_keys"), F.sum("child_rows").alias("orphans"))
+    # a constant would be no group to prune by, if there is just one constraint
+    all_ = all_.withColumn("constraint_name", F.concat("constraint_name", F.left("_text", F.lit(0))))
+    first = all_.withColumn("_rn", F.row_number().over(W.partitionBy("constraint_name").orderBy("_place"))).filter(c("_rn") <= sample)
+    listed = first.groupBy("constraint_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "_text"))), lambda x: x["_text"]), ";").alias("sample"))
+    names = all_.sparkSession.createDataFrame([(i, n) for i, n in enumerate(constraints)], "_i int, constraint_name string")
+    report = names.join(counts, "constraint_name", "left").join(listed, "constraint_name", "left").orderBy("_i")
+    return report.select(
+        F.coalesce("orphan_keys", F.lit(0)).alias("orphan_keys"), F.coalesce("orphans", F.lit(0)).alias("orphans"), "constraint_name",
+        F.coalesce("sample", F.lit("")).alias("sample"), c("orphans").isNull().alias("holds"))
 
 
 def key_check(df: DataFrame, keys: Sequence[str]) -> DataFrame:

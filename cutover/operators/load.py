@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cutover.sources.footers import small_result
 from cutover.sources.replace import swap_in
 
 PARALLEL_TABLES = 8
@@ -57,11 +58,11 @@ def cut_report(df: DataFrame, column: str, max_kb: int = LOB_KB) -> DataFrame:
         F.coalesce(F.max(F.octet_length(column)), F.lit(0)).alias("longest_octets"))
 
 
-def unpivot_aggregates(df: DataFrame, table: str, columns: Sequence[str], measures: Mapping[str, callable]) -> DataFrame:
-    """Aggregate many columns in one pass and turn the one result row into a row per column."""
+def unpivot_aggregates(df: DataFrame, table: str, columns: Sequence[str], measures: Mapping[str, callable], kind: str | None = None) -> DataFrame:
+    """Aggregate many columns in one pass and turn the one result row into a row per column; ``kind`` is the measures' common type."""
     one = df.agg(*(measure(x).alias(f"{m}__{i}") for i, x in enumerate(columns) for m, measure in measures.items()))
     rows = F.array(*(
-        F.struct(F.lit(table).alias("table_name"), F.lit(x).alias("column_name"), *(c(f"{m}__{i}").alias(m) for m in measures))
+        F.struct(F.lit(table).alias("table_name"), F.lit(x).alias("column_name"), *((c(f"{m}__{i}").cast(kind) if kind else c(f"{m}__{i}")).alias(m) for m in measures))
         for i, x in enumerate(columns)))
     return one.select(F.inline(rows))
 
@@ -93,18 +94,30 @@ def integer_columns(df: DataFrame) -> list[str]:
 def overflow_check(tables: Mapping[str, DataFrame], bound: int = BIGINT_MAX, columns: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Largest absolute value of every integer column against a bound; empty columns are left out.
 
-    Values are widened first: the absolute value of the smallest long has no long.
+    Only the least and the greatest value of a column are asked for, which
+    tables of ``footer_table`` answer without reading rows; tables are asked
+    side by side.  Those two are widened first: the absolute value of the
+    smallest long has no long.
     """
-    frames = []
+    asked = []
     for name, df in tables.items():
         wanted = (columns or {}).get(name) or integer_columns(df)
         present = {x.lower(): x for x in df.columns}
         wanted = [present[x.lower()] for x in wanted if x.lower() in present]
         if wanted:
-            frames.append(unpivot_aggregates(df, name, wanted, {"max_abs": lambda x: F.max(F.abs(c(x).cast(WIDE)))}))
-    if not frames:
+            asked.append((name, df, wanted))
+    if not asked:
         raise ValueError("no integer columns to check")
-    return union_all(frames).filter(c("max_abs").isNotNull()).withColumn("overflows", c("max_abs") > F.lit(bound).cast(WIDE))
+    spark = asked[0][1].sparkSession
+
+    def extremes(item):
+        name, df, wanted = item
+        return small_result(df, lambda d: unpivot_aggregates(d, name, wanted, {"least": F.min, "greatest": F.max}, WIDE))
+
+    with ThreadPoolExecutor(PARALLEL_TABLES) as pool:
+        rows = [r for found in pool.map(extremes, asked) for r in found if r.least is not None]
+    found = spark.createDataFrame(rows, f"table_name string, column_name string, least {WIDE}, greatest {WIDE}")
+    return found.select("table_name", "column_name", F.greatest(F.abs("least"), F.abs("greatest")).alias("max_abs")).withColumn("overflows", c("max_abs") > F.lit(bound).cast(WIDE))
 
 
 def widen_overflowing(df: DataFrame, check: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:

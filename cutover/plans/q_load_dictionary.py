@@ -11,6 +11,7 @@ from cutover.operators import summary as S
 from cutover.plans.registry import query
 from cutover.plans.sqltext import half_up
 from cutover.session import owned_folder
+from cutover.sources.footers import footer_table
 from cutover.workload.common import assign_keys
 from cutover.workload.order import next_item_seq
 
@@ -33,6 +34,14 @@ def tables(t, names=NAMES):
     return found
 
 
+def footed(t, names=NAMES):
+    """The given tables in a form whose counts, minima and maxima come from file footers; vectors as in ``tables``."""
+    found = {n: footer_table(t.spark, f"{t.folder}/{n}.parquet") for n in names}
+    if "embeddings" in found:
+        found["embeddings"] = found["embeddings"].withColumn("embedding", F.transform("embedding", lambda x: F.floor(x * 1000)))
+    return found
+
+
 def _union(parts):
     return "\nUNION ALL ".join(parts)
 
@@ -77,7 +86,7 @@ query("l06_integer_candidates", "table_name:s column_name:s filled:i", _union(
     lambda t: L.union_all([L.unpivot_aggregates(d, n, L.integer_columns(d), {"filled": lambda x: F.count(x)}) for n, d in tables(t, list(INTEGERS)).items()]))
 query("l07_overflow_check", "table_name:s column_name:s max_abs:i overflows:b", _union(
     f"SELECT '{n}' AS table_name, '{x}' AS column_name, max(abs({x})) AS max_abs, max(abs({x})) > 1200 AS overflows FROM {n}" for n, xs in INTEGERS.items() for x in xs))(
-    lambda t: L.overflow_check(tables(t, list(INTEGERS)), 1200))
+    lambda t: L.overflow_check(footed(t, list(INTEGERS)), 1200))
 
 
 def _widened(t):
@@ -194,13 +203,13 @@ def _text(row, x):
 
 
 _SAMPLES = _union(f"SELECT '{n}' AS table_name, '{x}' AS column_name, {_text('x', x)} AS sample_value FROM (SELECT min(t) AS x FROM {_source(n)} AS t)" for n in NAMES for x in COLUMNS[n].split())
-query("d03_sample_rows", "table_name:s column_name:s sample_value:s", _SAMPLES)(lambda t: L.union_all([D.sample_row(n, d) for n, d in tables(t).items()]))
+query("d03_sample_rows", "table_name:s column_name:s sample_value:s", _SAMPLES)(lambda t: L.union_all([D.sample_row(n, d) for n, d in footed(t).items()]))
 
 _HINT = """SELECT x.*, coalesce(s is not null, false) AS needs_cast, s AS cast_syntax, data_type in ('character', 'char', 'bpchar') AS needs_trim FROM (SELECT *, case data_type when 'smallint' then '::SMALLINT' when 'integer' then '::INTEGER' when 'bigint' then '::BIGINT'
   when 'numeric' then '::NUMERIC' when 'decimal' then '::NUMERIC' when 'real' then '::REAL' when 'double precision' then '::DOUBLE PRECISION' when 'date' then '::DATE' when 'timestamp without time zone' then '::TIMESTAMP' end AS s FROM ({src})) x"""
 query("d04_cast_hints", "ref_id:i data_type:s needs_cast:b cast_syntax:s needs_trim:b", _HINT.format(src="SELECT * FROM typed_refs"))(lambda t: D.with_hints(t.typed_refs))
 _DICT_SQL = _HINT.format(src=f"SELECT m.*, sample_value, lower(m.table_name || '.' || m.column_name) AS key FROM ({META_SQL}) m LEFT JOIN ({_SAMPLES}) f ON m.table_name = f.table_name AND m.column_name = f.column_name")
-_dictionary = lambda t: D.build_dictionary(t.spark, tables(t))
+_dictionary = lambda t: D.build_dictionary(t.spark, footed(t))
 query("d05_dictionary", "key:s table_name:s column_name:s position:i data_type:s sample_value:s sample_found:b needs_cast:b cast_syntax:s needs_trim:b", f"SELECT *, true AS sample_found FROM ({_DICT_SQL})")(_dictionary)
 query("d06_sample_text", "event_id:i as_text:s", "SELECT event_id, concat_ws('|', event_id::varchar, strftime(ts, '%Y-%m-%d %H:%M:%S'), value::decimal(12,2)::varchar, (user_id > 70)::varchar) AS as_text FROM events")(
     lambda t: t.events.select("event_id", F.concat_ws("|", *(D.cell_text(x, y) for x, y in (
@@ -262,4 +271,4 @@ query("d11_resolved_references", "fragment_id:s found:b key:s failure_reason:s s
 query("d12_object_counts", "object_type:s n:i", """
 SELECT o AS object_type, count(event_id) AS n FROM (SELECT unnest(['view', 'click', 'error', 'trigger']) AS o) LEFT JOIN events ON event_type = o GROUP BY 1
 """)(lambda t: D.object_counts(t.events.select(c("event_type").alias("object_type")), ["view", "click", "error", "trigger"]))
-query("d12_row_counts", "table_name:s rows:i", _union(f"SELECT '{n}' AS table_name, count(*) AS rows FROM {n}" for n in NAMES))(lambda t: D.table_row_counts(tables(t)))
+query("d12_row_counts", "table_name:s rows:i", _union(f"SELECT '{n}' AS table_name, count(*) AS rows FROM {n}" for n in NAMES))(lambda t: D.table_row_counts(footed(t)))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
+import decimal
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cutover.functions.once import once
 
@@ -48,8 +51,84 @@ def jdbc_read_options(base: dict[str, str], table: str | None = None, query: str
     return out
 
 
-def read_jdbc(spark: SparkSession, options: dict[str, str]) -> DataFrame:
-    return spark.read.format("jdbc").options(**options).load()
+def read_jdbc(spark: SparkSession, options: dict[str, str], predicates: Sequence[str] | None = None) -> DataFrame:
+    """Read a table or query; ``predicates`` has one condition per partition, such as ``split_predicates`` makes."""
+    if predicates is None:
+        return spark.read.format("jdbc").options(**options).load()
+    rest = {k: v for k, v in options.items() if k not in ("url", "dbtable")}
+    return spark.read.jdbc(options["url"], options["dbtable"], predicates=list(predicates), properties=rest)
+
+
+def sql_literal(value) -> str:
+    """A number, text, date or time as a literal both kinds of database read alike."""
+    if isinstance(value, bool) or value is None:
+        raise ValueError("neither truth values nor null split a table")
+    if isinstance(value, datetime.datetime):
+        return f"TIMESTAMP '{value.isoformat(' ')}'"
+    if isinstance(value, datetime.date):
+        return f"DATE '{value.isoformat()}'"
+    if isinstance(value, str):
+        return "'" + value.replace("'", "''") + "'"
+    return format(value, "f") if isinstance(value, decimal.Decimal) else repr(value)
+
+
+def split_predicates(histogram: Sequence[tuple], column: str, partitions: int, within: str | None = None) -> list[str]:
+    """Conditions that cut a table into parts of about equal size, for a read in parallel.
+
+    ``histogram`` has (value, rows) for values of ``column`` in rising order,
+    such as a sampled or exact count by value; rows of values it lacks fall
+    to the part of the value before.  Each row of the table meets exactly one
+    condition, null included.  A value with more rows than a part is one of its
+    own, cut further by ``within``, a whole-number expression, if that is given.
+    """
+    if partitions < 1 or not histogram:
+        raise ValueError("a split needs values and at least one part")
+    if any(not a[0] < b[0] for a, b in zip(histogram, histogram[1:])):
+        raise ValueError("values must rise")
+    depth = max(1, -(-sum(rows for _, rows in histogram) // partitions))
+    # (first value, whether it stands alone, rows)
+    parts: list[list] = []
+    for value, rows in histogram:
+        alone = rows >= depth
+        if not parts or alone or parts[-1][1] or parts[-1][2] + rows > depth:
+            parts.append([value, alone, rows])
+        else:
+            parts[-1][2] += rows
+    out = []
+    for i, (value, alone, rows) in enumerate(parts):
+        low = f"{column} >= {sql_literal(value)}" if i else None
+        high = f"{column} < {sql_literal(parts[i + 1][0])}" if i + 1 < len(parts) else None
+        condition = " AND ".join(x for x in (low, high) if x)
+        if not i:
+            condition = f"{condition} OR {column} IS NULL" if condition else "1 = 1"
+        pieces = -(-rows // depth) if alone and within else 1
+        if pieces == 1:
+            out.append(condition)
+        else:
+            out += [f"({condition}) AND MOD(COALESCE({within}, 0), {pieces}) " + (f"= {k}" if k else f"NOT IN ({', '.join(map(str, range(1, pieces)))})") for k in range(pieces)]
+    return out
+
+
+def key_histogram(df: DataFrame, column: str, buckets: int = 1000) -> list[tuple]:
+    """Equi-depth histogram of a key for ``split_predicates``: about ``buckets`` values with the rows from each to the next.
+
+    Values with as many rows as a bucket are counted by themselves.  The driver gets a few values per bucket.
+    """
+    if not isinstance(df.schema[column].dataType, (T.IntegralType, T.DateType)):
+        raise ValueError("only whole numbers and dates can be cut by value")
+    known = df.select(c(column).alias("v")).filter("v is not null")
+    bounds = known.agg(F.percentile_approx("v", [k / buckets for k in range(buckets)], 10 * buckets)).first()[0] if not known.isEmpty() else []
+    # a value that several quantiles name is frequent; the next value begins a bucket of its own
+    least = known.agg(F.min("v")).first()[0]
+    frequent = {v for v in bounds if bounds.count(v) > 1}
+    step = datetime.timedelta(days=1) if isinstance(df.schema[column].dataType, T.DateType) else 1
+    starts = sorted({least, *bounds, *(v + step for v in frequent)}) if bounds else []
+    if not starts:
+        return []
+    listed = F.array(*(F.lit(v) for v in starts))
+    counted = known.groupBy(F.array_size(F.filter(listed, lambda s: s <= c("v"))).alias("i")).agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = {r.i - 1: r.n for r in counted}
+    return [(v, rows[i]) for i, v in enumerate(starts) if i in rows]
 
 
 def write_jdbc(df: DataFrame, base: dict[str, str], table: str, batch_rows: int = BATCH_ROWS) -> None:

@@ -79,3 +79,21 @@ def test_sequences(spark):
     got = {r.sequence_name: (r.last_number, r.status) for r in I.sequence_sync(src, tgt).collect()}
     assert got == {"SEQ_A": (50, "SYNCED"), "SEQ_CYCLE": (1, "SYNCED_CLAMPED"), "SEQ_LOW": (5, "SYNCED_CLAMPED"), "SEQ_GONE": (7, "MISSING_IN_TARGET")}
     assert tuple(I.sequence_totals(I.sequence_sync(src, tgt)).first()) == (4, 3, 2, 1)
+
+
+def test_constraints_are_checked_in_one_plan(spark):
+    numbers = spark.createDataFrame([(k, f"n{k}", k % 3) for k in (10, 9, 100, 2**53 + 1, 2**53, -5, 1)], "a long, b string, g int")
+    none = spark.createDataFrame([], "p long, q string")
+    some = spark.createDataFrame([(1, "n1"), (9, "n9"), (9, "n9")], "p long, q string")
+    r = I.foreign_key_check({
+        "num": (numbers, none, ["a"], ["p"]), "text": (numbers, none, ["b"], ["q"]), "two": (numbers.unionAll(numbers), some, ["a", "b"], ["p", "q"]),
+        "fine": (some, some, ["p"], ["p"]), "small": (numbers, some, ["g"], ["p"])}, sample=3)
+    got = {x.constraint_name: (x.orphan_keys, x.orphans, x.sample, x.holds) for x in r.collect()}
+    assert got == {
+        "num": (7, 7, "-5;1;9", False), "text": (7, 7, "n-5;n1;n10", False), "two": (5, 10, "-5/n-5;10/n10;100/n100", False), "fine": (0, 0, "", True),
+        "small": (2, len([k for k in (10, 9, 100, 2**53 + 1, 2**53, -5, 1) if k % 3 != 1]), "0;2", False)}
+    top = I.foreign_key_check({"num": (numbers.filter("a > 1000"), none, ["a"], ["p"])}).first()
+    assert top.sample == f"{2**53};{2**53 + 1}"
+    wide = spark.range(10_000)
+    plan = I.foreign_key_check({"wide": (wide, wide.limit(0), ["id"], ["id"])})
+    assert plan.first().orphan_keys == 10_000 and "WindowGroupLimit" in plan._jdf.queryExecution().executedPlan().toString()
