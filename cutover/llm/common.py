@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -65,6 +66,40 @@ def with_columns_by_batch(df: DataFrame, ddl: str, fn: Callable[..., list[tuple]
     return df.mapInArrow(run, schema)
 
 
+class Recent:
+    """What a worker keeps of answers it has worked out: at least the ones used lately, at most ``entries``.
+
+    When the newer half is full it becomes the older one, and what is asked
+    for again moves over; so frequent keys stay, whatever comes between.
+    """
+
+    def __init__(self, entries: int):
+        self.half = max(1, entries // 2)
+        self.newer: dict = {}
+        self.older: dict = {}
+
+    def unknown(self, keys: set) -> set:
+        """The keys without an answer; the others can be looked up in ``newer`` until the next call."""
+        if len(self.newer) + len(keys) > self.half:
+            self.older, self.newer = self.newer, {}
+        return self.also_unknown(keys)
+
+    def also_unknown(self, keys: set) -> set:
+        """The same for further keys, without giving up any that were asked for."""
+        missing = keys.difference(self.newer)
+        older = self.older
+        again = {k for k in missing if k in older}  # never a walk over all that is kept
+        self.newer.update((k, older[k]) for k in again)
+        return missing.difference(again)
+
+
+def words_by_text(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Texts cut at every blank: a number for each word in order, where each text's words begin (and the last end), and the words numbered."""
+    cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    found = cut.flatten().dictionary_encode()
+    return found.indices.to_numpy(), cut.offsets.to_numpy(), found.dictionary.to_pylist()
+
+
 def _table(fold: bool) -> np.ndarray:
     values = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
     if fold:

@@ -16,18 +16,18 @@ never reach from one task's documents into another's.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from cutover.llm.common import arrow_type, fields_of
+from cutover.llm.common import Recent, arrow_type, fields_of, words_by_text
 
 SIZE = 2048
 UNPADDED = (64, 128, 256, 512, 1024, 2048)
@@ -35,11 +35,18 @@ SENTENCE_PENALTY, MIDDLE_PENALTY, WINDOW_COST = 24, 160, 8
 STEP = 256
 END_ID = 1
 BLOCK_TOKENS = 1 << 21
-#: Words whose ids a worker keeps before it starts anew.
-CACHE_ENTRIES = 1_000_000
+#: Characters of the texts that are encoded together.
+TURN_CHARS = 8_000_000
+#: Words whose ids a worker keeps.
+CACHE_ENTRIES = 1_400_000
+#: Letters that stay single letters in lower case, and that no mark behind them joins.
+_STEM = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e\u0391-\u03a1\u03a3-\u03a9\u03b1-\u03c9\u0410-\u044f]+")
 #: Words made of letters alone that are encoded as one text; each ends with a token that ends a word.
 JOINED_WORDS = 256
 
+_MARKS = frozenset(",.!")
+_STOPS = frozenset(".!?")
+
 PIECE_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -87,10 +94,11 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
+        self.words = Recent(CACHE_ENTRIES)
 
     def _encode(self, words: list[str]) -> None:
         """Encode words: the ones of letters many at a time, the others each for itself."""
+        known = self.words.newer
         alone = [w for w in words if not w.isalpha()]
         letters = [w for w in words if w.isalpha()]
         for at in range(0, len(letters), JOINED_WORDS):
@@ -102,32 +110,40 @@ class WordEncoder:
                 continue
             data, start = ids.tobytes(), 0
             for w, stop in zip(some, stops, strict=True):
-                self.known[w] = data[start:stop]
+                known[w] = data[start:stop]
                 start = stop
         for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+            known[w] = np.array(e.ids, "<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
         """Have the ids of all these words at hand."""
-        if len(self.known) + len(words) > CACHE_ENTRIES:
-            self.known.clear()
-        known = self.known
-        new = words.difference(known)
+        new = self.words.unknown(words)
+        known = self.words.newer
         # a mark behind letters is a pre-token of its own
-        stems = {w: w[:-1] for w in new if len(w) > 1 and w[-1] in ",.!" and w[:-1].isalpha()}
-        self._encode(list({*new.difference(stems), *stems.values(), ",", ".", "!"}.difference(known)))
+        stems = {w: w[:-1] for w in new if w[-1:] in _MARKS and _STEM.fullmatch(w, 0, len(w) - 1)}
+        self._encode(list(self.words.also_unknown({*new.difference(stems), *stems.values(), *_MARKS})))
         for w, stem in stems.items():
             known[w] = known[stem] + known[w[-1]]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, np.ndarray]]:
-        """Ids of each text, as little-endian unsigned 32-bit, and the positions after its sentences."""
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        self.learn(set(chain.from_iterable(split)))
-        known = self.known
-        for words in split:
-            ids = [known[w] for w in words]
-            stops = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // 4
-            yield b"".join(ids), stops[[w[-1:] in (".", "!", "?") for w in words]]
+        """Ids of each text, as little-endian unsigned 32-bit, and the positions after its sentences.
+
+        Each distinct word is looked up once; the ids of all its places are copied by position.
+        """
+        codes, bounds, words = words_by_text([t.replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in texts])
+        self.learn(set(words))
+        known = [self.words.newer[w] for w in words]
+        ids = np.frombuffer(b"".join(known), "<u4")
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[codes]
+        ends = np.cumsum(n)
+        out = ids[np.repeat(starts[codes] - (ends - n), n) + np.arange(int(n.sum()))]
+        closing = np.fromiter((w[-1:] in _STOPS for w in words), bool, len(words))[codes]
+        before = np.concatenate([[0], ends])[bounds]
+        for i, (first, last) in enumerate(zip(bounds, bounds[1:])):  # noqa: B905
+            stops = ends[first:last][closing[first:last]] - before[i]
+            yield out[before[i] : before[i + 1]].tobytes(), stops
 
 
 @cache
@@ -196,7 +212,7 @@ def packed(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
             at = 0
             while at < len(texts):
                 stop, chars = at, 0
-                while stop < len(texts) and chars < 3_000_000:
+                while stop < len(texts) and chars < TURN_CHARS:
                     chars += len(texts[stop] or "")
                     stop += 1
                 for key, (ids, sentences) in zip(keys[at:stop], encode([t or "" for t in texts[at:stop]]), strict=True):

@@ -22,10 +22,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutover.llm.common import with_columns_by_batch
+from cutover.llm.common import Recent, with_columns_by_batch, words_by_text
 
-#: Words with their counts, chunks with theirs, and pairs of tokens, that a worker keeps before it starts anew.
-WORD_ENTRIES, CHUNK_ENTRIES, PAIR_ENTRIES = 1_500_000, 1_200_000, 800_000
+#: Words with their counts and chunks with theirs that a worker keeps, and pairs of tokens before it starts anew.
+WORD_ENTRIES, CHUNK_ENTRIES, PAIR_ENTRIES = 1_800_000, 1_600_000, 800_000
 #: Characters of the texts that are counted together.
 TURN_CHARS = 6_000_000
 
@@ -49,8 +49,8 @@ class PrefixCounter:
         self.tails = {p[k:]: p[k:] in self.rank for p in self.rank for k in range(len(p))}
         self.made_of: dict[str, tuple[str, str]] = {}
         self.alone: dict[str, bool] = {}
-        self.words: dict[str, int] = {}
-        self.totals: dict[str, int] = {}
+        self.words = Recent(WORD_ENTRIES)
+        self.totals = Recent(CHUNK_ENTRIES)
         self.fit: dict[tuple[str, str], bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -117,7 +117,7 @@ class PrefixCounter:
 
         In sorted order, each goes on from the prefix it shares with the one before.
         """
-        tails, fit = self.tails, self.fit
+        piece_at, fit_of, fits = self.tails.get, self.fit.get, self.fits
         counts, last, previous = [0], [""], ""
         for name in sorted(chunks):
             chunk = name.replace(" ", SPACE)
@@ -127,14 +127,18 @@ class PrefixCounter:
             del counts[same + 1 :], last[same + 1 :]
             for end in range(same + 1, len(chunk) + 1):
                 start, starts = end - 1, []
-                while start >= 0 and (is_piece := tails.get(chunk[start:end])) is not None:
+                while start >= 0:
+                    is_piece = piece_at(chunk[start:end])
+                    if is_piece is None:
+                        break
                     if is_piece:
                         starts.append(start)
                     start -= 1
-                for start in reversed(starts):
+                while starts:
+                    start = starts.pop()
                     before, piece = last[start], chunk[start:end]
-                    known = fit.get((before, piece))
-                    if known or known is None and self.fits(before, piece):
+                    known = fit_of((before, piece))
+                    if known or known is None and fits(before, piece):
                         counts.append(counts[start] + 1)
                         last.append(piece)
                         break
@@ -176,21 +180,24 @@ class PrefixCounter:
         """Exact token counts of whole texts; the new chunks of all of them are solved together."""
         texts = [t.replace(SPACE, " ") for t in texts]
         # words behind a single blank are looked up whole; runs of blanks belong to the chunk behind them
-        split = [t.split(" ") if t and "  " not in " " + t else None for t in texts]
-        used = set(chain.from_iterable(w for w in split if w))
-        if len(self.words) + len(used) > WORD_ENTRIES:
-            self.words.clear()
-        parts = {w: self._parts(w) for w in used if w not in self.words}
-        whole = {i: self.chunks(t) for i, t in enumerate(texts) if split[i] is None}
-        chunks = set(chain.from_iterable(chain(parts.values(), whole.values())))
-        if len(self.totals) + len(chunks) > CHUNK_ENTRIES:
-            self.totals.clear()
-        totals, words = self.totals, self.words
-        for name, counts in self.solve(chunks.difference(totals)):
+        simple = [i for i, t in enumerate(texts) if t and "  " not in t and t[0] != " "]
+        codes, bounds, used = words_by_text([texts[i] for i in simple])
+        parts = {w: self._parts(w) for w in self.words.unknown(set(used))}
+        whole = {i: self.chunks(t) for i, t in enumerate(texts) if t and ("  " in t or t[0] == " ")}
+        unsolved = self.totals.unknown(set(chain.from_iterable(chain(parts.values(), whole.values()))))
+        totals, words = self.totals.newer, self.words.newer
+        for name, counts in self.solve(unsolved):
             totals[name] = counts[-1]
         for w, found in parts.items():
-            words[w] = sum([totals[c] for c in found])
-        return [sum(map(words.__getitem__, w)) if w else sum(totals[c] for c in whole[i]) for i, w in enumerate(split)]
+            words[w] = totals[found[0]] if len(found) == 1 else sum([totals[c] for c in found])
+        out = [0] * len(texts)
+        if simple:
+            each = np.fromiter(map(words.__getitem__, used), np.int64, len(used))[codes]
+            for i, n in zip(simple, np.add.reduceat(each, bounds[:-1]).tolist(), strict=True):
+                out[i] = n
+        for i, found in whole.items():
+            out[i] = sum(totals[c] for c in found)
+        return out
 
     def table(self, text: str) -> np.ndarray:
         """Exact token count of the first 0, 1, 2, ... code points of a text."""
