@@ -67,6 +67,11 @@ def to_date(text: Column, pattern: str = "YYYY-MM-DD") -> Column:
     return F.to_date(text, date_pattern(pattern))
 
 
+def to_timestamp(text: Column, pattern: str = "YYYY-MM-DD HH24:MI:SS") -> Column:
+    """Text as a point in time without zone; fields the pattern lacks are the first of their kind."""
+    return F.to_timestamp_ntz(text, F.lit(date_pattern(pattern)))
+
+
 def korean_day(value: Column) -> Column:
     return F.element_at(F.array(*(F.lit(d) for d in KOREAN_DAYS)), F.dayofweek(value))
 

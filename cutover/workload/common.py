@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cutover.operators.ordered import Order, global_index
@@ -39,10 +40,18 @@ def replace_columns(df: DataFrame, when: Column, values: dict[str, Column]) -> D
 
 
 def latest_per_key(binds: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
-    """Reduce a log of bound updates to the last one per key, as running them in order would."""
+    """Reduce a log of bound updates to the last one per key, as running them in order would.
+
+    Several last updates, with equal ``seq``, have no order: they fail the
+    statement unless they are equal in all columns.
+    """
     rest = [c for c in binds.columns if c not in keys]
-    last = binds.groupBy(*keys).agg(F.max_by(F.struct(*rest), seq).alias("_last"))
-    return last.select(*keys, *(F.col("_last")[c].alias(c) for c in rest))
+    newest = F.rank().over(W.partitionBy(*keys).orderBy(F.col(seq).desc_nulls_last()))
+    last = binds.withColumn("_rank", newest).filter("_rank = 1").select(*keys, F.struct(*rest).alias("_row"))
+    met = last.groupBy(*keys).agg(F.min("_row").alias("_one"), F.max("_row").alias("_other"))
+    key = F.concat_ws("/", *(F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys))
+    sure = F.when(F.col("_one").eqNullSafe(F.col("_other")), F.col("_one")).otherwise(F.raise_error(F.concat(F.lit("several last changes of "), key)))
+    return met.withColumn("_row", sure).select(*keys, *(F.col("_row")[c].alias(c) for c in rest))
 
 
 def one_per_key(changes: DataFrame, key: str, seq: str | None = None) -> DataFrame:

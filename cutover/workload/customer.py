@@ -168,7 +168,7 @@ def customer_order_summary(customers: DataFrame, orders: DataFrame, ids=None, pa
     items = live.select("customer_id", "order_id", "order_date", c("order_id").cast("string").alias("id_text"),
                         O.to_char_date(c("order_date"), "MM/DD").alias("date_text"))
     lists = listagg_parts(items, ["customer_id"], {"order_id_list": "id_text", "order_date_list": "date_text"},
-                          ["order_date"], ["order_id"], part_rows=part_rows)
+                          ["order_date"], ["order_id"], part_rows=part_rows, split=False)
     return only(customers, "customer_id", ids).select("customer_id", "customer_name").join(sums, "customer_id", "left").join(
         lists, "customer_id", "left").select(
         "customer_id", "customer_name",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime, timedelta
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -142,10 +142,9 @@ def audit_entries(audit_log: DataFrame, table_name: str | None = None, start: da
     if table_name is not None:
         df = df.filter(c("table_name") == table_name)
     if start is not None:
-        df = df.filter(c("changed_at") >= F.lit(start).cast("timestamp_ntz"))
+        df = df.filter(c("changed_at") >= O.to_timestamp(F.lit(start.isoformat()), "YYYY-MM-DD"))
     if end is not None:
-        last = datetime(end.year, end.month, end.day) + timedelta(days=1) - timedelta(seconds=1)
-        df = df.filter(c("changed_at") <= stamp(last))
+        df = df.filter(c("changed_at") <= O.to_timestamp(F.lit(f"{end.isoformat()} 23:59:59"), "YYYY-MM-DD HH24:MI:SS"))
     return df.orderBy(c("changed_at").desc_nulls_first(), c("log_id").desc()).select(
         "log_id", "table_name", "operation",
         F.substring("old_value", 1, 200).alias("old_value_short"), F.substring("new_value", 1, 200).alias("new_value_short"),

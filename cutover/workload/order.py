@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cutover.functions import oracle as O
 from cutover.operators.ordered import page, ranked
+from cutover.session import stage
 from cutover.workload import labels as L
 from cutover.workload.common import one_per_key, append_aligned, assign_keys, flagged, only, replace_columns, stamp
 
@@ -61,9 +62,9 @@ def order_list(orders, customers, items, start_row: int, end_row: int, start_dat
         df = df.filter(c("customer_id") == customer_id)
     named = df.join(customers.select("customer_id", "customer_name"), "customer_id")
     rows = page(named, [("order_date", "desc"), ("order_id", "desc")], start_row, end_row)
-    # one page is small by construction
-    wanted = F.broadcast(rows.select("order_id"))
-    counts = items.join(wanted, "order_id", "left_semi").groupBy("order_id").agg(F.count(F.lit(1)).alias("item_count"))
+    # the page is found once; how it travels is decided by what was written
+    rows = stage(rows, "page")
+    counts = items.join(rows.select("order_id"), "order_id", "left_semi").groupBy("order_id").agg(F.count(F.lit(1)).alias("item_count"))
     return rows.join(counts, "order_id", "left").select(
         "rnum", "order_id", "customer_name", O.to_char_date(c("order_date")).alias("order_date"),
         O.format_amount(c("total_amount")).alias("total_amount"), "order_status",
@@ -182,15 +183,20 @@ def sales_by_category(orders: DataFrame, items: DataFrame, products: DataFrame)
 def merge_orders(orders: DataFrame, changes: DataFrame, order, as_of: datetime) -> DataFrame:
     """Upsert: known orders are updated, unknown ones inserted under new keys; two changes of a known order fail."""
     tax = lambda amount: F.round(amount * F.lit(0.1).cast("decimal(2,1)"), 2)
-    known = one_per_key(changes.filter(c("order_id").isNotNull()), "order_id")
-    renamed = known.select("order_id", F.lit(True).alias("_hit"), *(c(x).alias(f"new_{x}") for x in changes.columns if x != "order_id"))
-    df = orders.withColumn("upd_date", F.lit(None).cast("timestamp_ntz")).join(renamed, "order_id", "left")
-    matched = replace_columns(df, c("_hit"), {
+    new = [x for x in changes.columns if x != "order_id"]
+    known = one_per_key(changes.filter(c("order_id").isNotNull()), "order_id").withColumn("_new", F.lit(True))
+    # changes without a key meet no order, and are all inserted
+    keyless = changes.filter(c("order_id").isNull()).withColumn("_new", F.lit(True))
+    renamed = known.unionByName(keyless).select("order_id", "_new", *(c(x).alias(f"new_{x}") for x in new))
+    met = orders.withColumn("_old", F.lit(True)).join(renamed, "order_id", "full_outer").withColumn("upd_date", F.lit(None).cast("timestamp_ntz"))
+    # both sides of the join are needed, and it is run once
+    met = stage(met, "merged")
+    matched = replace_columns(met.filter("_old"), c("_new"), {
         "total_amount": c("new_total_amount"), "tax_amount": tax(c("new_total_amount")),
         "order_status": F.coalesce("new_order_status", "order_status"), "remarks": F.coalesce("new_remarks", "remarks"),
         "upd_date": stamp(as_of)}).select(*orders.columns, "upd_date")
-    unknown = changes.join(orders.select("order_id"), "order_id", "left_anti")
-    inserted = assign_keys(unknown, order, "order_id", orders).select(
+    unknown = met.filter(c("_old").isNull()).select("order_id", *(c(f"new_{x}").alias(x) for x in new))
+    inserted = assign_keys(unknown, order, "order_id", matched).select(
         "order_id", "customer_id", F.lit(as_of.date()).alias("order_date"), "total_amount", tax(c("total_amount")).alias("tax_amount"),
         O.nvl(c("order_status"), "PENDING").alias("order_status"), "payment_method", "remarks", stamp(as_of).alias("created_at"))
     return append_aligned(matched, inserted)

@@ -20,7 +20,7 @@ c = F.col
 def order_summary(orders: DataFrame, customers: DataFrame) -> DataFrame:
     tax = O.nvl(c("tax_amount"), F.lit(0))
     # the join keeps or drops whole customers, so ranks may come first
-    by_amount = ranked(orders, ["customer_id"], [("total_amount", "desc")], ["order_id"], {"amount_rank": ("rank",)})
+    by_amount = ranked(orders, ["customer_id"], [("total_amount", "desc")], ["order_id"], {"amount_rank": ("rank",)}, split=False)
     return by_amount.join(customers.select("customer_id", "customer_name", "customer_type"), "customer_id").select(
         "order_id", "customer_name", O.decode(c("customer_type"), *L.CUSTOMER_TYPE, L.OTHER).alias("cust_type"),
         O.to_char_date(c("order_date")).alias("order_date_str"), "total_amount", tax.alias("tax_amount"),
@@ -131,4 +131,4 @@ def check_windows(orders: DataFrame) -> DataFrame:
 
 def check_lists(orders: DataFrame, part_rows: int = 10_000) -> DataFrame:
     items = orders.select("customer_id", "order_id", "order_date", c("order_id").cast("string").alias("id_text"))
-    return listagg_parts(items, ["customer_id"], {"order_list": "id_text"}, ["order_date"], ["order_id"], part_rows=part_rows).drop("items")
+    return listagg_parts(items, ["customer_id"], {"order_list": "id_text"}, ["order_date"], ["order_id"], part_rows=part_rows, split=False).drop("items")

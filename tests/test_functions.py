@@ -1,4 +1,4 @@
-from datetime import date
+from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
@@ -90,3 +90,10 @@ def test_like_has_wildcards_and_no_escape(spark):
 def test_add_months_keeps_month_end_and_time(spark):
     row = spark.sql("SELECT timestamp_ntz'2001-02-28 13:45:00' AS a, timestamp_ntz'2001-03-30 08:00:00' AS b").select(O.add_months_at(F.col("a"), -12).alias("a"), O.add_months_at(F.col("b"), -1).alias("b")).first()
     assert str(row.a) == "2000-02-29 13:45:00" and str(row.b) == "2001-02-28 08:00:00"
+
+
+def test_to_timestamp(spark):
+    df = spark.createDataFrame([("2024-02-29 23:05:07", "29.02.2024", "2024-02-29")], "a string, b string, c string")
+    r = df.select(O.to_timestamp(F.col("a")).alias("a"), O.to_timestamp(F.col("b"), "DD.MM.YYYY").alias("b"), O.to_timestamp(F.col("c"), "YYYY-MM-DD").alias("c"))
+    assert dict(r.dtypes) == dict.fromkeys("abc", "timestamp_ntz")
+    assert tuple(r.first()) == (datetime(2024, 2, 29, 23, 5, 7), datetime(2024, 2, 29), datetime(2024, 2, 29))

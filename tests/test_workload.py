@@ -1,5 +1,5 @@
 import random
-from datetime import datetime
+from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
@@ -117,3 +117,22 @@ def test_cycles(spark):
         with pytest.raises(ValueError):
             employee.walk_tree(df, df.filter(c("employee_id") == start), ["employee_name"])
     assert employee.walk_tree(df, df.filter("employee_id = 12345"), ["employee_name"]).count() == 0
+
+
+def test_last_changes_that_tie(spark):
+    ddl = "k long, seq long, v string, w int"
+    tied = spark.createDataFrame([(1, 5, "a", 1), (1, 5, "b", 1), (1, 4, "c", 1)], ddl)
+    with pytest.raises(Exception, match="several last changes of 1"):
+        common.latest_per_key(tied, ["k"], "seq").collect()
+    alike = spark.createDataFrame([(1, 5, "a", None), (1, 5, "a", None), (1, 4, "c", 1), (None, None, "x", 2), (None, 1, "y", 3)], ddl)
+    assert {(r.k, r.v, r.w) for r in common.latest_per_key(alike, ["k"], "seq").collect()} == {(1, "a", None), (None, "y", 3)}
+
+
+def test_merge_meets_orders_once(spark):
+    when = datetime(2024, 5, 6)
+    orders = spark.createDataFrame([(k, 7, date(2024, 1, 1), Decimal("10.00"), Decimal("1.00"), "PENDING", "CARD", None, when) for k in (1, 2)],
+                                   "order_id long, customer_id long, order_date date, total_amount decimal(14,2), tax_amount decimal(14,2), order_status string, payment_method string, remarks string, created_at timestamp_ntz")
+    changes = spark.createDataFrame([(1, 7, Decimal("20.00"), None, "CASH", "r"), (None, 8, Decimal("30.00"), "PAID", "CASH", None), (99, 9, Decimal("40.00"), None, "CARD", None)],
+                                    "order_id long, customer_id long, total_amount decimal(14,2), order_status string, payment_method string, remarks string")
+    got = {r.order_id: (r.customer_id, str(r.total_amount), str(r.tax_amount), r.order_status, r.remarks) for r in order.merge_orders(orders, changes, ["customer_id"], when).collect()}
+    assert got == {1: (7, "20.00", "2.00", "PENDING", "r"), 2: (7, "10.00", "1.00", "PENDING", None), 3: (8, "30.00", "3.00", "PAID", None), 4: (9, "40.00", "4.00", "PENDING", None)}
