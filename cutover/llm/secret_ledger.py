@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from cutover.llm.common import with_columns_by_batch
 
-LEDGER_DDL = "blob string, rules array<string>, found array<struct<start:long,place:long,kind:string,stop:long>>"
+FOUND_DDL = "array<struct<start:long,place:long,kind:string,stop:long,rule:string>>"
+LEDGER_DDL = f"blob string, rules array<string>, found {FOUND_DDL}"
 
 
 @dataclass(frozen=True)
@@ -89,27 +90,28 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
         for t, these in zip(texts, names, strict=True):
             # the place of a rule among all rules, not among those that are new
             hit = spans(t, tuple(r if r.name in these else Rule(r.kind, r.version, r"(?!)") for r in rules))
-            out.append(([{"start": a, "place": p, "kind": k, "stop": b} for a, p, k, b in hit],))
+            out.append(([{"start": a, "place": p, "kind": k, "stop": b, "rule": rules[p].name} for a, p, k, b in hit],))
         return out
 
-    return with_columns_by_batch(blobs, "found array<struct<start:long,place:long,kind:string,stop:long>>", rows, ("text", "rules"), drop=("text",))
+    return with_columns_by_batch(blobs, f"found {FOUND_DDL}", rows, ("text", "rules"), drop=("text",))
 
 
 def join_back(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """Append ``found`` to every version: what the given rules found in its blob, by start and place.
 
     A version whose blob has no findings, or isn't in the ledger yet, gets an
-    empty list.  Findings of rule versions that aren't asked for don't count.
+    empty list.  Findings carry the rule version that made them; those of
+    versions that aren't asked for don't count, whatever else the blob was
+    scanned with.  Spans of one start are listed in the order of ``rules``.
     """
-    names = [r.name for r in rules]
-    hits = ledger.filter(F.size("found") > 0).filter(F.arrays_overlap("rules", F.array(*(F.lit(n) for n in names))))
-    kinds = F.array(*(F.lit(r.kind) for r in rules))
-    hits = hits.groupBy("blob").agg(F.array_sort(F.array_distinct(F.filter(F.flatten(F.collect_list("found")), lambda s: F.array_contains(kinds, s["kind"])))).alias("found"))
+    names = F.array(*(F.lit(r.name) for r in rules))
+    asked = F.filter(F.flatten(F.collect_list("found")), lambda s: F.array_contains(names, s["rule"]))
+    placed = F.transform(asked, lambda s: F.struct(s["start"].alias("start"), (F.array_position(names, s["rule"]) - 1).alias("place"), s["kind"].alias("kind"), s["stop"].alias("stop"), s["rule"].alias("rule")))
+    hits = ledger.filter(F.size("found") > 0).groupBy("blob").agg(F.array_sort(F.array_distinct(placed)).alias("found"))
     rest = [c for c in versions.columns if c.lower() not in {"blob", "found"}]
     keyed = versions.select(*rest, blob_of(F.col(text)).alias("blob"))
-    empty = F.array().cast("array<struct<start:long,place:long,kind:string,stop:long>>")
     # one blob may have very many versions: a large side that is split where it is skewed
-    return keyed.join(hits, "blob", "left").withColumn("found", F.coalesce("found", empty))
+    return keyed.join(hits, "blob", "left").withColumn("found", F.coalesce("found", F.array().cast(FOUND_DDL)))
 
 
 def listed(found: Column) -> Column:
