@@ -6,7 +6,7 @@ the language.  A text is cut into windows that cover all of it; the windows'
 probabilities, weighted by their bytes, add up to the text's.
 
 The network is fitted on the driver on a bounded sample of labelled rows
-(``SAMPLE_ROWS``, of each language the same number of rows, at most
+(``SAMPLE_ROWS``, of each language the same number of distinct texts, at most
 ``SAMPLE_PER_LANG``, or all it has; at most ``WINDOWS_PER_ROW`` windows of each) and travels to the tasks as its weights.
 """
 
@@ -136,24 +136,28 @@ def rows_of_each(counts: list[int]) -> int:
 def trained(df: DataFrame, text: str = "text", lang: str = "lang") -> Network | None:
     """A network fitted on a sample of the rows that have a language and a text; None without such rows.
 
-    Rows are picked by a hash of the text, the first ones of each language, so
-    the sample doesn't depend on partitions.
+    Texts are picked by their hash, the first distinct ones of each language, so
+    the sample depends neither on partitions nor on how often a text is repeated,
+    and a language of a few texts has them all in the sample.
     """
     rows = df.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter("lang IS NOT NULL AND length(text) > 0")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_ROWS).collect()  # no more languages than sampled rows
+    rows = rows.withColumn("_hash", F.xxhash64("text", F.lit("sample")))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("_hash").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_ROWS).collect()  # no more languages than sampled rows
     if not counts:
         return None
-    each = rows_of_each([r["count"] for r in counts])
-    # a threshold that about twice as many rows are below leaves few to rank and hardly ever too few
+    each = rows_of_each([r.n for r in counts])
+    # a threshold that about twice as many texts are below leaves few to rank and hardly ever too few, also where the count is 10 % off
     steps = 1 << 30
-    below = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(steps, steps * (2 * each + 50) // r["count"] + 1))))
-    place = F.shiftrightunsigned(F.xxhash64("text", F.lit("sample")), 34)
+    below = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(steps, steps * (2 * each + 50) // max(1, r.n) + 1))))
     size = F.length("text")
     middle = F.greatest(F.lit(1), F.floor((size - WINDOW) / 2).cast("int"))
     parts = F.array(F.substring("text", 1, WINDOW), F.col("text").substr(middle, F.lit(WINDOW)), F.col("text").substr(F.greatest(F.lit(1), size - WINDOW + 1), F.lit(WINDOW)))
-    picked = rows.withColumn("_place", place).filter(F.col("_place") < below[F.col("lang")]).select("_place", "lang", parts.alias("parts"))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("_place", "parts"))
-    picked = picked.withColumn("_k", first).filter(F.col("_k") <= each).orderBy("_place", "lang", "parts").collect()
+    place = F.shiftrightunsigned("_hash", 34)
+    picked = rows.filter(place < below[F.col("lang")]).select("lang", place.alias("_place"), "_hash", parts.alias("parts"))
+    # copies of a text collapse where they are read
+    picked = picked.groupBy("lang", "_place", "_hash").agg(F.min("parts").alias("parts"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("_place", "_hash"))
+    picked = picked.withColumn("_k", first).filter(F.col("_k") <= each).orderBy("_place", "lang", "_hash").collect()
     languages = sorted({r.lang for r in picked})
     windows, labels = [], []
     for r in picked:

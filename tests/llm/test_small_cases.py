@@ -71,6 +71,18 @@ def test_secret_ledger_scans_only_what_is_new(spark):
     assert {r.path: [s.kind for s in r.found] for r in found} == {"a": ["assign"], "b": ["assign"], "c": ["word"]}
 
 
+def test_findings_of_replaced_rule_versions_do_not_come_back(spark):
+    docs = spark.createDataFrame([(1, 'token = "abcdefgh1" ' + "0f" * 16), (2, "AKIA" + "A" * 12), (3, None)], "doc_id long, text string")
+    ledger = secret_ledger.scan(docs)
+    assign, *others = secret_ledger.RULES
+    newer = (*others, secret_ledger.Rule("assign", 2, assign.pattern.replace("token", "tokens"), 2, 8, assign.needs))
+    both = ledger.unionByName(secret_ledger.scan(docs, ledger, newer)).cache()
+    kinds = lambda rules: {r.doc_id: [(s.kind, s.rule) for s in r.found] for r in secret_ledger.join_back(docs, both, rules).collect()}
+    assert kinds(newer) == {1: [("hex", "hex/1")], 2: [("access", "access/1")], 3: []}
+    assert kinds(secret_ledger.RULES) == {1: [("assign", "assign/1"), ("hex", "hex/1")], 2: [("access", "access/1")], 3: []}
+    assert all(r.found == [] for r in secret_ledger.join_back(docs, both.limit(0)).collect())
+
+
 def test_secret_spans_by_brute_force():
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
     pick = random.Random(5)
@@ -210,6 +222,18 @@ def test_every_language_has_its_share_of_the_sample(spark, monkeypatch):
     assert language_cnn.rows_of_each([7] * 3) == language_cnn.rows_of_each([50, 30]) == 25 and language_cnn.rows_of_each([90, 80, 2, 90, 90, 90]) == 19
 
 
+@pytest.mark.parametrize("salt", range(4))
+def test_languages_of_a_few_texts_are_sampled(spark, monkeypatch, salt):
+    """Repeated rows neither crowd out other texts nor hide a language that has only a few."""
+    seen = []
+    monkeypatch.setattr(language_cnn, "SAMPLE_ROWS", 90)
+    monkeypatch.setattr(language_cnn, "SAMPLE_PER_LANG", 30)
+    monkeypatch.setattr(language_cnn.Network, "fit", lambda self, windows, labels: seen.append([self.languages[k] for k in labels]))
+    rows = [(f"few {salt} {k % 3}", "few") for k in range(9000)] + [(f"many {salt} {k}", "many") for k in range(4000)] + [(f"hot {salt}", "many")] * 3000
+    language_cnn.trained(spark.createDataFrame(rows, "text string, lang string").repartition(4))
+    assert (seen[0].count("few"), seen[0].count("many")) == (3, 30)
+
+
 def _left(texts, least):
     """Lines that stay, by trying every run of every document."""
     lines = [[(i, x.strip()) for i, x in enumerate(t.split("\n")) if x.strip()] for t in texts]
