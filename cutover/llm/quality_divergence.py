@@ -8,7 +8,11 @@ closest reference.  Medians keep what junk there is out of the reference.
 
 References of frequent languages travel to the tasks, and every document is
 compared with them.  Those of rare languages stay a table; documents of such a
-language are compared with its own one, too.
+language are compared with its own one, too, from which the document itself is
+taken out first, so that a few documents don't vouch for themselves.  Words are
+only compared with references of ``LEAST_WORDS`` words.  Below that a language
+has its character classes, and those of the frequent languages with letters of
+all scripts as one class: other languages' words never reject its documents.
 """
 
 from __future__ import annotations
@@ -30,8 +34,8 @@ from cutover.session import stage
 COMMON_PARTS = 1000
 #: A language is frequent if it has at least one in so many words of the corpus: at most so many are.
 LANGUAGE_PARTS = 200
-#: A rare language has a reference if so many of its documents pass the base rules; with fewer, one would only show the documents themselves.
-LEAST_DOCUMENTS = 30
+#: Words of a rare language's reference are compared from so many on, so that a common word stands for 20 occurrences.
+LEAST_WORDS = 20 * COMMON_PARTS
 #: Histograms of short documents say little, so the limit on the distance depends on the
 #: length: (least number of code points, highest distance), and below the last one none is judged.
 CHAR_LIMITS = ((240, 0.16), (60, 0.27))
@@ -83,15 +87,17 @@ def base_counts(text: str) -> tuple[tuple, np.ndarray, bytes]:
 
 
 def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per language: documents by class and share (kind c), words (kind w), number of words (kind n) and of documents (kind d)."""
+    """Per language: documents by class and share (kind c), words (kind w), and number of words (kind n)."""
     words: dict[str, Counter] = defaultdict(Counter)
-    shares: dict[str, np.ndarray] = defaultdict(lambda: np.zeros((len(CLASSES), SHARE_STEPS + 1), np.int64))
+    shares: dict[str, Counter] = defaultdict(Counter)
     sums: Counter = Counter()
-    docs: Counter = Counter()
 
     def rows():
         found = [(lang, "w", w.decode("utf-8", "replace"), n) for lang, c in words.items() for w, n in c.items()]
-        words.clear()
+        found += [(lang, "c", f"{at // (SHARE_STEPS + 1)}:{at % (SHARE_STEPS + 1)}", n) for lang, c in shares.items() for at, n in c.items()]
+        found += [(lang, "n", "", n) for lang, n in sums.items()]
+        for kept in (words, shares, sums):
+            kept.clear()
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate((pa.string(),) * 3 + (pa.int64(),))], names=["lang", "kind", "key", "n"])
 
     for batch in batches:
@@ -102,21 +108,28 @@ def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             plain = data.translate(_PLAIN).split()
             words[lang].update(plain)
             sums[lang] += len(plain)
-            docs[lang] += 1
-            shares[lang][np.arange(len(CLASSES)), np.rint(by_class * (SHARE_STEPS / by_class.sum())).astype(int)] += 1
-        if sum(map(len, words.values())) > COUNTER_ENTRIES:
+            shares[lang].update((_FIRST_STEP + _steps(by_class)).tolist())
+        if sum(map(len, words.values())) + sum(map(len, shares.values())) > COUNTER_ENTRIES:
             yield rows()
     yield rows()
-    found = [(lang, "c", f"{k}:{at}", int(v[k, at])) for lang, v in shares.items() for k, at in zip(*map(np.ndarray.tolist, np.nonzero(v)), strict=True)]
-    found += [(lang, kind, "", n) for kind, of in (("n", sums), ("d", docs)) for lang, n in of.items()]
-    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate((pa.string(),) * 3 + (pa.int64(),))], names=["lang", "kind", "key", "n"])
+
+
+#: Place of each class's first share among all steps of all classes.
+_FIRST_STEP = np.arange(len(CLASSES)) * (SHARE_STEPS + 1)
+
+
+def _steps(by_class: np.ndarray) -> np.ndarray:
+    """The share of each class, in steps."""
+    return np.rint(by_class * (SHARE_STEPS / by_class.sum())).astype(np.int64)
 
 
 Reference = tuple[np.ndarray, dict[bytes, int], np.ndarray]
+#: Documents by class and step, common words, and the number of all words.
+Counts = tuple[np.ndarray, dict[bytes, int], int]
 
 
-def _reference(rows: Iterable[tuple[str, str, int]]) -> Reference:
-    """Shares of character classes, index of common words, their shares and that of all others, from (kind, key, n)."""
+def _counts(rows: Iterable[tuple[str, str, int]]) -> Counts:
+    """What (kind, key, n) say of one language."""
     classes, words, total = np.zeros((len(CLASSES), SHARE_STEPS + 1), np.int64), {}, 0
     for kind, key, n in rows:
         if kind == "c":
@@ -126,21 +139,44 @@ def _reference(rows: Iterable[tuple[str, str, int]]) -> Reference:
             words[key.encode()] = n
         elif kind == "n":
             total = n
+    return classes, words, total
+
+
+def _reference(counts: Counts) -> Reference:
+    """Shares of character classes, index of common words, their shares and that of all others."""
+    classes, words, total = counts
     keys = sorted(words)
     shares = np.array([words[k] for k in keys] + [total - sum(words.values())], float)
+    return _medians(classes), {k: i for i, k in enumerate(keys)}, shares / shares.sum()
+
+
+def _medians(classes: np.ndarray) -> np.ndarray:
     so_far = np.cumsum(classes, axis=1)
     medians = (2 * so_far < so_far[:, -1:]).sum(axis=1)  # the first step with half of the documents at or below it
-    return medians / medians.sum(), {k: i for i, k in enumerate(keys)}, shares / shares.sum()
+    return medians / max(1, medians.sum())
+
+
+def _less(counts: Counts, by_class: np.ndarray, plain: list[bytes]) -> tuple[np.ndarray | None, Counts | None]:
+    """Class shares of a language without one of its documents, None if no other is left, and its counts if they still have enough words."""
+    classes, words, total = counts
+    classes = classes.copy()
+    classes[np.arange(len(CLASSES)), _steps(by_class)] -= 1
+    medians = _medians(classes) if classes[0].any() else None
+    total -= len(plain)
+    if total < LEAST_WORDS:
+        return medians, None
+    own = Counter(plain)
+    left = {w: n - own[w] for w, n in words.items()}
+    return medians, (classes, {w: n for w, n in left.items() if n * COMMON_PARTS >= total}, total)
 
 
 def language_references(df: DataFrame, text: str = "text", lang: str = "lang") -> tuple[dict[str, Reference], DataFrame | None]:
-    """The references of frequent languages by name, and a table (lang, _reference) of the others; None if there are none.
+    """The references of frequent languages by name, and a table (lang, _counts) of the others; None if there are none.
 
     Counts cover all rows whose language isn't null and whose text passes the
     base rules.  What comes back is bounded by ``COMMON_PARTS`` words in each
     of ``LANGUAGE_PARTS`` languages; if no language is frequent, that many of
-    the most frequent ones count as such.  A rare language of fewer than
-    ``LEAST_DOCUMENTS`` documents has no reference.  An empty table gives none.
+    the most frequent ones count as such.  An empty table gives none.
     """
     tallies = df.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).mapInArrow(_tallies, "lang string, kind string, key string, n long")
     tallies = stage(tallies.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "quality-tallies")
@@ -155,19 +191,27 @@ def language_references(df: DataFrame, text: str = "text", lang: str = "lang") -
     # at most LANGUAGE_PARTS rows are broadcast
     for row in tallies.join(F.broadcast(totals.filter(F.col("lang").isin(names))), "lang").filter(is_common).select("lang", "kind", "key", "n").collect():
         found[row.lang].append((row.kind, row.key, row.n))
-    frequent = {name: _reference(rows) for name, rows in sorted(found.items())}
-    enough = tallies.filter((F.col("kind") == "d") & (F.col("n") >= LEAST_DOCUMENTS) & ~F.col("lang").isin(names)).select("lang")
-    rare = totals.join(enough, "lang")
+    frequent = {name: _reference(_counts(rows)) for name, rows in sorted(found.items())}
+    rare = totals.filter(~F.col("lang").isin(names))
     if rare.isEmpty():
         return frequent, None
 
     def made(table: pa.Table) -> pa.Table:
         rows = zip(*(table.column(c).to_pylist() for c in ("kind", "key", "n")), strict=True)
-        return pa.table({"lang": table.column("lang")[:1], "_reference": pa.array([pickle.dumps(_reference(rows))], pa.binary())})
+        classes, words, total = _counts(rows)
+        at = np.flatnonzero(classes)
+        return pa.table({"lang": table.column("lang")[:1], "_counts": pa.array([pickle.dumps((at, classes.ravel()[at], words, total))], pa.binary())})
 
     # a group has COMMON_PARTS words and the steps of the classes at most
     kept = tallies.join(rare, "lang").filter(is_common).select("lang", "kind", "key", "n")
-    return frequent, stage(kept.groupBy("lang").applyInArrow(made, "lang string, _reference binary"), "quality-references")
+    return frequent, stage(kept.groupBy("lang").applyInArrow(made, "lang string, _counts binary"), "quality-references")
+
+
+def _read_counts(data: bytes) -> Counts:
+    at, n, words, total = pickle.loads(data)
+    classes = np.zeros((len(CLASSES), SHARE_STEPS + 1), np.int64)
+    classes.ravel()[at] = n
+    return classes, words, total
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> float:
@@ -182,27 +226,47 @@ def limit_for(length: int, limits: tuple) -> float | None:
     return next((most for least, most in limits if length >= least), None)
 
 
-def _judge(text: str, references: dict) -> tuple:
+def _one_script(shares: np.ndarray) -> np.ndarray:
+    """Class shares with letters outside of ASCII among the small ones."""
+    out = shares.copy()
+    out[CLASSES.index("small")] += out[CLASSES.index("wide")]
+    out[CLASSES.index("wide")] = 0
+    return out
+
+
+def _judge(text: str, references: dict, rare: str | None = None, own: Counts | None = None) -> tuple:
+    """Counts and verdict of a text; ``rare`` is its language if that isn't a frequent one, and ``own`` what is known of it."""
     counts, by_class, data = base_counts(text)
     nearest, chars, words = None, None, None
-    if references:
-        total = int(by_class.sum())
-        plain = data.translate(_PLAIN).split()
-        most_chars, most_words = limit_for(total, CHAR_LIMITS), limit_for(len(plain), WORD_LIMITS)
-        best = math.inf
-        for name, (classes, index, shares) in references.items():
-            c = distance(by_class / total, classes) if most_chars else None
-            w = None
-            if most_words:
-                other = len(index)
-                w = distance(np.bincount([index.get(x, other) for x in plain], minlength=other + 1) / len(plain), shares)
-            far = max(c / most_chars if most_chars else 0.0, w / most_words if most_words else 0.0)
-            if far < best:
-                best, nearest, chars, words = far, name, c, w
-        kept = not counts[-1] and best <= 1
-    else:
-        kept = not counts[-1]
-    return (*counts, nearest, chars, words, kept)
+    if not references:
+        return (*counts, nearest, chars, words, not counts[-1])
+    total = int(by_class.sum())
+    plain = data.translate(_PLAIN).split()
+    most_chars, most_words = limit_for(total, CHAR_LIMITS), limit_for(len(plain), WORD_LIMITS)
+    own_classes = None
+    if own is not None and not counts[-1]:
+        own_classes, left = _less(own, by_class, plain)
+        if left:
+            references, rare = {**references, rare: _reference(left)}, None
+    best = math.inf
+    for name, (classes, index, shares) in references.items():
+        c = distance(by_class / total, classes) if most_chars else None
+        w = None
+        if most_words:
+            other = len(index)
+            w = distance(np.bincount([index.get(x, other) for x in plain], minlength=other + 1) / len(plain), shares)
+        far = max(c / most_chars if most_chars else 0.0, w / most_words if most_words else 0.0)
+        if far < best:
+            best, nearest, chars, words = far, name, c, w
+    if best > 1 and rare is not None and most_chars:
+        # too few words to compare with: the classes alone, of its own language or of any
+        alike = [(rare, distance(by_class / total, own_classes))] if own_classes is not None else []
+        alike += [(name, distance(_one_script(by_class / total), _one_script(classes))) for name, (classes, _, _) in references.items()]
+        for name, c in alike:
+            if c <= most_chars:
+                best, nearest, chars, words = c / most_chars, name, c, None
+                break
+    return (*counts, nearest, chars, words, not counts[-1] and best <= 1)
 
 
 def judged(df: DataFrame, text: str = "text", lang: str = "lang", references: dict | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
@@ -212,27 +276,30 @@ def judged(df: DataFrame, text: str = "text", lang: str = "lang", references: di
     is kept if it passes the base rules and neither distance from the closest
     reference is above its limit.  Distances of documents shorter than the
     guards are null and don't count.  A document is compared with the
-    references of all frequent languages and that of its own; one without
-    language, or whose language has no reference, with those of all frequent ones.
-    References come from ``df`` itself unless given.  Repeated rows are judged alike.
+    references of all frequent languages and that of its own, less the document
+    itself where the language is rare; one without language with those of all
+    frequent ones.  If a rare language has fewer than ``LEAST_WORDS`` other
+    words, its documents are also kept if their character classes alone are
+    close to its own, or to a frequent language's with letters of all scripts
+    as one class; ``word_distance`` is null then.  References come from ``df`` itself unless given.  Repeated rows are judged alike.
     """
     known, rare = language_references(df, text, lang) if references is None else (references, None)
     if rare is None:
         return with_columns_by_batch(df, VERDICT_DDL, lambda texts: [_judge(t or "", known) for t in texts], (text,), drop)
 
     def rows(texts: list, langs: list, own: list) -> list[tuple]:
-        read: dict[str, Reference] = {}
+        read: dict[str, Counts] = {}
         out = []
         for t, g, data in zip(texts, langs, own, strict=True):
             if data is not None and g not in read:
-                read[g] = pickle.loads(data)
-            out.append(_judge(t or "", known if data is None else {**known, g: read[g]}))
+                read[g] = _read_counts(data)
+            out.append(_judge(t or "", known, None if g in known else g, read.get(g)))
         return out
 
-    df = without(df, ["_own", "_reference"])
+    df = without(df, ["_own", "_counts"])
     name = F.col(lang).cast("string")
     frequent = F.coalesce(name.isin(list(known)), F.lit(True))
-    plain = df.filter(frequent).withColumn("_own", name).withColumn("_reference", F.lit(None).cast("binary"))
+    plain = df.filter(frequent).withColumn("_own", name).withColumn("_counts", F.lit(None).cast("binary"))
     others = df.filter(~frequent).withColumn("_own", name)
     others = others.join(rare.withColumnRenamed("lang", "_of"), F.col("_own") == F.col("_of"), "left").select(*plain.columns)
-    return with_columns_by_batch(plain.unionByName(others), VERDICT_DDL, rows, (text, "_own", "_reference"), (*drop, "_own", "_reference"))
+    return with_columns_by_batch(plain.unionByName(others), VERDICT_DDL, rows, (text, "_own", "_counts"), (*drop, "_own", "_counts"))

@@ -364,7 +364,23 @@ def test_quality_judges_rare_languages_too(spark):
     rows = [(k, clean("en", 9000), "en") for k in range(150)] + [(k, clean("fi"), "fi") for k in range(200, 232)] + [(240, junk(1), "fi"), (241, junk(2), "xx"), (242, clean("en"), "xx"), (243, junk(3), None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
     frequent, rare = quality_divergence.language_references(docs)
-    assert list(frequent) == ["en"] and [r.lang for r in rare.collect()] == ["fi"]
+    assert list(frequent) == ["en"] and sorted(r.lang for r in rare.collect()) == ["fi", "xx"]
     out = {r.doc_id: r for r in quality_divergence.judged(docs).collect()}
     assert len(out) == len(rows) and all(out[k].kept and out[k].nearest_lang == "fi" for k in range(200, 232))
     assert [out[k].kept for k in (240, 241, 242, 243)] == [False, False, True, False] and out[241].word_distance is not None
+
+
+@pytest.mark.parametrize("n", [1, 2, 29, 30, 31, 150])
+def test_quality_keeps_clean_documents_of_languages_of_any_size(spark, monkeypatch, n):
+    """Clean documents stay, and junk by its characters goes, however many there are of the language, and whatever its script."""
+    monkeypatch.setattr(quality_divergence, "LANGUAGE_PARTS", 20)
+    pick = random.Random(23)
+    words = {"en": ["the", "of", "and", "in"], "fi": ["ja", "on", "ei", "se"], "ru": ["это", "не", "как", "был"]}
+    words = {g: w + [w[j] + f"{v}x{k}" for j in range(3) for k in range(2) for v in "abcdefghij"[: 1 + k]] for g, w in words.items()}
+    clean = lambda g: " ".join(pick.choice(words[g]) for _ in range(150)) + "."
+    rows = [(k, " ".join(clean("en") for _ in range(50)), "en") for k in range(80)] + [(2000 + k, clean("fi"), "fi") for k in range(n)] + [(3000 + k, clean("ru"), "ru") for k in range(n)]
+    rows += [(4000, " | ".join(f"ZZ{j}Q" for j in range(150)), "fi"), (4001, " | ".join(f"#{j}$" for j in range(150)), "zz"), (4002, clean("en"), "fi"), (4003, clean("fi"), "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    assert list(quality_divergence.language_references(docs)[0]) == ["en"]
+    kept = {r.doc_id for r in quality_divergence.judged(docs).filter("kept").collect()}
+    assert kept == {r[0] for r in rows} - {4000, 4001}
