@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +37,16 @@ BLANKS = " \t\n\r\f\x0b"
 # Marks where a token starts; the text's own marks are told from it by the sign behind them.
 MARK, OWN = "\x01", "\x01\x02"
 
+#: Characters of files whose parsed form a task holds at once; a longer file is held by itself.
+TURN_CHARS = 1 << 20
+
 PARSED = ("file string, ok boolean, error string, root string, namespace string, type_names array<string>, "
           "fragments array<struct<pos:int,sql_id:string,statement_type:string,has_id:boolean,content:string,"
           "elements:array<struct<kind:string,test:string,collection:string,when_tests:array<string>,has_otherwise:boolean,text:string>>>>")
+_TEXTS = pa.list_(pa.string())
+_ELEMENT = pa.struct([("kind", pa.string()), ("test", pa.string()), ("collection", pa.string()), ("when_tests", _TEXTS), ("has_otherwise", pa.bool_()), ("text", pa.string())])
+_FRAGMENT = pa.struct([("pos", pa.int32()), ("sql_id", pa.string()), ("statement_type", pa.string()), ("has_id", pa.bool_()), ("content", pa.string()), ("elements", pa.list_(_ELEMENT))])
+_PARSED_TYPES = {"file": pa.string(), "ok": pa.bool_(), "error": pa.string(), "root": pa.string(), "namespace": pa.string(), "type_names": _TEXTS, "fragments": pa.list_(_FRAGMENT)}
 
 
 # ---- tokens -------------------------------------------------------------------
@@ -111,14 +119,33 @@ def _parse(name: str, text: str, with_fragments: bool) -> tuple:
     return name, True, None, root.tag, root.get("namespace"), types, fragments
 
 
+def _turns(batch: pa.RecordBatch) -> Iterator[list[tuple[str, str]]]:
+    """The files of a batch, about TURN_CHARS characters at a time."""
+    sizes = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()
+    at = 0
+    while at < len(sizes):
+        stop, chars = at, 0
+        while stop < len(sizes) and (stop == at or chars + sizes[stop] <= TURN_CHARS):
+            chars += sizes[stop]
+            stop += 1
+        some = batch.slice(at, stop - at)
+        yield list(zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True))
+        at = stop
+
+
 def parse_files(files: DataFrame, with_fragments: bool = True) -> DataFrame:
-    """Parse every file once: health, type names and, unless told otherwise, top-level statements."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Parse every file once: health, type names and, unless told otherwise, top-level statements.
+
+    A statement stands several times in its parsed form, so a task passes that
+    on every TURN_CHARS characters, however many files a batch has.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame([_parse(n, t, with_fragments) for n, t in zip(batch["file"], batch["content"])],
-                               columns=["file", "ok", "error", "root", "namespace", "type_names", "fragments"])
+            for some in _turns(batch):
+                made = zip(*(_parse(n, t, with_fragments) for n, t in some), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(made, _PARSED_TYPES.values(), strict=True)], names=list(_PARSED_TYPES))
 
-    return files.select("file", "content").mapInPandas(run, PARSED)
+    return files.select("file", "content").mapInArrow(run, PARSED)
 
 
 def parse_health(parsed: DataFrame) -> DataFrame:

@@ -44,6 +44,23 @@ def test_parse(spark, files):
     parsed.unpersist()
 
 
+def test_a_task_holds_few_parsed_files(spark):
+    """Files of a batch are passed on some at a time, none is lost, and a file longer than a turn goes alone."""
+    note = "x" * (C.TURN_CHARS // 8)
+    made = [(f"d/M{i}.xml", f"<mapper><select id='q{i}'>{note * (12 if i == 20 else 1)}<if test='a'>#{{p{i}}}</if></select></mapper>") for i in range(40)]
+    made += [("d/bad.xml", "<mapper>"), ("d/empty.xml", "")]
+    files = spark.createDataFrame(made, "file string, content string").coalesce(1)
+    parsed = C.parse_files(files)
+
+    turns = [list(C._turns(b)) for b in files.toArrow().combine_chunks().to_batches()]
+    held = [some for of_batch in turns for some in of_batch]
+    assert [f for some in held for f in some] == made
+    assert all(len(some) == 1 or sum(len(t) for _, t in some) <= C.TURN_CHARS for some in held) and len(held) >= 5
+    got = {r.file: r for r in parsed.collect()}
+    assert len(got) == 42 and sum(r.ok for r in got.values()) == 40 and got["d/bad.xml"].fragments == []
+    assert all(got[f"d/M{i}.xml"].fragments[0].elements[0].test == "a" and got[f"d/M{i}.xml"].fragments[0].sql_id == f"q{i}" for i in range(40))
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([("f", "@a.B@isEmpty(x) @a.B@isEmpty(y) @nodot@m @a.C@ ${t.col,x} ${ t } ${@a.B@x} ${open exec Proc"), ("g", "nothing")], "file string, content string")
     assert {r.token: r.n for r in C.static_calls(df.withColumn("content", F.replace("content", F.lit("${@a.B@x}"), F.lit("")))).collect()} == {"@a.B@isEmpty": 2}
