@@ -16,6 +16,12 @@ role or name, and, outside an article, without blocks that are mostly links.
 No task holds a host.  Tasks align the trees they have, partial wrappers are
 aligned with one another a few at a time until one per host is left, and texts
 are counted by an ordinary aggregate.  Copies of a page count once.
+
+A wrapper of too many nodes gives up its rarest ones.  Whatever of a page then
+has no node in its host's wrapper is a node of its own, named by the node above
+it that has one and by the labels down from there, and an ordinary aggregate
+counts it and its texts like any other.  Such nodes are as many as the pages
+make them, so pages get the constant texts of theirs by a join of their own.
 """
 
 from __future__ import annotations
@@ -43,7 +49,7 @@ TAKEN, TAKEN_OF_BODY = 0.5, 0.9
 LINKED = 0.6
 #: Partial wrappers that one step aligns with one another, and hosts a task holds before it passes partial wrappers on.
 FAN_IN, HOSTS = 16, 2_000
-#: A wrapper of more nodes forgets those on fewer than this share of its pages; they can't be constant.
+#: A wrapper of more nodes gives up those on fewer than this share of its pages; they are then counted by name.
 NODES, RARE = 2_000, 0.02
 #: Levels of a tree; deeper elements count as their ancestor.  Siblings alike beyond ALIKE count as one.
 LEVELS, ALIKE = 60, 32
@@ -285,12 +291,12 @@ def regions(page: Page) -> tuple[list[bool], list[bool]]:
 
 
 class Node:
-    """A node of a page's tree or of a wrapper: label, pages it stands on, children."""
+    """A node of a page's tree or of a wrapper: label, pages it stands on, children; ``partial`` at a wrapper's root says that it gave up nodes."""
 
-    __slots__ = ("label", "n", "children", "texts", "at")
+    __slots__ = ("label", "n", "children", "texts", "at", "partial")
 
     def __init__(self, label: str, n: int = 1):
-        self.label, self.n, self.children, self.texts, self.at = label, n, [], [], -1
+        self.label, self.n, self.children, self.texts, self.at, self.partial = label, n, [], [], -1, False
 
     def size(self) -> int:
         return 1 + sum(c.size() for c in self.children)
@@ -388,15 +394,18 @@ def merge(a: Node, b: Node) -> Node:
         return out
 
     whole = join(a, b)
+    whole.partial = a.partial or b.partial
     if whole.size() > NODES:
-        _forget(whole, max(2, RARE * whole.n))
+        before = whole.size()
+        _give_up(whole, max(2, RARE * whole.n))
+        whole.partial = whole.partial or whole.size() < before
     return whole
 
 
-def _forget(node: Node, least: float) -> None:
+def _give_up(node: Node, least: float) -> None:
     node.children = [c for c in node.children if c.n >= least]
     for c in node.children:
-        _forget(c, least)
+        _give_up(c, least)
 
 
 def numbered(root: Node) -> Node:
@@ -422,8 +431,32 @@ def placed(tree: Node, wrapper: Node) -> dict[int, int]:
     return out
 
 
+def all_placed(tree: Node, wrapper: Node) -> dict[int, int]:
+    """``placed``, and a name of 64 bits for each other node: the wrapper's node above it, and the way down from there.
+
+    Siblings without a place that have the same label are told apart by their order.
+    """
+    out = placed(tree, wrapper)
+    todo = [(tree, "")]
+    if id(tree) not in out:
+        out[id(tree)] = text_hash(f"\n{tree.label}")
+    while todo:
+        node, way = todo.pop()
+        alike: dict[str, int] = {}
+        for c in node.children:
+            if id(c) in out:
+                todo.append((c, ""))
+                continue
+            alike[c.label] = k = alike.get(c.label, 0) + 1
+            down = f"{way or out[id(node)]}\n{c.label}\t{k}"
+            out[id(c)] = text_hash(down)
+            todo.append((c, str(out[id(c)])))
+    return out
+
+
 def packed(node: Node, texts: bool) -> list:
-    return [node.label, node.texts if texts else node.n, [packed(c, texts) for c in node.children]]
+    out = [node.label, node.texts if texts else node.n, [packed(c, texts) for c in node.children]]
+    return [*out, True] if node.partial else out
 
 
 def unpacked(data: list, texts: bool) -> Node:
@@ -431,6 +464,7 @@ def unpacked(data: list, texts: bool) -> Node:
     if texts:
         node.texts = data[1]
     node.children = [unpacked(c, texts) for c in data[2]]
+    node.partial = len(data) > 3
     return node
 
 
@@ -493,8 +527,11 @@ def _joined(wrappers: pa.Table) -> pa.Table:
 
 
 def induced(pages: DataFrame, url: str = "url", text: str = "html") -> DataFrame:
-    """(host, wrapper, constants): each host's wrapper and its constant texts as (node, hash of the text).
+    """(host, wrapper, constants, page, rest): each host's wrapper and its constant texts as (node, hash of the text).
 
+    For hosts whose wrapper gave up nodes there are more rows, one for each
+    distinct page with constant texts that have no node in the wrapper: the
+    host, the hash of the page, and these texts as (name, hash of the text).
     Pages without a host or without text have no part in it.
     """
     source = pages.select(host_of(F.col(url)).alias("host"), F.col(text).cast("string").alias("html")).filter("host is not null and html is not null")
@@ -509,39 +546,71 @@ def induced(pages: DataFrame, url: str = "url", text: str = "html") -> DataFrame
             break
     wrappers = stage(wrappers.select("host", "wrapper"), "wrappers")
 
+    def nodes_of(root: Node, whole: Node) -> Iterator[tuple[int, list[int | None]]]:
+        """The nodes of a page that have a place with their texts; null stands for the node itself where its pages are still to be counted."""
+        places, todo = (all_placed if whole.partial else placed)(root, whole), [root]
+        while todo:
+            node = todo.pop()
+            todo += node.children
+            if id(node) in places:
+                yield places[id(node)], [*set(node.texts), *([None] if whole.partial else [])]
+
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[str, Node]] = {}
         for batch in batches:
             rows = []
             for host, tree, wrapper in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                whole = _held(known, host, wrapper)
-                root = unpacked(json.loads(tree), True)
-                places, todo = placed(root, whole), [root]
-                while todo:
-                    node = todo.pop()
-                    todo += node.children
-                    if id(node) in places:
-                        rows += [(host, places[id(node)], h) for h in set(node.texts)]
+                for place, hashes in nodes_of(unpacked(json.loads(tree), True), _held(known, host, wrapper)):
+                    rows += [(host, place, h) for h in hashes]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["host", "node", "text"])
 
+    def rests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[str, Node]] = {}
+        for batch in batches:
+            rows = []
+            for host, page, text, wrapper in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                root, _ = tree_of(Page(text))
+                if root is not None:
+                    whole = _held(known, host, wrapper)
+                    inside = set(placed(root, whole).values())
+                    rows += [(host, page, place, h) for place, hashes in nodes_of(root, whole) if place not in inside for h in hashes if h is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["host", "page", "node", "text"])
+
     counted = trees.join(wrappers, "host").select("host", "tree", "wrapper").mapInArrow(texts, "host string, node long, text long").groupBy("host", "node", "text").agg(
         F.count(F.lit(1)).alias("pages"))
-    sizes = wrappers.mapInArrow(_sizes, "host string, node long, n long").filter(F.col("n") >= LEAST_PAGES)
-    constant = counted.filter(F.col("pages") > 1).join(sizes, ["host", "node"]).filter(F.col("pages") >= CONSTANT * F.col("n"))
-    listed = constant.groupBy("host").agg(F.collect_set(F.struct("node", "text")).alias("constants"))
-    return stage(wrappers.join(listed, "host", "left"), "wrapper-constants")
+    # a text on one page of LEAST_PAGES or more is never constant
+    counted = stage(counted.filter("pages > 1"), "wrapper-texts")
+    listed = wrappers.mapInArrow(_sizes, "host string, node long, n long, placed boolean, partial boolean")
+    # what a wrapper that gave up nodes knows of its pages is too little
+    sizes = listed.filter("not partial").select("host", "node", "n").unionByName(counted.filter("text is null").select("host", "node", F.col("pages").alias("n"))).filter(F.col("n") >= LEAST_PAGES)
+    constant = counted.filter("text is not null").join(sizes, ["host", "node"]).filter(F.col("pages") >= CONSTANT * F.col("n")).select("host", "node", "text")
+    constant = stage(constant.join(listed.select("host", "node", "placed"), ["host", "node"], "left"), "wrapper-constant-texts")
+    inside = constant.filter("placed").groupBy("host").agg(F.collect_set(F.struct("node", "text")).alias("constants"))
+    outside = constant.filter("placed is null").select("host", "node", "text")
+    # only pages of such hosts are read again
+    again = source.withColumn("page", page_of(F.col("html"))).join(outside.select("host").distinct(), "host", "left_semi").distinct().join(wrappers, "host")
+    rest = again.select("host", "page", "html", "wrapper").mapInArrow(rests, "host string, page string, node long, text long").join(outside, ["host", "node", "text"])
+    rest = rest.groupBy("host", "page").agg(F.collect_set(F.struct("node", "text")).alias("rest"))
+    return stage(wrappers.join(inside, "host", "left").unionByName(rest, allowMissingColumns=True), "wrapper-constants")
+
+
+def page_of(html: Column) -> Column:
+    """The hash by which a page is known."""
+    return F.sha2(html, 256)
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for host, wrapper in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            todo = [numbered(unpacked(json.loads(wrapper), False))]
+            root = numbered(unpacked(json.loads(wrapper), False))
+            todo = [root]
             while todo:
                 node = todo.pop()
-                rows.append((host, node.at, node.n))
+                rows.append((host, node.at, node.n, True, root.partial))
                 todo += node.children
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["host", "node", "n"])
+        types = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["host", "node", "n", "placed", "partial"])
 
 
 def _held(known: dict, host: str, wrapper: str) -> Node:
@@ -564,35 +633,44 @@ def with_main_text(df: DataFrame, wrappers: DataFrame, url: str = "url", text: s
     known: dict = {}
     constants: dict = {}
 
-    def rows(texts: list, hosts: list, found: list, listed: list) -> list[tuple]:
+    def rows(texts: list, hosts: list, found: list, listed: list, rests: list) -> list[tuple]:
         out = []
-        for t, host, wrapper, pairs in zip(texts, hosts, found, listed):
+        for t, host, wrapper, pairs, rest in zip(texts, hosts, found, listed, rests):
             page, constant = Page(t), None
-            if pairs:
+            if pairs or rest:
                 whole = _held(known, host, wrapper)
                 if constants.get(host, (None,))[0] is not whole:
                     if len(constants) >= 500:
                         constants.clear()
-                    constants[host] = (whole, {(p["node"], p["text"]) for p in pairs})
-                constant = _lookup(page, whole, constants[host][1])
+                    constants[host] = (whole, {(p["node"], p["text"]) for p in pairs or []})
+                constant = _lookup(page, whole, constants[host][1], {(p["node"], p["text"]) for p in rest or []})
             text = "\n".join(main_blocks(page, constant))
             out.append((text, len(text)))
         return out
 
     own = {c.lower() for c in df.columns}
     joined = {}
-    for name in ("host", "wrapper", "constants", "html", "w"):
+    for name in ("host", "wrapper", "constants", "html", "w", "page", "rest", "r", "p"):
         joined[name] = f"_{name}"
         while joined[name] in own:
             joined[name] += "_"
     here = df.withColumns({joined["host"]: host_of(F.col(url)), joined["html"]: F.col(text).cast("string")})
-    sided = wrappers.select(F.col("host").alias(joined["w"]), F.col("wrapper").alias(joined["wrapper"]), F.col("constants").alias(joined["constants"]))
+    hosts, rests = wrappers.filter("page is null"), wrappers.filter("page is not null")
+    sided = hosts.select(F.col("host").alias(joined["w"]), F.col("wrapper").alias(joined["wrapper"]), F.col("constants").alias(joined["constants"]))
     here = here.join(sided, here[joined["host"]] == sided[joined["w"]], "left").select(*here.columns, joined["wrapper"], joined["constants"])
-    uses = tuple(joined[n] for n in ("html", "host", "wrapper", "constants"))
+    of_pages = rests.select(F.col("host").alias(joined["r"]), F.col("page").alias(joined["p"]), F.col("rest").alias(joined["rest"]))
+    same = (here[joined["host"]] == of_pages[joined["r"]]) & (page_of(here[joined["html"]]) == of_pages[joined["p"]])
+    here = here.join(of_pages, same, "left").select(*here.columns, joined["rest"])
+    uses = tuple(joined[n] for n in ("html", "host", "wrapper", "constants", "rest"))
     return with_columns_by_batch(here, "text string, n_chars long", rows, uses, drop=(*drop, *uses))
 
 
-def _lookup(page: Page, wrapper: Node, constants: set[tuple[int, int]]) -> Callable[[int, str], bool]:
+def _lookup(page: Page, wrapper: Node, constants: set[tuple[int, int]], rest: set[tuple[int, int]]) -> Callable[[int, str], bool]:
     tree, owners = tree_of(page)
-    places = placed(tree, wrapper) if tree is not None else {}
-    return lambda k, text: (places.get(id(owners[k]), -1), text_hash(text)) in constants
+    places = {} if tree is None else (all_placed if rest else placed)(tree, wrapper)
+
+    def constant(k: int, text: str) -> bool:
+        found = (places.get(id(owners[k]), -1), text_hash(text))
+        return found in constants or found in rest
+
+    return constant

@@ -118,6 +118,37 @@ def test_partial_wrappers_meet(spark, monkeypatch, many_segments):
     assert all(wi.unpacked(wi.json.loads(r.wrapper), False).n == 20 and len(r.constants) == 4 for r in wrappers)
 
 
+def letters(k):
+    return "".join(chr(97 + k // 26**i % 26) for i in range(4))
+
+
+def test_rare_nodes_of_large_wrappers_count(spark):
+    # every page has elements of its own, so the host's wrapper has to give up nodes, those of a layout on 6 pages of 400 among them
+    rows, want = [], {}
+    for k in range(400):
+        own = [f"{letters(k)} says {letters(60 * k + i)}" for i in range(60)]
+        odd = f"<div class=odd><div>Strapline of few pages</div><div>odd {letters(k)}</div></div>" if k % 70 == 5 else ""
+        rows.append((k, f"https://large.example/{k}", "<html><body><div>The Daily Example</div>" + odd + f"<div id={letters(k)}x>" + "".join(
+            f"<section id={letters(60 * k + i)}>{text}</section>" for i, text in enumerate(own)) + "</div></body></html>"))
+        want[k] = "\n".join([f"odd {letters(k)}"] * bool(odd) + own)
+    rows += [(1000 + k, u, page) for k, u, page in rows[:10]]
+    df = pages_of(spark, rows, 3)
+    wrappers = wi.induced(df)
+    whole = wi.unpacked(wi.json.loads(wrappers.filter("page is null").first().wrapper), False)
+    assert whole.partial and whole.size() <= wi.NODES
+    got = {r.page_id: r.text for r in wi.with_main_text(df, wrappers).collect()}
+    assert len(got) == 410 and {k: got[k] for k in want} == want and all(got[1000 + k] == want[k] for k in range(10))
+
+
+def test_nodes_without_a_place_have_names(spark):
+    rng = random.Random(5)
+    for _ in range(100):
+        page, wrapper = random_tree(rng, 4), wi.numbered(random_tree(rng, 4))
+        page.label = wrapper.label = "r"
+        names, places = wi.all_placed(page, wrapper), wi.placed(page, wrapper)
+        assert len(names) == len(set(names.values())) == page.size() and places.items() <= names.items()
+
+
 def test_repeated_passages_of_articles_stay(spark):
     # copies of an article with one changed word: almost everything repeats, and nothing may go
     rows = [(k, f"https://one.example/{k}", f"<nav>n{k}</nav><article><h1>Same</h1><p>first part of it</p><p>second part {k}</p></article>") for k in range(50)]
