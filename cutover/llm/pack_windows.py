@@ -59,17 +59,20 @@ def cheapest_cuts(ends: list[int], penalties: list[int], size: int = SIZE, unpad
     positions = [0, *ends]
     cost = [0] * len(positions)
     came = [0] * len(positions)
-    index = {p: k for k, p in enumerate(positions)}
+    at_k, starts = _unpadded_starts(positions, unpadded)
+    at_k.append(len(positions))  # never reached
+    i = 0
     queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # cost + position, position, index; the first ascends
     for k in range(1, len(positions)):
         at = positions[k]
         while queue[0][1] < at - size:
             queue.popleft()
         best, came_from = queue[0][0] + size - at, queue[0][2]
-        for n in unpadded:
-            j = index.get(at - n)
-            if j is not None and cost[j] < best:
+        while at_k[i] == k:
+            j = starts[i]
+            if cost[j] < best:
                 best, came_from = cost[j], j
+            i += 1
         best += penalties[k - 1] + WINDOW_COST
         cost[k], came[k] = best, came_from
         value = best + at
@@ -83,6 +86,20 @@ def cheapest_cuts(ends: list[int], penalties: list[int], size: int = SIZE, unpad
     return cuts[::-1]
 
 
+def _unpadded_starts(positions: list[int], unpadded: tuple[int, ...]) -> tuple[list[int], list[int]]:
+    """(k, j) of every two positions an unpadded length apart, by k, then in the order of the lengths."""
+    places = np.array(positions, np.int64)
+    ks, js = [], []
+    for n in unpadded:
+        j = np.minimum(np.searchsorted(places, places - n), len(places) - 1)
+        k = np.flatnonzero(places[j] == places - n)
+        ks.append(k)
+        js.append(j[k])
+    k, j = np.concatenate(ks or [places[:0]]), np.concatenate(js or [places[:0]])
+    order = np.argsort(k, kind="stable")
+    return k[order].tolist(), j[order].tolist()
+
+
 class WordEncoder:
     """Ids of texts from those of their words; pre-tokens never cross white space."""
 
@@ -151,16 +168,24 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The values in order, each once; they come almost in order, which this sort makes use of."""
+    values = np.sort(values, kind="stable")
+    return values[np.diff(values, prepend=values[:1] - 1) > 0]
+
+
 def candidates(lengths: list[int], sentences: list[np.ndarray]) -> tuple[list[int], list[int]]:
     """Allowed cuts of a block of documents and their penalties."""
     ends = np.cumsum(lengths)
     inner = [s + at for s, at in zip(sentences, ends - lengths, strict=True)]
-    cuts = np.unique(np.concatenate([ends, *inner])) if len(ends) else np.empty(0, np.int64)
+    cuts = _distinct(np.concatenate([ends, *inner])) if len(ends) else np.empty(0, np.int64)
     cuts = cuts[cuts > 0]
     gaps = np.diff(cuts, prepend=0)
     more = [np.arange(c - g + STEP, c, STEP) for c, g in zip(cuts[gaps > STEP], gaps[gaps > STEP], strict=True)]
-    every = np.unique(np.concatenate([cuts, *more]))
-    penalty = np.where(np.isin(every, ends), 0, np.where(np.isin(every, cuts), SENTENCE_PENALTY, MIDDLE_PENALTY))
+    every = _distinct(np.concatenate([cuts, *more]))
+    penalty = np.full(len(every), MIDDLE_PENALTY)
+    penalty[np.searchsorted(every, cuts)] = SENTENCE_PENALTY
+    penalty[np.searchsorted(every, ends[ends > 0])] = 0
     return every.tolist(), penalty.tolist()
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +129,23 @@ def _packing_cost(ends, penalties, size, unpadded):
     return best[ends[-1]] if ends else 0
 
 
+def test_cuts_by_definition():
+    rng = random.Random(12)
+    for _ in range(200):
+        lengths = [rng.choice([1, 64, 128, rng.randint(1, 60), rng.randint(1, 3000)]) for _ in range(rng.randint(0, 12))]
+        sentences = [np.array(sorted(rng.sample(range(1, n + 1), rng.randint(0, min(n, 20)))), np.int64) for n in lengths]
+        places, at = {}, 0  # each cut with its penalty
+        for n, inner in zip(lengths, sentences, strict=True):
+            places |= {at + int(x): pack_windows.SENTENCE_PENALTY for x in inner} | {at + n: 0}
+            at += n
+        ends, penalties = pack_windows.candidates(lengths, sentences)
+        assert ends == sorted(set(ends)) and max([b - a for a, b in zip([0, *ends], ends)], default=0) <= pack_windows.STEP
+        assert {e: p for e, p in zip(ends, penalties, strict=True) if p != pack_windows.MIDDLE_PENALTY} == places
+        starts = pack_windows._unpadded_starts([0, *ends], (64, 128))
+        by_place = {x: k for k, x in enumerate([0, *ends])}
+        assert list(zip(*starts, strict=True)) == [(k, by_place[x - n]) for x, k in by_place.items() for n in (64, 128) if x - n in by_place]
+
+
 def test_cheapest_cuts_by_brute_force():
     pick = random.Random(3)
     for _ in range(300):
