@@ -93,11 +93,60 @@ class Recent:
         return missing.difference(again)
 
 
+class Numbers:
+    """Numbers below 2^20 by integer keys below 2^43, looked up and added by whole arrays.
+
+    Open addressing in one array of 8 bytes a slot, at most half full.
+    """
+
+    def __init__(self, bits: int = 16):
+        self.n = 0
+        self.slots = np.full(1 << bits, -1, np.int64)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            spread = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (spread >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 for keys without one."""
+        at = self._places(keys)
+        found = self.slots[at]
+        same = found >> 20 == keys
+        numbers = np.where(same, found & 0xFFFFF, -1)
+        left = np.flatnonzero(~same & (found >= 0))
+        while len(left):
+            at[left] = here = at[left] + 1 & len(self.slots) - 1
+            found = self.slots[here]
+            same = found >> 20 == keys[left]
+            numbers[left[same]] = found[same] & 0xFFFFF
+            left = left[~same & (found >= 0)]
+        return numbers
+
+    def put(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        """Add keys, each once, that have no number yet."""
+        entries = keys << 20 | numbers
+        if 2 * (self.n + len(keys)) > len(self.slots):
+            entries = np.concatenate([self.slots[self.slots >= 0], entries])
+            self.slots = np.full(1 << (2 * len(entries)).bit_length(), -1, np.int64)
+            self.n = 0
+        self.n += len(entries)
+        at = self._places(entries >> 20)
+        while len(entries):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = entries[free]  # of several for one slot the last stays
+            left = self.slots[at] != entries
+            entries, at = entries[left], at[left] + 1 & len(self.slots) - 1
+
+
 def words_by_text(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Texts cut at every blank: a number for each word in order, where each text's words begin (and the last end), and the words numbered."""
     cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
     found = cut.flatten().dictionary_encode()
-    return found.indices.to_numpy(), cut.offsets.to_numpy(), found.dictionary.to_pylist()
+    return found.indices.to_numpy(), cut.offsets.to_numpy(), found.dictionary.to_numpy(zero_copy_only=False).tolist()
 
 
 def _table(fold: bool) -> np.ndarray:
