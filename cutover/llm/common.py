@@ -142,11 +142,22 @@ class Numbers:
             entries, at = entries[left], at[left] + 1 & len(self.slots) - 1
 
 
-def words_by_text(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def distinct_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Texts cut at every blank: a number for each word in order, where each text's words begin (and the last end), and the words numbered."""
     cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
     found = cut.flatten().dictionary_encode()
-    return found.indices.to_numpy(), cut.offsets.to_numpy(), found.dictionary.to_numpy(zero_copy_only=False).tolist()
+    return found.indices.to_numpy(), cut.offsets.to_numpy(), found.dictionary
+
+
+def listed(words: pa.Array) -> list[str]:
+    """The same as ``to_pylist`` for strings, which takes far longer."""
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
+def words_by_text(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """``distinct_words`` with a list of the words."""
+    codes, bounds, words = distinct_words(texts)
+    return codes, bounds, listed(words)
 
 
 def _table(fold: bool) -> np.ndarray:

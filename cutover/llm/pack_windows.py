@@ -24,10 +24,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from cutover.llm.common import Recent, arrow_type, fields_of, words_by_text
+from cutover.llm.common import arrow_type, distinct_words, fields_of, listed
 
 SIZE = 2048
 UNPADDED = (64, 128, 256, 512, 1024, 2048)
@@ -38,14 +39,13 @@ BLOCK_TOKENS = 1 << 21
 #: Characters of the texts that are encoded together.
 TURN_CHARS = 8_000_000
 #: Words whose ids a worker keeps.
-CACHE_ENTRIES = 1_400_000
+CACHE_ENTRIES = 500_000
 #: Letters that stay single letters in lower case, and that no mark behind them joins.
 _STEM = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e\u0391-\u03a1\u03a3-\u03a9\u03b1-\u03c9\u0410-\u044f]+")
 #: Words made of letters alone that are encoded as one text; each ends with a token that ends a word.
 JOINED_WORDS = 256
 
 _MARKS = frozenset(",.!")
-_STOPS = frozenset(".!?")
 
 PIECE_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -111,11 +111,13 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.words = Recent(CACHE_ENTRIES)
+        # words with their ids after each other, and the turn that used each last: a small part of a dictionary's memory
+        self.words = pa.array([], pa.large_string())
+        self.ids, self.sizes, self.used = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.turn = 0
 
-    def _encode(self, words: list[str]) -> None:
+    def _encode(self, words: list[str], known: dict[str, bytes]) -> None:
         """Encode words: the ones of letters many at a time, the others each for itself."""
-        known = self.words.newer
         alone = [w for w in words if not w.isalpha()]
         letters = [w for w in words if w.isalpha()]
         for at in range(0, len(letters), JOINED_WORDS):
@@ -132,31 +134,70 @@ class WordEncoder:
         for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
             known[w] = np.array(e.ids, "<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Have the ids of all these words at hand."""
-        new = self.words.unknown(words)
-        known = self.words.newer
+    def _find(self, words: pa.Array) -> np.ndarray:
+        """Places of words among the kept ones, -1 for others."""
+        return pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+
+    def _places(self, kept: np.ndarray) -> np.ndarray:
+        """Where the ids of kept words are, word by word."""
+        sizes = self.sizes[kept]
+        first = (np.cumsum(self.sizes) - self.sizes)[kept]
+        return np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+
+    def _keep(self, kept: np.ndarray) -> None:
+        """Forget all words but these."""
+        self.ids = self.ids[self._places(kept)]
+        self.words, self.sizes, self.used = self.words.take(pa.array(kept)), self.sizes[kept], self.used[kept]
+
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of words that aren't kept."""
         # a mark behind letters is a pre-token of its own
-        stems = {w: w[:-1] for w in new if w[-1:] in _MARKS and _STEM.fullmatch(w, 0, len(w) - 1)}
-        self._encode(list(self.words.also_unknown({*new.difference(stems), *stems.values(), *_MARKS})))
+        stems = {w: w[:-1] for w in words if w[-1:] in _MARKS and _STEM.fullmatch(w, 0, len(w) - 1)}
+        only = list(set(stems.values()).difference(words))
+        at = self._find(pa.array(only, pa.large_string()))
+        kept = np.flatnonzero(at >= 0)
+        data, stops = self.ids[self._places(at[kept])].tobytes(), np.cumsum(4 * self.sizes[at[kept]]).tolist()
+        known = {only[i]: data[start:stop] for i, start, stop in zip(kept.tolist(), [0, *stops], stops)}  # noqa: B905
+        self._encode(list({*(w for w in words if w not in stems), *(w for w in only if w not in known), *_MARKS}), known)
         for w, stem in stems.items():
             known[w] = known[stem] + known[w[-1]]
+        return [known[w] for w in words]
+
+    def learn(self, words: pa.Array) -> np.ndarray:
+        """Have the ids of distinct words at hand: their places among the kept ones.
+
+        Beyond ``CACHE_ENTRIES`` the half used last stays, with all that are asked for.
+        """
+        self.turn += 1
+        at = self._find(words)
+        new = words.filter(pa.array(at < 0))
+        known = at[at >= 0]
+        self.used[known] = self.turn
+        if len(self.words) + len(new) > CACHE_ENTRIES:
+            stay = max(len(known), CACHE_ENTRIES // 2 - len(new))
+            self._keep(np.sort(np.argsort(-self.used, kind="stable")[:stay]))
+            at = self._find(words)
+        ids = self._ids_of(listed(new))
+        at[at < 0] = len(self.words) + np.arange(len(new))
+        self.words = pa.concat_arrays([self.words, new])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), "<u4")])
+        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, ids), np.int64, len(ids)) // 4])
+        self.used = np.concatenate([self.used, np.full(len(new), self.turn)])
+        return at
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, np.ndarray]]:
         """Ids of each text, as little-endian unsigned 32-bit, and the positions after its sentences.
 
         Each distinct word is looked up once; the ids of all its places are copied by position.
         """
-        codes, bounds, words = words_by_text([t.replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in texts])
-        self.learn(set(words))
-        known = [self.words.newer[w] for w in words]
-        ids = np.frombuffer(b"".join(known), "<u4")
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        starts = np.cumsum(sizes) - sizes
+        codes, bounds, words = distinct_words([t.replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in texts])
+        at = self.learn(words)
+        sizes = self.sizes[at]
+        starts = (np.cumsum(self.sizes) - self.sizes)[at]
         n = sizes[codes]
         ends = np.cumsum(n)
-        out = ids[np.repeat(starts[codes] - (ends - n), n) + np.arange(int(n.sum()))]
-        closing = np.fromiter((w[-1:] in _STOPS for w in words), bool, len(words))[codes]
+        out = self.ids[np.repeat(starts[codes] - (ends - n), n) + np.arange(int(n.sum()))]
+        closing = pc.match_substring_regex(words, "[.!?]$").to_numpy(zero_copy_only=False).astype(bool)[codes]
         before = np.concatenate([[0], ends])[bounds]
         for i, (first, last) in enumerate(zip(bounds, bounds[1:])):  # noqa: B905
             stops = ends[first:last][closing[first:last]] - before[i]

@@ -1,7 +1,9 @@
 """Ids and counts of the word encoder and the prefix counter against the libraries, on texts made to differ."""
 
+import gc
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -126,6 +128,21 @@ def test_numbers_by_key():
         assert len(kept) == len(want) and 2 * len(kept) <= len(kept.slots)
 
 
+def test_kept_words_take_little_memory():
+    encoder, rng = pack_windows.WordEncoder(tokenizer_path("word_bpe_49k.json")), random.Random(8)
+    some = [" ".join("".join(rng.choices("abcdefghinorst", k=8)) + rng.choice([",", "", "."]) for _ in range(500)) for _ in range(80)]
+    gc.collect()
+    tracemalloc.start()
+    try:
+        for k in range(0, len(some), 20):
+            list(encoder.encode(some[k : k + 20]))
+        gc.collect()
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert len(encoder.words) > 39_000 and held + encoder.words.nbytes < 80 * len(encoder.words)  # about 250 bytes a word before
+
+
 def test_positions_after_sentences():
     encoder = pack_windows.WordEncoder(tokenizer_path("word_bpe_49k.json"))
     (ids, stops), (none, no_stops) = encoder.encode(["one two. three! four", ""])
